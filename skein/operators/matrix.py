@@ -110,8 +110,8 @@ def base_dominated_columns(counts: DataFrame) -> DataFrame:
 
 def well_covered_columns(coverage: DataFrame) -> DataFrame:
     """Columns with at least 90 percent of the best coverage."""
-    best = coverage.agg(F.max("cov").alias("best"))
-    return coverage.join(F.broadcast(best), F.col("cov") * 10 >= F.col("best") * 9).select("col", "cov")
+    best = F.max("cov").over(Window.partitionBy())  # one row per column meets here, never the matrix
+    return coverage.withColumn("best", best).where(F.col("cov") * 10 >= F.col("best") * 9).select("col", "cov")
 
 
 # --- scores -----------------------------------------------------------------
@@ -168,8 +168,10 @@ def coverage_window(cells: DataFrame, width: int, share: float = 0.90, step: int
     sampled = (cells.sparkSession.range(0, width, step).select(F.col("id").cast("int").alias("col"))
                .join(column_coverage(cells.where(F.col("col") % step == 0)), "col", "left")
                .select("col", F.coalesce("cov", F.lit(0)).alias("cov")))
-    stats = sampled.agg(F.expr("sum(cov) div count(*)").alias("average"), F.max("cov").alias("best"))
-    return (sampled.join(F.broadcast(stats), F.col("cov") >= share * F.col("average"))
+    all_samples = Window.partitionBy()  # one row per sampled column
+    return (sampled.withColumn("average", F.expr("sum(cov) over () div count(*) over ()"))
+            .withColumn("best", F.max("cov").over(all_samples))
+            .where(F.col("cov") >= share * F.col("average"))
             .agg(F.min("col").alias("first_col"), F.max("col").alias("last_col"),
                  F.max("average").alias("average"), F.max("best").alias("best")))
 

@@ -95,18 +95,13 @@ def _map_side(rows: DataFrame, width: int, min_gap: int, disjoint: bool) -> Data
 
 def _blocked(rows, width, min_gap, by, disjoint, block_cols, block_rows) -> DataFrame:
     """Many columns or several keys: one group per (key, block pair, row range)."""
-    n_blocks = -(-width // block_cols)
-    wanted = [(i, j) for i in range(n_blocks) for j in range(i, n_blocks)
-              if (j + 1) * block_cols - 1 - i * block_cols >= min_gap]
-    spark = rows.sparkSession
-    blocks = spark.createDataFrame(wanted, "bi INT, bj INT") if len(wanted) > 1 else None
+    last = -(-width // block_cols) - 1
     piece = "substring(symbols, {b} * %d + 1, %d)" % (block_cols, block_cols)
     # a group holds at most block_rows rows of one key and one block pair
-    ranged = rows.select(*by, F.col("symbols"), F.expr(f"row_id div {block_rows}").alias("rb"))
-    if blocks is not None:
-        ranged = ranged.join(F.broadcast(blocks))
-    else:
-        ranged = ranged.withColumns({"bi": F.lit(0), "bj": F.lit(0)})
+    ranged = (rows.select(*by, F.col("symbols"), F.expr(f"row_id div {block_rows}").alias("rb"),
+                          F.explode(F.sequence(F.lit(0), F.lit(last))).alias("bi"))
+              .select("*", F.explode(F.sequence(F.col("bi"), F.lit(last))).alias("bj"))
+              .where((F.col("bj") + 1 - F.col("bi")) * block_cols > min_gap))
     left_used, right_used = F.trim("left_part") != "", F.trim("right_part") != ""
     sliced = (ranged.select(*by, "rb", "bi", "bj", F.expr(piece.format(b="bi")).alias("left_part"),
                             F.expr(piece.format(b="bj")).alias("right_part"))

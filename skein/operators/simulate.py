@@ -1,0 +1,216 @@
+"""Seeded simulation of repeat families and noisy reads.
+
+Every random decision depends only on the seed and the record it belongs to, so a lost task is
+recomputed to the same data.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+# --- fixed values -----------------------------------------------------------
+ALPHABET = "acgt"
+MATCH, SUBSTITUTION, DELETION = 0.952, 0.014, 0.034  # per base, before insertions
+INSERTION = 0.103139                                 # continue inserting, 11.5 % of the bases
+# reads per 1000 bases of length
+LENGTHS = (0, 323, 427, 411, 355, 353, 358, 321, 293, 321, 281, 275, 241, 239, 226, 185, 177, 162, 126, 117,
+           126, 108, 88, 83, 61, 52, 51, 29, 16, 7, 3, 1, 1)
+BIN = 1000
+FLANK = 10_000
+STRUCTURES = ("Tree", "Distributed", "EquiDistant", "Gradient")
+# ----------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Family:
+    """Parameters of a simulated repeat family."""
+
+    coverage: int = 40
+    copies: int = 100
+    percent: float = 1.0
+    length: int = 30_000
+    structure: str = "Tree"
+    flank: int = FLANK
+    seed: int = 1
+
+    def __post_init__(self):
+        if self.structure not in STRUCTURES:
+            raise ValueError(f"structure must be one of {STRUCTURES}")
+
+
+def _rng(*key: int) -> np.random.Generator:
+    return np.random.default_rng([int(k) & 0xFFFFFFFF for k in key])
+
+
+def random_sequence(length: Column, *key: Column) -> Column:
+    """Uniform sequence from hashes of the key and the position, in the JVM."""
+    base = F.transform(F.sequence(F.lit(1), length), lambda i: F.substring(
+        F.lit(ALPHABET), (F.pmod(F.xxhash64(*key, i), F.lit(4)) + 1).cast("int"), F.lit(1)))
+    return F.array_join(base, "")
+
+
+def noisy(seq: str, rng: np.random.Generator) -> str:
+    """Error channel: substitutions, deletions, then a geometric number of insertions per base."""
+    if not seq:
+        return seq
+    codes = np.searchsorted(np.frombuffer(ALPHABET.encode(), np.uint8), np.frombuffer(seq.encode(), np.uint8))
+    n = len(codes)
+    u = rng.random(n)
+    changed = (codes + rng.integers(1, 4, n)) % 4
+    kept = np.where(u < MATCH, codes, changed)
+    present = (u < MATCH + SUBSTITUTION).astype(np.int64)
+    extra = rng.geometric(1 - INSERTION, n) - 1
+    out = rng.integers(0, 4, int((present + extra).sum()))
+    first = np.cumsum(present + extra) - (present + extra)
+    out[first[present == 1]] = kept[present == 1]
+    return bytes(np.frombuffer(ALPHABET.encode(), np.uint8)[out]).decode()
+
+
+def edited(seq: str, edits: int, rng: np.random.Generator) -> str:
+    """Random point edits, a third each of substitutions, deletions and insertions."""
+    bases = list(seq)
+    for _ in range(edits):
+        if not bases:
+            break
+        at = int(rng.integers(0, len(bases)))
+        kind = rng.integers(0, 3)
+        if kind == 0:
+            bases[at] = ALPHABET[(ALPHABET.index(bases[at]) + int(rng.integers(1, 4))) % 4]
+        elif kind == 1:
+            del bases[at]
+        else:
+            bases.insert(at, ALPHABET[int(rng.integers(0, 4))])
+    return "".join(bases)
+
+
+def _edit_all(df: DataFrame, edits: int, seed: int, level: int) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(seq=[edited(s, edits, _rng(seed, level, c)) for c, s in zip(batch["copy"], batch["seq"])])
+    return df.mapInPandas(run, "copy BIGINT, seq STRING")
+
+
+def copies(template: DataFrame, family: Family) -> DataFrame:
+    """Copies ``(copy, seq)`` of the one-row ``template(seq)``."""
+    n, share = family.copies, family.percent / 100
+    start = template.select(F.lit(0).cast("bigint").alias("copy"), "seq")
+    length = template.select(F.length("seq")).first()[0]
+    if family.structure == "Tree":  # every copy has two edited children per level
+        df = start
+        for level in range(int(np.log2(n)) + 1):
+            children = df.select(F.explode(F.array(F.col("copy") * 2, F.col("copy") * 2 + 1)).alias("copy"), "seq")
+            df = _edit_all(children, int(length * share / 2), family.seed, level)
+        return df.where(F.col("copy") < n)
+    if family.structure == "Gradient":  # every copy edits the one before
+        df, out = start, start
+        for c in range(1, n):
+            df = _edit_all(df.withColumn("copy", F.lit(c).cast("bigint")), int(length * share), family.seed, c)
+            out = out.unionByName(df)
+        return out
+    every = start.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("bigint").alias("copy"), "seq")
+    if family.structure == "EquiDistant":  # independent edits
+        return _edit_all(every, int(length * share / 2), family.seed, 0)
+    return _distributed(every, length, family)
+
+
+def _distributed(every: DataFrame, length: int, family: Family) -> DataFrame:
+    """Each variant sits on its own random subset of the copies; edits go from right to left."""
+    n, seed = family.copies, family.seed
+    rng = _rng(seed, 7)
+    variants = int(length * family.percent / 100 * 3)
+    places = np.sort(10 + (rng.random(variants) * (length - 20)).astype(int))[::-1]
+    sizes, kinds, bases = rng.integers(0, n, variants), rng.integers(0, 3, variants), rng.integers(0, 4, variants)
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for copy, seq in zip(batch["copy"], batch["seq"]):
+                chars = list(seq)
+                for v in range(variants):
+                    if _rng(seed, 8, v).permutation(n)[copy] >= sizes[v] or places[v] >= len(chars):
+                        continue
+                    at = int(places[v])
+                    if kinds[v] == 0:
+                        chars[at] = ALPHABET[(ALPHABET.index(chars[at]) + 1 + int(sizes[v]) % 3) % 4]
+                    elif kinds[v] == 1:
+                        del chars[at]
+                    else:
+                        chars.insert(at, ALPHABET[bases[v]])
+                out.append("".join(chars))
+            yield batch.assign(seq=out)
+
+    return every.mapInPandas(run, "copy BIGINT, seq STRING")
+
+
+def with_flanks(family_copies: DataFrame, family: Family) -> DataFrame:
+    """Unique random sequence left and right of every copy."""
+    flank = [random_sequence(F.lit(family.flank), F.lit(family.seed), F.lit(side), F.col("copy")) for side in (0, 1)]
+    return family_copies.select("copy", F.concat(flank[0], "seq", flank[1]).alias("seq"))
+
+
+def read_length(u: Column, v: Column) -> Column:
+    """Length from the histogram by its inverse distribution; ``u`` picks the bin, ``v`` the place in it."""
+    steps = np.cumsum(LENGTHS) / sum(LENGTHS)
+    bin_of = F.lit(len(LENGTHS) - 1)
+    for i in range(len(LENGTHS) - 1, -1, -1):
+        bin_of = F.when(u <= float(steps[i]), i).otherwise(bin_of)
+    return (bin_of * BIN + F.floor(v * BIN)).cast("int")
+
+
+def _uniform(*key: Column) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(1 << 53)).cast("double") / float(1 << 53)
+
+
+def place_reads(genomes: DataFrame, family: Family, scale: float = 1.0) -> DataFrame:
+    """Read placements ``(copy, k, start, length)`` until the repeat part of a copy is covered.
+
+    Candidate reads are numbered per copy; they are kept up to the one that reaches the target. The
+    overlap with the repeat is never negative. Should the candidates not suffice, their number doubles.
+    """
+    reach = F.greatest(F.col("size") - 2 * family.flank, F.lit(1))
+    sized = genomes.select("copy", F.length("seq").alias("size"))
+    candidates = max(16, int(12 * family.coverage / scale))
+    while True:
+        k = F.explode(F.sequence(F.lit(0), F.lit(candidates - 1))).alias("k")
+        tried = sized.select("copy", "size", k)
+        u = [_uniform(F.lit(family.seed), F.lit(side), F.col("copy"), F.col("k")) for side in (11, 12, 13)]
+        length = F.least(F.col("size"), F.greatest(F.lit(1), F.floor(read_length(u[0], u[1]) * scale).cast("int")))
+        placed = (tried.withColumn("length", length)
+                  .withColumn("start", F.floor(u[2] * (F.col("size") - F.col("length"))).cast("int")))
+        overlap = F.greatest(F.lit(0), F.least(F.col("size") - family.flank, F.col("start") + F.col("length"))
+                             - F.greatest(F.col("start"), F.lit(family.flank)))
+        so_far = Window.partitionBy("copy").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)  # candidates of one copy
+        summed = placed.withColumn("overlap", overlap).withColumn("covered", F.sum("overlap").over(so_far) / reach)
+        short = summed.groupBy("copy").agg(F.max("covered").alias("c")).where(F.col("c") < family.coverage)
+        if short.isEmpty():
+            before = F.col("covered") - F.col("overlap") / reach
+            return summed.where(before < family.coverage).select("copy", "k", "start", "length")
+        candidates *= 2
+
+
+def sample_reads(genomes: DataFrame, family: Family, scale: float = 1.0) -> DataFrame:
+    """Noisy reads ``(copy, k, start, seq)`` cut from the flanked copies."""
+    placed = place_reads(genomes, family, scale).join(genomes, "copy")
+    cut = placed.select("copy", "k", "start", F.expr("substring(seq, start + 1, length)").alias("seq"))
+    seed = family.seed
+
+    def run(batches):
+        for batch in batches:
+            yield batch.assign(seq=[noisy(s, _rng(seed, 21, c, k)) for c, k, s in zip(batch["copy"], batch["k"], batch["seq"])])
+
+    return cut.mapInPandas(run, "copy BIGINT, k INT, start INT, seq STRING")
+
+
+def simulate(spark: SparkSession, family: Family, template: DataFrame | None = None, scale: float = 1.0):
+    """Template, reads with dense ids, and their truth."""
+    from skein.functions.ordinal import with_ordinal
+    if template is None:
+        template = spark.range(1).select(random_sequence(F.lit(family.length), F.lit(family.seed), F.lit(2)).alias("seq"))
+    reads = sample_reads(with_flanks(copies(template, family), family), family, scale)
+    return template, with_ordinal(reads, F.col("copy"), F.col("k"), name="read_id").select("read_id", "seq", "start", "copy")
