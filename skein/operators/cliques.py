@@ -41,7 +41,8 @@ def top_partners(rows: DataFrame, width: int, sizes: DataFrame, seeds: DataFrame
     found = (pairs.both_directions(scored.where(F.col("z") > cutoff), "z")
              .withColumnsRenamed({"g": "seed", "partner": "g"})
              .join(seeds.select(F.col("g").alias("seed")), "seed", "left_semi"))
-    best = Window.partitionBy("seed").orderBy(F.desc("z"), "g")
+    # mathematically equal values may differ in the last digits, so ties are found after rounding
+    best = Window.partitionBy("seed").orderBy(F.round("z", 9).desc(), "g")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") < max_clique)
     own = seeds.select(F.col("g").alias("seed"), "g", F.lit(None).cast("double").alias("z"), F.lit(0).alias("rank"))
     return own.unionByName(ranked.select("seed", "g", "z", "rank"))

@@ -71,7 +71,7 @@ def set_comparison(sized_pairs: DataFrame, n_rows: int) -> DataFrame:
     k, a, b = F.col("k"), F.col("size_i"), F.col("size_j")
     return sized_pairs.select(
         group_id(F.col("ci"), F.col("si")).alias("a"), group_id(F.col("cj"), F.col("sj")).alias("b"),
-        k.alias("both"), (a - k).alias("only_a"), (b - k).alias("only_b"), (a + b - k).alias("either"),
+        k.alias("shared"), (a - k).alias("only_a"), (b - k).alias("only_b"), (a + b - k).alias("either"),
         (F.lit(n_rows) - a - b + 2 * k).alias("agreeing"))
 
 

@@ -182,5 +182,5 @@ def half_resolvability(differences: DataFrame) -> DataFrame:
         F.min(F.when(F.col("half") == 0, F.col("diff"))).alias("first"),
         F.min(F.when(F.col("half") == 1, F.col("diff"))).alias("second")))
     a, b = F.coalesce("first", F.lit(0)) > HALF_DIFFERENCES, F.coalesce("second", F.lit(0)) > HALF_DIFFERENCES
-    return per_half.agg(F.count_if(a & b).alias("both"), F.count_if(a & ~b).alias("first_only"),
+    return per_half.agg(F.count_if(a & b).alias("both_halves"), F.count_if(a & ~b).alias("first_only"),
                         F.count_if(~a & b).alias("second_only"), F.count_if(~a & ~b).alias("neither"))

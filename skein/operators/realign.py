@@ -35,8 +35,8 @@ def column_profile(rows: DataFrame, width: int) -> np.ndarray:
     """Counts (column, symbol 0..4 and coverage); one short record per column reaches the driver."""
     check_width(width)
     out = np.zeros((width, N_SYMBOLS + 1), dtype=np.int64)
-    for r in matrix.column_counts(matrix.to_cells(rows)).toLocalIterator():
-        out[r["col"]] = [r["n0"], r["n1"], r["n2"], r["n3"], r["n4"], r["cov"]]
+    counts = matrix.column_counts(matrix.to_cells(rows)).toPandas()
+    out[counts["col"]] = counts[["n0", "n1", "n2", "n3", "n4", "cov"]]
     return out
 
 
@@ -142,8 +142,8 @@ def _new_columns(placed: DataFrame, width: int) -> np.ndarray:
               .groupBy("row_id", F.col("b.cols").alias("col")).agg(F.count("*").alias("n"))
               .groupBy("col").agg(F.max("n").alias("n")))
     out = np.zeros(width, dtype=np.int64)
-    for r in opened.toLocalIterator():
-        out[r["col"]] = r["n"]
+    counts = opened.toPandas()
+    out[counts["col"]] = counts["n"]
     return out
 
 

@@ -113,7 +113,7 @@ def copies(template: DataFrame, family: Family) -> DataFrame:
             df = _edit_all(df.withColumn("copy", F.lit(c).cast("bigint")), int(length * share), family.seed, c)
             out = out.unionByName(df)
         return out
-    every = start.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("bigint").alias("copy"), "seq")
+    every = start.select(F.explode(F.sequence(F.col("copy"), F.lit(n - 1).cast("bigint"))).alias("copy"), "seq")
     if family.structure == "EquiDistant":  # independent edits
         return _edit_all(every, int(length * share / 2), family.seed, 0)
     return _distributed(every, length, family)
