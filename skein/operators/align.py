@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.ordinal import with_ordinal
 from skein.schema import check_width
+from skein.session import spread
 
 MAX_ERROR = 0.30  # fixed: alignment error from which a piece is no repeat instance
 
@@ -26,11 +27,6 @@ def template_of(records: DataFrame, order: str, seq: str = "seq") -> str:
     return "".join(r[0] for r in records.orderBy(order).select(seq).collect())
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Even out CPU-heavy rows over all cores; the rows are short compared to the work on them."""
-    return df.repartition(max(df.rdd.getNumPartitions(), 2 * df.sparkSession.sparkContext.defaultParallelism))
-
-
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("ascii", "replace"), dtype=np.uint8)
 

@@ -17,10 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators import matrix
-from skein.operators.align import spread
 from skein.operators.pairs import encode
 from skein.schema import BASES, GAP, N_SYMBOLS, SYMBOLS, check_width
-from skein.session import cut_lineage
+from skein.session import cut_lineage, spread
 
 # --- fixed values -----------------------------------------------------------
 BAND = 1000

@@ -47,8 +47,8 @@ def query(fn):
 # --- shared building blocks -------------------------------------------------
 
 def letters(s, d):
-    rows = tables.letter_rows(s, d)
-    return rows, table(s, d, "documents").count()
+    rows = cut_lineage(tables.letter_rows(s, d))  # 26 characters per text, read several times
+    return rows, rows.count()
 
 
 def letter_sizes(rows):

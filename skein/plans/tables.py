@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from skein.operators import matrix
 from skein.schema import SYMBOLS
+from skein.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,13 +34,13 @@ ORDER_WIDTH = 7  # line numbers run from 1 to 7
 
 def letter_rows(spark, sf_dir) -> DataFrame:
     """Row = document, column = letter a..z, symbol = frequency class over the whole text."""
-    docs = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("row_id"), F.lower("text").alias("t"), F.length("text").alias("len"))
-    share = "(1000 * (length(t) - length(replace(t, char(97 + c), '')))) div greatest(len, 1)"
-    symbol = F.expr(f"transform(sequence(0, 25), c -> substring('{SYMBOLS}', "
-                    f"CASE WHEN {share} = 0 THEN 1 WHEN {share} < 15 THEN 2 WHEN {share} < 40 THEN 3 "
-                    f"WHEN {share} < 80 THEN 4 ELSE 5 END, 1))")
-    return docs.select("row_id", F.array_join(symbol, "").alias("symbols"))
+    docs = spread(table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("row_id"), F.lower("text").alias("t"), F.length("text").alias("len")))
+    shares = ("transform(sequence(0, 25), c -> (1000 * (length(t) - length(replace(t, char(97 + c), '')))) "
+              "div greatest(len, 1))")
+    symbols = F.expr(f"transform({shares}, x -> substring('{SYMBOLS}', "
+                     "CASE WHEN x = 0 THEN 1 WHEN x < 15 THEN 2 WHEN x < 40 THEN 3 WHEN x < 80 THEN 4 ELSE 5 END, 1))")
+    return docs.select("row_id", F.array_join(symbols, "").alias("symbols"))
 
 
 LETTER_WIDTH = 26
