@@ -120,19 +120,20 @@ def place_row(codes: np.ndarray, profile: np.ndarray, band: int = BAND) -> tuple
     return columns, opened, best
 
 
-def _placements(rows: DataFrame, profile: np.ndarray, band: int) -> DataFrame:
+def _placements(rows: DataFrame, profile: np.ndarray, band: int, first: int | None, last: int | None) -> DataFrame:
+    """New columns of the rows ``first <= row_id < last``; the other rows pass through without any."""
     width = len(profile)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             codes = encode(batch["symbols"], width)
-            placed = [place_row(c, profile, band) for c in codes]
-            yield pd.DataFrame({
-                "row_id": batch["row_id"], "cols": [p[0].astype(np.int32) for p in placed],
-                "opened": [p[1] for p in placed],
-                "bases": [bytes(_CHARS[c[c < BASES]]).decode() for c in codes]})
+            ids = batch["row_id"].to_numpy()
+            chosen = np.ones(len(ids), bool) if first is None else (ids >= first) & (ids < last)
+            placed = [place_row(c, profile, band) if take else None for c, take in zip(codes, chosen)]
+            yield batch.assign(cols=[p and p[0].astype(np.int32) for p in placed], opened=[p and p[1] for p in placed])
 
-    return spread(rows).mapInPandas(run, "row_id BIGINT, cols ARRAY<INT>, opened ARRAY<BOOLEAN>, bases STRING")
+    return spread(rows.select("row_id", "symbols")).mapInPandas(
+        run, "row_id BIGINT, symbols STRING, cols ARRAY<INT>, opened ARRAY<BOOLEAN>")
 
 
 def _new_columns(placed: DataFrame, width: int) -> np.ndarray:
@@ -146,40 +147,38 @@ def _new_columns(placed: DataFrame, width: int) -> np.ndarray:
     return out
 
 
-def _write(placed: DataFrame, untouched: DataFrame, extra: np.ndarray) -> tuple[DataFrame, int]:
-    """Rows in the widened matrix."""
+def _write(placed: DataFrame, extra: np.ndarray) -> tuple[DataFrame, int]:
+    """Rows in the widened matrix; a new column is blank for a row that is blank on either side of it."""
     width = len(extra)
     start = np.arange(width) + np.concatenate([[0], np.cumsum(extra)[:-1]])  # new index of old columns
     total = check_width(int(width + extra.sum()))
+    owner = np.repeat(np.arange(width), extra + 1)  # old column at or left of each new column
+    is_old = np.zeros(total, dtype=bool)
+    is_old[start] = True
+    right = np.minimum(owner + 1, width - 1)
+
+    def widened(codes: np.ndarray) -> np.ndarray:
+        blank = (codes[owner] == N_SYMBOLS) | (codes[right] == N_SYMBOLS) | (owner == width - 1)
+        return np.where(is_old, codes[owner], np.where(blank, N_SYMBOLS, GAP))
+
+    def moved(codes: np.ndarray, cols: np.ndarray, opened: np.ndarray) -> np.ndarray:
+        line = np.full(total, N_SYMBOLS)
+        if len(cols):
+            key = cols * 2 + opened
+            rank = np.arange(len(cols)) - np.searchsorted(key, key)
+            pos = start[cols] + np.where(opened, rank + 1, 0)
+            line[pos[0]:pos[-1]] = GAP
+            line[pos] = codes[codes < BASES]
+        return line
 
-    def write_placed(batches):
-        for batch in batches:
-            lines = []
-            for cols, opened, bases in zip(batch["cols"], batch["opened"], batch["bases"]):
-                line = np.full(total, ord(" "), dtype=np.uint8)
-                cols, opened = np.asarray(cols, dtype=np.int64), np.asarray(opened, dtype=bool)
-                if len(cols):
-                    rank = np.arange(len(cols)) - np.searchsorted(cols * 2 + opened, cols * 2 + opened)
-                    pos = start[cols] + np.where(opened, rank + 1, 0)
-                    line[pos[0]:pos[-1]] = ord("-")
-                    line[pos] = np.frombuffer(bases.encode(), dtype=np.uint8)
-                lines.append(line.tobytes().decode())
-            yield pd.DataFrame({"row_id": batch["row_id"], "symbols": lines})
-
-    def write_untouched(batches):
-        owner = np.repeat(np.arange(width), extra + 1)  # old column left of or at each new column
-        is_old = np.zeros(total, dtype=bool)
-        is_old[start] = True
-        right = np.minimum(owner + 1, width - 1)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             codes = encode(batch["symbols"], width)
-            blank = (codes[:, owner] == N_SYMBOLS) | (codes[:, right] == N_SYMBOLS) | (owner == width - 1)
-            wide = np.where(is_old, codes[:, owner], np.where(blank, N_SYMBOLS, GAP))
-            yield pd.DataFrame({"row_id": batch["row_id"], "symbols": [bytes(_CHARS[w]).decode() for w in wide]})
+            lines = [widened(c) if cols is None else moved(c, np.asarray(cols, dtype=np.int64), np.asarray(opened, dtype=bool))
+                     for c, cols, opened in zip(codes, batch["cols"], batch["opened"])]
+            yield pd.DataFrame({"row_id": batch["row_id"], "symbols": [bytes(_CHARS[x]).decode() for x in lines]})
 
-    schema = "row_id BIGINT, symbols STRING"
-    return (placed.mapInPandas(write_placed, schema)
-            .unionByName(untouched.select("row_id", "symbols").mapInPandas(write_untouched, schema))), total
+    return placed.mapInPandas(run, "row_id BIGINT, symbols STRING"), total
 
 
 def select_columns(rows: DataFrame, width: int, keep: np.ndarray) -> DataFrame:
@@ -201,9 +200,8 @@ def realign_step(rows: DataFrame, width: int, first: int | None = None, last: in
                  band: int = BAND) -> tuple[DataFrame, int]:
     """Place rows ``first <= row_id < last`` (default all) anew against the current profile."""
     profile = column_profile(rows, width)
-    chosen = F.lit(True) if first is None else F.col("row_id").between(first, last - 1)
-    placed = cut_lineage(_placements(rows.where(chosen), profile, band))
-    new_rows, new_width = _write(placed, rows.where(~chosen), _new_columns(placed, width))
+    placed = cut_lineage(_placements(rows, profile, band, first, last))
+    new_rows, new_width = _write(placed, _new_columns(placed, width))
     return cut_lineage(new_rows), new_width
 
 
