@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skein.session import cut_lineage, spread
+
 # --- fixed values -----------------------------------------------------------
 ALPHABET = "acgt"
 MATCH, SUBSTITUTION, DELETION = 0.952, 0.014, 0.034  # per base, before insertions
@@ -196,6 +198,7 @@ def place_reads(genomes: DataFrame, family: Family, scale: float = 1.0) -> DataF
 
 def sample_reads(genomes: DataFrame, family: Family, scale: float = 1.0) -> DataFrame:
     """Noisy reads ``(copy, k, start, seq)`` cut from the flanked copies."""
+    genomes = cut_lineage(spread(genomes))  # read by placement and cutting
     placed = place_reads(genomes, family, scale).join(genomes, "copy")
     cut = placed.select("copy", "k", "start", F.expr("substring(seq, start + 1, length)").alias("seq"))
     seed = family.seed
