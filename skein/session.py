@@ -1,8 +1,11 @@
-"""Session helpers: reliable checkpoints."""
+"""Session helpers: reliable checkpoints, and the package on the workers."""
 
 from __future__ import annotations
 
+import functools
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,3 +37,32 @@ def spread(df: DataFrame) -> DataFrame:
     """Even out CPU-heavy rows when the input has fewer splits than the cluster has cores."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers once per session, whatever folder the driver was started in."""
+    from pyspark import SparkFiles
+
+    sc = spark.sparkContext
+    target = os.path.join(SparkFiles.getRootDirectory(), "package", "skein.zip")
+    if getattr(sc, "_skein_shipped", False):
+        return
+    os.makedirs(os.path.dirname(target), exist_ok=True)
+    here = os.path.dirname(os.path.abspath(__file__))
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in os.walk(here):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(here)))
+    sc.addPyFile(target)
+    sc._skein_shipped = True
+
+
+def shipped(fn):
+    """``fn(spark, sf_dir)`` that finds the package on its workers."""
+    @functools.wraps(fn)
+    def call(spark, sf_dir):
+        ship(spark)
+        return fn(spark, sf_dir)
+    return call
