@@ -7,7 +7,8 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import embedding_dedup, language, mixing, quality, toxicity, url_filter, warc
+from skein.llm import (decontaminate, embedding_dedup, language, licenses, mixing, ngram_join, quality, toxicity, url_filter,
+                       warc)
 from skein.llm.common import table
 from skein.session import ensure_checkpoint_dir
 
@@ -16,12 +17,33 @@ URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.exam
              ("net", "/es/", "block"), ("net", "/fr/", "block"))
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("coverage", F.round("coverage", 6))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "repeats",
                         F.round("position", 6).alias("position"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link(table(spark, sf_dir, "documents"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents stand in directories by source and id; every hundredth is the licence file of a directory."""
+    docs = table(spark, sf_dir, "documents")
+    folder = F.when(F.col("doc_id") % 10000 == 0, F.col("source")).when(
+        F.col("doc_id") % 1000 == 0, F.concat_ws("/", "source", F.expr("doc_id div 10000"))).otherwise(
+        F.concat_ws("/", "source", F.expr("doc_id div 10000"), F.expr("doc_id div 1000"), F.expr("doc_id div 100")))
+    name = F.when(F.col("doc_id") % 100 == 0, F.concat_ws("-", F.lit("LICENSE"), "doc_id")).otherwise(F.concat("doc_id", F.lit(".txt")))
+    scanned = licenses.scan(docs.select("doc_id", F.concat(folder, F.lit("/"), name).alias("path"), "text"),
+                            spark.createDataFrame(licenses.TEMPLATES, "license string, text string"))
+    return scanned.select("doc_id", "path", "license", "origin", "licensed_by", F.round("score", 6).alias("score"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted")
@@ -63,8 +85,8 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid4().hex}"
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op5_toxicity, op6_embedding_near_dedup, op7_warc, op8_quality,
-                                   op9_url_filter, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_mix_sources, op3_ngram_jaccard_join, op4_license_scan, op5_toxicity, op6_embedding_near_dedup,
+                                   op7_warc, op8_quality, op9_url_filter, op10_language_id)}
 
 ORACLES: dict[str, str] = {
     "op2_mix_sources": r"""
