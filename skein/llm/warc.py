@@ -2,9 +2,12 @@
 
 Writing: every task writes one file of its own name and announces it on commit; the driver then writes a list of the
 committed files, so files of lost or repeated attempts are never read. With each file goes an index with the offset
-of a record at every ``SPLIT_BYTES``, which lets readers split it exactly.
+of a record at every ``SPLIT_BYTES`` (option ``splitBytes``), which lets readers split it exactly.
 
-Reading: the list (or, without one, every ``*.warc``) is planned into partitions of one split each. Equality, IN and
+A payload is stored with ``Content-Encoding: gzip`` inside its record, so headers stay readable and a skipped payload is
+neither read nor unpacked; digest and length are those of the payload itself.
+
+Reading: the list (or, without one, every ``*.warc``) is planned into partitions of neighbouring splits. Equality, IN and
 null tests on ``record_type``, ``record_id``, ``refers_to``, ``target_uri`` and ``payload_digest`` are taken over from
 Spark's filters; headers are parsed first, and records that fail them, as well as payloads no column asks for, are
 skipped by seeking. Ask for fewer columns with ``.schema(...)``.
@@ -17,6 +20,8 @@ refer to the largest id, and are responses if there is none. Further columns of
 
 from __future__ import annotations
 
+import base64
+import gzip
 import io
 import json
 import os
@@ -36,7 +41,9 @@ SCHEMA = ("record_id string, record_type string, target_uri string, refers_to st
 FIELDS = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri",
           "refers_to": "warc-refers-to", "payload_digest": "warc-payload-digest", "payload_bytes": "x-payload-length"}
 TESTED = ("record_type", "record_id", "refers_to", "target_uri", "payload_digest")
-LIST, SPLIT_BYTES = "_committed.json", 64 << 20
+LIST, SPLIT_BYTES = "_committed.json", 16 << 20
+FILE_BYTES = 256 << 20  # of payload for every file written
+PARTITION_BYTES, OPEN_BYTES = 32 << 20, 1 << 20  # what a task reads at most, and what opening a file counts for
 
 
 def opened(path: str) -> tuple[pafs.FileSystem, str]:
@@ -47,10 +54,10 @@ def opened(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 @dataclass
-class Split(InputPartition):
-    file: str
-    start: int
-    end: int
+class Splits(InputPartition):
+    """(file, start, end) of what one task reads."""
+
+    parts: list
 
 
 @dataclass
@@ -60,13 +67,16 @@ class Written(WriterCommitMessage):
 
 
 def record(row, date: str) -> bytes:
-    """One record with CRLF lines; a revisit carries its HTTP header only."""
-    payload = row["payload"] or b""
+    """One record with CRLF lines; a revisit carries its HTTP header only. A bare hexadecimal SHA-1 is written as base32."""
     revisit = row["record_type"] == "revisit"
-    http = (f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {row['payload_bytes']}\r\n\r\n").encode()
-    block = http if revisit else http + bytes(payload)
+    body = b"" if revisit else gzip.compress(row["payload"] or b"", 1, mtime=0)
+    block = (f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Encoding: gzip\r\n"
+             f"Content-Length: {len(body)}\r\n\r\n").encode() + body
+    digest = row["payload_digest"]
+    if digest and ":" not in digest:
+        digest = "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()
     head = [("WARC-Type", row["record_type"]), ("WARC-Record-ID", row["record_id"]), ("WARC-Date", date),
-            ("WARC-Target-URI", row["target_uri"]), ("WARC-Payload-Digest", row["payload_digest"]),
+            ("WARC-Target-URI", row["target_uri"]), ("WARC-Payload-Digest", digest),
             ("WARC-Refers-To", row["refers_to"]), ("X-Payload-Length", str(row["payload_bytes"])),
             ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     if revisit:
@@ -76,8 +86,8 @@ def record(row, date: str) -> bytes:
 
 
 class WarcWriter(DataSourceWriter):
-    def __init__(self, path: str, overwrite: bool, date: str):
-        self.path, self.overwrite, self.date = path, overwrite, date
+    def __init__(self, path: str, overwrite: bool, date: str, split_bytes: int):
+        self.path, self.overwrite, self.date, self.split_bytes = path, overwrite, date, split_bytes
 
     def write(self, iterator):
         files, root = opened(self.path)
@@ -86,7 +96,7 @@ class WarcWriter(DataSourceWriter):
         with files.open_output_stream(f"{root}/{name}", compression=None) as out:
             for row in iterator:
                 data = record(row, self.date)
-                if at - splits[-1] >= SPLIT_BYTES:
+                if at - splits[-1] >= self.split_bytes:
                     splits.append(at)
                 out.write(data)
                 at += len(data)
@@ -110,11 +120,17 @@ class WarcWriter(DataSourceWriter):
                 files.delete_file(f"{root}/{m.file}")
 
 
+def past_blanks(f) -> int:
+    """Go to the next record, whose offset is returned."""
+    at = f.tell()
+    while f.readline() in (b"\r\n", b"\n"):
+        at = f.tell()
+    return f.seek(at)
+
+
 def header_lines(f) -> dict[str, str] | None:
     """Fields of the next header; None at the end of the file."""
     line = f.readline()
-    while line in (b"\r\n", b"\n"):
-        line = f.readline()
     if not line:
         return None
     if not line.startswith(b"WARC/"):
@@ -149,8 +165,16 @@ class WarcReader(DataSourceReader):
         else:
             found = {os.path.basename(x.path): [0, x.size] for x in files.get_file_info(pafs.FileSelector(root))
                      if x.path.endswith(".warc")}
-        out = [Split(f"{root}/{name}", a, b) for name, at in sorted(found.items()) for a, b in zip(at, at[1:]) if a < b]
-        return out or [Split("", 0, 0)]
+        out, size = [Splits([])], 0
+        for name, at in sorted(found.items()):
+            for a, b in zip(at, at[1:]):
+                if out[-1].parts and size + b - a > PARTITION_BYTES:
+                    out.append(Splits([]))
+                    size = 0
+                if a < b:
+                    out[-1].parts.append((f"{root}/{name}", a, b))
+                    size += b - a + OPEN_BYTES
+        return out
 
     def _fits(self, head: dict) -> bool:
         for column, wanted in self.tests:
@@ -159,28 +183,29 @@ class WarcReader(DataSourceReader):
                 return False
         return True
 
-    def read(self, split):
-        if not split.file:
-            return
+    def read(self, partition):
         files, _ = opened(self.path)
-        with files.open_input_file(split.file) as raw:
-            f = io.BufferedReader(raw, 1 << 20)
-            f.seek(split.start)
-            while f.tell() < split.end and (head := header_lines(f)) is not None:
-                end = f.tell() + int(head["content-length"])
-                if self._fits(head):
-                    yield tuple(self._value(n, head, f, end) for n in self.names)
-                f.seek(end)
+        for name, start, stop in partition.parts:
+            with files.open_input_file(name) as raw:
+                f = io.BufferedReader(raw, 1 << 20)
+                f.seek(start)
+                while past_blanks(f) < stop and (head := header_lines(f)) is not None:
+                    end = f.tell() + int(head["content-length"])
+                    if self._fits(head):
+                        yield tuple(self._value(n, head, f, end) for n in self.names)
+                    f.seek(end)
 
     @staticmethod
     def _value(name, head, f, end):
         if name == "payload":
             if head.get("warc-type") == "revisit":
                 return None
+            packed = False
             if head.get("content-type", "").startswith("application/http"):
-                while f.tell() < end and f.readline() not in (b"\r\n", b"\n"):
-                    pass
-            return f.read(end - f.tell())
+                while f.tell() < end and (line := f.readline()) not in (b"\r\n", b"\n"):
+                    packed |= line.lower().replace(b" ", b"").strip() == b"content-encoding:gzip"
+            body = f.read(end - f.tell())
+            return gzip.decompress(body) if packed else body
         value = head.get(FIELDS[name])
         return int(value) if name == "payload_bytes" and value is not None else value
 
@@ -203,7 +228,8 @@ class WarcSource(DataSource):
         return WarcReader(self.options["path"], names)
 
     def writer(self, schema, overwrite):
-        return WarcWriter(self.options["path"], overwrite, self.options.get("date", "2000-01-01T00:00:00Z"))
+        return WarcWriter(self.options["path"], overwrite, self.options.get("date", "2000-01-01T00:00:00Z"),
+                          int(self.options.get("splitBytes", SPLIT_BYTES)))
 
 
 def register(spark: SparkSession) -> None:
@@ -221,30 +247,24 @@ def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     body = F.coalesce(F.encode(html, "UTF-8"), F.lit(b""))
     rows = pages.select(F.col(page_id).alias("_id"), F.col(url).alias("target_uri"), body.alias("payload"))
     rows = rows.withColumn("_sha1", F.sha1("payload"))
-    last = rows.groupBy("_sha1").agg(F.max("_id").alias("_last"))
-    joined = rows.join(cut_lineage(last), "_sha1")
+    last = cut_lineage(rows.groupBy("_sha1").agg(F.max("_id").alias("_last"), F.sum(F.length("payload")).alias("_bytes")))
+    total = last.agg(F.sum("_bytes")).first()[0] or 0
+    tasks = max(pages.sparkSession.sparkContext.defaultParallelism, -(-total // FILE_BYTES))
+    joined = rows.join(last.drop("_bytes"), "_sha1").coalesce(tasks)  # a file per task, of no more than a few hundred MB
     size = F.length("payload").cast("bigint")
     response = (size < least_bytes) | F.col("_last").isNull() | F.coalesce(F.col("_id") == F.col("_last"), F.lit(False))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.col(c).cast("string"), F.lit(">"))
     return joined.select(
         F.coalesce(urn("_id"), F.lit("<urn:page:>")).alias("record_id"),
         F.when(response, "response").otherwise("revisit").alias("record_type"), "target_uri",
-        F.when(~response, urn("_last")).alias("refers_to"), F.concat(F.lit("sha1:"), base32(F.unhex("_sha1"))).alias("payload_digest"),
+        F.when(~response, urn("_last")).alias("refers_to"), F.col("_sha1").alias("payload_digest"),
         size.alias("payload_bytes"), F.when(response, F.col("payload")).alias("payload"))
 
 
-def base32(digest):
-    """Upper-case base32 of 20 bytes: 32 groups of five bits."""
-    bits = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.lpad(
-        F.conv(F.hex(F.substring(digest, i + 1, 1)), 16, 2), 8, "0")), "")
-    letters = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.substr(
-        letters, F.conv(F.substr(bits, i * 5 + 1, F.lit(5)), 2, 10).cast("int") + 1, F.lit(1))), "")
-
-
-def write(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write(rows: DataFrame, path: str, mode: str = "overwrite", split_bytes: int = SPLIT_BYTES) -> None:
     register(rows.sparkSession)
-    rows.select(*[c.split()[0] for c in SCHEMA.split(", ")]).write.format("warc").mode(mode).save(path)
+    columns = [c.split()[0] for c in SCHEMA.split(", ")]
+    rows.select(*columns).write.format("warc").mode(mode).option("splitBytes", split_bytes).save(path)
 
 
 def read(spark: SparkSession, path: str, schema: str = SCHEMA) -> DataFrame:
