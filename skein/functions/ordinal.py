@@ -16,16 +16,24 @@ def with_ordinal(df: DataFrame, *order: Column, name: str = "ordinal") -> DataFr
     """
     placed = cut_lineage(df.orderBy(*order).withColumns(
         {"_part": F.spark_partition_id(), "_seq": F.monotonically_increasing_id()}))
-    return shifted(placed, ["_part"], "_seq", name).drop("_part", "_seq")
+    return shifted(placed, ["_part"], "_seq", name, placed.rdd.getNumPartitions()).drop("_part", "_seq")
 
 
-def shifted(placed: DataFrame, part: list[str], seq: str, name: str) -> DataFrame:
-    """Turn per-partition sequence numbers into global ones; ``part`` orders the partitions."""
+SENT = 10_000  # offsets of more partitions than this are joined, not sent to every task
+
+
+def shifted(placed: DataFrame, part: list[str], seq: str, name: str, parts: int, skipped: Column | None = None) -> DataFrame:
+    """Turn per-partition sequence numbers into global ones; ``part`` orders the partitions.
+
+    ``parts`` bounds their number. ``skipped`` says how many rows at the head of a partition drop out.
+    """
     before = Window.orderBy(*part).rowsBetween(Window.unboundedPreceding, -1)
+    skip = F.lit(0) if skipped is None else skipped
     offsets = (placed.groupBy(*part).agg(F.count("*").alias("_n"), F.min(seq).alias("_first"))
-               .select(*part, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift")))
-    return (placed.join(F.broadcast(offsets), part)  # one row per partition
-            .withColumn(name, F.col(seq) + F.col("_shift")).drop("_shift"))
+               .select(*part, "_first", skip.alias("_skip"), F.coalesce(F.sum(F.col("_n") - skip).over(before), F.lit(0)).alias("_before")))
+    numbered = placed.join(F.broadcast(offsets) if parts <= SENT else offsets, part)
+    at = F.col(seq) - F.col("_first") - F.col("_skip")
+    return numbered.where(at >= 0).withColumn(name, at + F.col("_before")).drop("_first", "_skip", "_before")
 
 
 def running_sum(df: DataFrame, key: str, value: str, name: str, block: int = 100_000) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from skein.functions.ordinal import with_ordinal
 
 LINE_WIDTH = 100   # fixed: FASTA line length
-PREFIX = 100       # fixed: characters of a piece looked up in a read
 
 
 def clean(seq: Column) -> Column:
@@ -25,9 +24,9 @@ def wrap(seq: Column, width: int = LINE_WIDTH) -> Column:
     return F.regexp_replace(seq, "(.{%d})(?=.)" % width, "$1\n")
 
 
-def prefix_in(piece: Column, read: Column) -> Column:
-    """Whether a read contains the first characters of a piece."""
-    return F.contains(read, F.substring(piece, 1, PREFIX))
+def prefix_in(piece: Column, read: Column, length: int | None = None) -> Column:
+    """Whether a read contains a piece, or only its first ``length`` characters."""
+    return F.contains(read, piece if length is None else F.substring(piece, 1, length))
 
 
 def difference(a: Column, b: Column) -> Column:

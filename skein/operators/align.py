@@ -218,31 +218,20 @@ def choose_cuts(hits: dict[int, list[int]], parts: int, length: int, read_length
     """Cut positions of a read from the occurrences of template parts.
 
     Every mapped border part proposes a cut, kept when more than a part length away from both read
-    ends. The first proposal within 1.5 template lengths is taken, then repeatedly the first one
-    between 0.5 and 1.5 template lengths later. Chosen cuts take the place of proposals at the head
-    of the list.
+    ends. The first proposal within 1.5 template lengths is taken, then, as long as there is one, the first
+    proposal between 0.5 and 1.5 template lengths later.
     """
     # fixed: proposing part, shift of its end to the border in part lengths
     borders = ((parts - 1, 0), (0, -1), (parts - 2, 1), (1, -2))
     proposals = [pos + shift * length for part, shift in borders for pos in sorted(hits.get(part, []))
                  if pos + shift * length > length and read_length - (pos + shift * length) > length]
-    far = template_length + template_length // 2
-    chosen = 0
-    first = next((c for c in proposals if c < far), None)
-    if first is None:
-        return []
-    proposals[0], chosen = first, 1
-    for _ in range(60):  # fixed: at most 60 further cuts
-        last = proposals[chosen - 1]
-        following = next((c for c in proposals if last + template_length // 2 < c < last + far), None)
-        if following is None:
-            break
-        if chosen < len(proposals):
-            proposals[chosen] = following
-        else:
-            proposals.append(following)
-        chosen += 1
-    return proposals[:chosen]
+    half, far = template_length // 2, template_length + template_length // 2
+    cuts: list[int] = []
+    following = next((c for c in proposals if c < far), None)
+    while following is not None:
+        cuts.append(following)
+        following = next((c for c in proposals if cuts[-1] + half < c < cuts[-1] + far), None)
+    return cuts
 
 
 def map_parts(reads: DataFrame, template: str, parts: int = 60, overlap: int = 0, max_error: float = MAX_ERROR,

@@ -11,7 +11,7 @@ from skein.schema import N_SYMBOLS
 
 
 def tested_pairs(rows: DataFrame, width: int, n_rows: int, min_cov: int = 30, min_gap: int = 20,
-                 base_dominated: bool = True, stop_at_first_gap: bool = True) -> DataFrame:
+                 base_dominated: bool = True, stop_at_first_gap: bool = False) -> DataFrame:
     """Significance of all eligible group pairs.
 
     Both groups must be eligible by size, the left column must be dominated by bases unless

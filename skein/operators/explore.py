@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import stats
+from skein.functions.ordinal import with_ordinal
 from skein.operators import pairs
 from skein.schema import N_SYMBOLS, group_id
 from skein.session import cut_lineage
@@ -81,7 +82,7 @@ def conflicts(members: DataFrame, all_rows: DataFrame, min_shared: int) -> DataF
     Membership is written as a matrix with one column per group, so intersections are pair counts.
     """
     seeds = members.select("seed").distinct()
-    index = cut_lineage(seeds.select("seed", (F.row_number().over(Window.orderBy("seed")) - 1).alias("col")))
+    index = cut_lineage(with_ordinal(seeds, F.col("seed"), name="col").select("seed", F.col("col").cast("int").alias("col")))
     m = index.count()
     cells = members.join(index, "seed").select("row_id", "col")
     rows = (cells.groupBy("row_id").agg(F.collect_set("col").alias("cols"))
@@ -143,7 +144,7 @@ def greedy_mean_clique(both_ways: DataFrame, seed: int, max_clique: int, cutoff:
 
 
 def greedy_group_clique(cells: DataFrame, seed: int, max_clique: int, cutoff: float, n_rows: int, min_cov: int,
-                        max_rows: int = 500) -> list[int]:
+                        max_rows: int | None = None) -> list[int]:
     """Grow a clique by the group most significant against the rows currently selected by it.
 
     Selected are the rows in more than c members, c from the binomial cutoff model; their universe are
@@ -167,7 +168,8 @@ def greedy_group_clique(cells: DataFrame, seed: int, max_clique: int, cutoff: fl
         total = held.where("held").count()
         z = stats.significance(F.col("k"), F.col("g1"), F.col("g2"), F.col("cov"), F.col("size"), F.lit(total),
                                base=stats.CLIQUE_BASE)
-        best = (by_group.where((F.col("k") > min_cov // 4) & (F.col("g1") < max_rows)).join(by_column, "col").join(sizes, "g")
+        small = F.lit(True) if max_rows is None else F.col("g1") < max_rows
+        best = (by_group.where((F.col("k") > min_cov // 4) & small).join(by_column, "col").join(sizes, "g")
                 .select("g", z.alias("z")).where(F.col("z") > cutoff).orderBy(F.desc("z"), "g").first())
         if best is None:
             break

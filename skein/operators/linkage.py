@@ -11,8 +11,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.functions.ordinal import with_ordinal
 from skein.operators import matrix, pairs
 from skein.schema import BLANK, N_SYMBOLS, check_width, symbol_char
+from skein.session import cut_lineage
 
 # --- fixed values -----------------------------------------------------------
 CONFIDENCES = tuple(c / 10 for c in range(10))  # thresholds 0.0, 0.1, ... 0.9
@@ -57,15 +59,27 @@ def normalised(m: DataFrame) -> DataFrame:
             .select("i", "j", F.round(F.col("p") / F.col("t"), DIGITS).alias("p")))
 
 
-def chain(layers: list[DataFrame]) -> DataFrame:
-    """Transition from the first to the last clustering through all in between."""
-    steps = [transition(contingency(a, b)) for a, b in zip(layers, layers[1:])]
-    return reduce(product, steps)
+def contingencies(layers: DataFrame, n: int) -> list[DataFrame]:
+    """Rows per pair of labels of each two neighbouring clusterings, in one pass over ``layers``.
+
+    ``layers`` holds for every row the array ``labels`` of its ``n`` labels, null where it has none.
+    """
+    k = F.explode(F.sequence(F.lit(1), F.lit(n - 1))).alias("k")
+    met = (layers.select("labels", k).select("k", F.get("labels", F.col("k") - 1).alias("i"), F.get("labels", F.col("k")).alias("j"))
+           .where(F.col("i").isNotNull() & F.col("j").isNotNull()).groupBy("k", "i", "j").agg(F.count("*").alias("n")))
+    met = cut_lineage(met)  # of the size of the labels
+    return [met.where(F.col("k") == step).drop("k") for step in range(1, n)]
+
+
+def chain(counts: list[DataFrame]) -> DataFrame:
+    """Transition from the first to the last clustering through all in between, from their contingency tables."""
+    return reduce(product, [transition(c) for c in counts])
 
 
-def connection(layers: list[DataFrame]) -> DataFrame:
+def connection(counts: list[DataFrame]) -> DataFrame:
     """Forward chain times the transposed backward chain, rows normalised."""
-    return normalised(elementwise(chain(layers), transposed(chain(layers[::-1]))))
+    back = [transposed(c) for c in counts[::-1]]
+    return normalised(elementwise(chain(counts), transposed(chain(back))))
 
 
 def conditional_shares(truth: DataFrame, labelled: DataFrame, masked: bool = True) -> DataFrame:
@@ -119,9 +133,9 @@ def resolution_summary(states: DataFrame) -> DataFrame:
 
 
 def groups(labelled: DataFrame) -> DataFrame:
-    """Dense index of non-empty labels in ascending order; one row per label meets in the window."""
+    """Dense index of non-empty labels in ascending order."""
     sizes = labelled.where(F.col("label").isNotNull()).groupBy("label").agg(F.count("*").alias("size"))
-    return sizes.select("label", (F.row_number().over(Window.orderBy("label")) - 1).alias("idx"), "size")
+    return with_ordinal(sizes, F.col("label"), name="idx").select("label", "idx", "size")
 
 
 # --- how different are the copies -------------------------------------------

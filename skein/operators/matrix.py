@@ -11,6 +11,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.schema import BASES, BLANK, GAP, N_SYMBOLS, check_width, symbol_char, symbol_code
+from skein.session import cut_lineage
+
+
+SENT_COLUMNS = 1_000_000  # tables with a row per column are sent to the tasks up to this size
+
+
+def sent(per_column: DataFrame) -> DataFrame:
+    """A table with one row per column, marked for broadcast if its size allows."""
+    small = cut_lineage(per_column)
+    return F.broadcast(small) if small.count() <= SENT_COLUMNS else small
 
 
 # --- shape ------------------------------------------------------------------
@@ -29,14 +39,16 @@ def to_cells(rows: DataFrame) -> DataFrame:
 
 
 def to_rows(cells: DataFrame, width: int, upper: bool = False) -> DataFrame:
-    """Long to wide: one shuffle on ``row_id``, the string is put together in the JVM."""
+    """Long to wide: one shuffle on ``row_id``, the string is put together in the JVM. A cell beyond ``width`` is an error."""
     gap_before = F.expr("transform(cells, (x, i) -> x.col - IF(i = 0, -1, get(cells, i - 1).col) - 1)")
     packed = (cells.groupBy("row_id")
               .agg(F.array_sort(F.collect_list(F.struct("col", "sym"))).alias("cells"))
               .withColumn("gaps", gap_before))
     text = F.array_join(F.zip_with(
         "cells", "gaps", lambda x, g: F.concat(F.repeat(F.lit(BLANK), g), symbol_char(x["sym"], upper))), "")
-    return packed.select("row_id", F.rpad(text, width, BLANK).alias("symbols"))
+    beyond = F.element_at("cells", -1)["col"] >= width
+    checked = F.when(beyond, F.raise_error(F.lit(f"a cell lies beyond the matrix width {width}"))).otherwise(F.rpad(text, width, BLANK))
+    return packed.select("row_id", checked.alias("symbols"))
 
 
 def same_width_rows(rows: DataFrame, width: int) -> DataFrame:
@@ -120,23 +132,28 @@ def row_scores(cells: DataFrame) -> DataFrame:
     """Disagreements of every row with all rows covering its columns."""
     n = column_counts(cells)
     own = F.expr("CASE sym WHEN 0 THEN n0 WHEN 1 THEN n1 WHEN 2 THEN n2 WHEN 3 THEN n3 ELSE n4 END")
-    return (cells.join(n, "col").groupBy("row_id").agg(F.sum(F.col("cov") - own).alias("score")))
+    return cells.join(sent(n), "col").groupBy("row_id").agg(F.sum(F.col("cov") - own).alias("score"))
+
+
+def _product(a, b) -> Column:
+    """Products of row counts pass 64 bits from 3 * 10^9 rows on."""
+    wide = [F.col(x) if isinstance(x, str) else x for x in (a, b)]
+    return wide[0].cast("decimal(19,0)") * wide[1].cast("decimal(19,0)")
 
 
 def sum_of_pairs_score(cells: DataFrame) -> DataFrame:
     """Disagreeing ordered row pairs over all columns, in closed form per column."""
     n = column_counts(cells)
-    agree = sum((F.col(f"n{s}") * F.col(f"n{s}") for s in range(1, N_SYMBOLS)), F.col("n0") * F.col("n0"))
-    return n.agg(F.coalesce(F.sum(F.col("cov") * F.col("cov") - agree), F.lit(0)).alias("score"),
-                 F.count("*").alias("width"))
+    agree = sum((_product(f"n{s}", f"n{s}") for s in range(1, N_SYMBOLS)), _product("n0", "n0"))
+    return n.agg(F.coalesce(F.sum(_product("cov", "cov") - agree), F.lit(0)).alias("score"), F.count("*").alias("width"))
 
 
 def alignment_quality(cells: DataFrame) -> DataFrame:
     """Share of (base, symbol) comparisons that disagree."""
     n = column_counts(cells)
-    errors = sum((F.col(f"n{s}") * (F.col("cov") - F.col(f"n{s}")) for s in range(1, BASES)),
-                 F.col("n0") * (F.col("cov") - F.col("n0")))
-    return n.agg((F.sum(errors) / F.sum((F.col("cov") - F.col(f"n{GAP}")) * F.col("cov"))).alias("quality"))
+    errors = sum((_product(f"n{s}", F.col("cov") - F.col(f"n{s}")) for s in range(1, BASES)), _product("n0", F.col("cov") - F.col("n0")))
+    all_pairs = F.sum(_product(F.col("cov") - F.col(f"n{GAP}"), "cov"))
+    return n.agg((F.sum(errors).cast("double") / all_pairs.cast("double")).alias("quality"))
 
 
 def error_rates(cells: DataFrame, max_z: DataFrame, cutoff: float) -> DataFrame:
@@ -218,7 +235,7 @@ def based_columns(cells: DataFrame) -> DataFrame:
 
 def drop_empty_columns(cells: DataFrame) -> DataFrame:
     """Remove columns without bases and renumber the rest."""
-    return (cells.join(based_columns(cells), "col")
+    return (cells.join(sent(based_columns(cells)), "col")
             .select("row_id", F.col("new_col").alias("col"), "sym"))
 
 

@@ -30,10 +30,12 @@ for _i, _pair in enumerate(("aA", "cC", "gG", "tT", "-_")):
 
 
 def encode(symbols: pd.Series, width: int | None = None) -> np.ndarray:
-    """Equal-width symbol strings to an int8 matrix, 5 marks a blank."""
+    """Symbol strings to an int8 matrix, 5 marks a blank; short rows end in blanks, longer ones than ``width`` are an error."""
     if width is None:
         width = len(symbols.iloc[0]) if len(symbols) else 0
-    raw = "".join(s[:width].ljust(width) for s in symbols).encode("ascii", "replace")
+    if any(len(s) > width for s in symbols):
+        raise ValueError(f"a row is longer than the matrix width {width}")
+    raw = "".join(s.ljust(width) for s in symbols).encode("ascii", "replace")
     return _CODE_OF[np.frombuffer(raw, dtype=np.uint8)].reshape(len(symbols), width)
 
 

@@ -127,8 +127,12 @@ def binomial_above(c: str, v: str, p: float) -> str:
     return f"list_sum(list_transform(generate_series({c} + 1, {v}), lambda t: {pmf}))"
 
 
-def three_lines() -> str:
-    return (f"cells AS MATERIALIZED ({ORDER_CELLS}), l1 AS ({line_label(1)}), l2 AS ({line_label(2)}), l3 AS ({line_label(3)}), st AS ({STATUS})")
+ORDER_LINES = 7  # most lines of an order in the given tables
+
+
+def line_labels() -> str:
+    """Clusterings of the orders by each of their lines, and by their status."""
+    return ", ".join([f"cells AS MATERIALIZED ({ORDER_CELLS})", *(f"l{k} AS ({line_label(k)})" for k in range(1, ORDER_LINES + 1)), f"st AS ({STATUS})"])
 
 
 def step(name: str, a: str, b: str) -> str:
@@ -150,8 +154,7 @@ states AS (SELECT t.i, t.best, t.confidence, CASE WHEN t.confidence <> coalesce(
 FROM top t LEFT JOIN top o ON o.i = t.best)"""
 
 VECTORS = """truth AS (SELECT vec_id AS row_id, label FROM embeddings),
-found AS (SELECT vec_id AS row_id, list_reduce(list_prepend(0, list_transform(embedding[1:6], lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END)),
-lambda a, b: a * 2 + b) AS label FROM embeddings),
+found AS (SELECT vec_id AS row_id, list_position(embedding, list_max(embedding)) AS label FROM embeddings),
 met AS (SELECT t.label AS i, f.label AS j, count(*) AS n FROM truth t JOIN found f USING (row_id) GROUP BY t.label, f.label),
 there AS (SELECT i, j, n / sum(n) OVER (PARTITION BY i) AS p FROM met), back AS (SELECT j AS i, i AS j, n / sum(n) OVER (PARTITION BY j) AS p FROM met),
 """ + product("joint", "there", "back") + """,
@@ -313,7 +316,7 @@ LEFT JOIN (SELECT seed AS s, c, n_rows FROM filled) f ON f.s = seed AND f.c = cu
     korr = f"""trials AS (SELECT f.seed, f.c, f.n_seed AS k, f.n_rows AS g1, s.size AS g2, v.cov, f.n_rows AS size_i, s.size AS size_j FROM filled f JOIN best_cut b USING (seed)
 JOIN sizes s ON s.col * 5 + s.sym = f.seed JOIN colcov v ON v.col = f.seed // 5 WHERE f.c >= b.best_cutoff),
 scored AS (SELECT seed, c, {significance(97.9)} AS z FROM (SELECT *, CASE WHEN k < 1 THEN 0.0 ELSE {UPPER} END AS raw FROM trials))"""
-    q["korr_max_cutoff"] = shown("SELECT seed, max(z) AS z FROM scored GROUP BY seed", "seed", "z", ctes=CLIQUES + ", " + best_cut + ", " + korr)
+    q["korr_max_cutoff"] = shown("SELECT seed, max(z) AS z, CASE WHEN max(z) > 0 THEN arg_max(c, (z, -c)) ELSE 0 END AS cutoff FROM scored GROUP BY seed", "seed cutoff", "z", ctes=CLIQUES + ", " + best_cut + ", " + korr)
     q["prefix_dropoff"] = shown("""SELECT s.seed, coalesce(x.d, 1000000.0) AS drop_off, coalesce(x.prefix, 0) AS size, coalesce(x.c, 1) AS cutoff FROM clique_size s LEFT JOIN (
 SELECT seed, prefix, c, d FROM (SELECT seed, prefix, c, (lag(n) OVER w - lead(n) OVER w) / nullif(least((SELECT n FROM n_rows) - n, n), 0) AS d FROM counted WINDOW w AS (PARTITION BY seed, prefix ORDER BY c))
 WHERE d IS NOT NULL AND c >= 1 AND c < prefix QUALIFY row_number() OVER (PARTITION BY seed ORDER BY d, prefix DESC, c DESC) = 1) x ON x.seed = s.seed""",
@@ -337,11 +340,11 @@ WHERE d IS NOT NULL AND c BETWEEN 1 AND size - 2)""")
     # --- labels
     q["label_compression"] = shown("SELECT row_id, CASE WHEN label IS NOT NULL THEN new_label END AS label FROM raw LEFT JOIN (SELECT label, row_number() OVER (ORDER BY min(row_id)) - 1 AS new_label FROM raw WHERE label IS NOT NULL GROUP BY label) USING (label)",
                                    "row_id label", ctes="raw AS (SELECT o_orderkey AS row_id, CASE WHEN o_orderstatus <> 'P' THEN o_custkey END AS label FROM orders)")
-    q["completed_labels"] = shown("SELECT * FROM l1", "row_id label", ctes=three_lines())
-    q["cluster_sizes"] = shown("SELECT label, count(*) AS size FROM l1 WHERE label IS NOT NULL GROUP BY label", "label size", ctes=three_lines())
+    q["completed_labels"] = shown("SELECT * FROM l1", "row_id label", ctes=line_labels())
+    q["cluster_sizes"] = shown("SELECT label, count(*) AS size FROM l1 WHERE label IS NOT NULL GROUP BY label", "label size", ctes=line_labels())
     split = """SELECT st.label, c.col * 5 + c.sym AS seed, count(*) AS inside, max(t.n) - count(*) AS outside FROM st JOIN cells c USING (row_id) JOIN (SELECT label, count(*) AS n FROM st GROUP BY label) t USING (label) GROUP BY ALL"""
-    q["split_counts"] = shown(split, "label seed inside outside", ctes=three_lines())
-    q["splittable_clusters"] = shown(f"SELECT * FROM ({split}) WHERE inside > 1000 AND outside > 1000", "label seed inside outside", ctes=three_lines())
+    q["split_counts"] = shown(split, "label seed inside outside", ctes=line_labels())
+    q["splittable_clusters"] = shown(f"SELECT * FROM ({split}) WHERE inside > {MIN_GROUP} AND outside > {MIN_GROUP}", "label seed inside outside", ctes=line_labels())
     q["block_accuracy"] = shown("""SELECT avg(m.n / t.n) AS accuracy FROM (SELECT b, arg_max(label, (n, -f)) AS label, max(n) AS n FROM (SELECT row_id // 30 AS b, label, count(*) AS n, min(row_id) AS f FROM st WHERE row_id < (SELECT count(*) FROM st) // 30 * 30 GROUP BY ALL) GROUP BY b) m JOIN (SELECT label, count(*) AS n FROM st GROUP BY label) t USING (label)""",
                                 "", "accuracy", ctes=f"st AS ({STATUS})")
     q["knn_majority"] = shown("SELECT row_id, array_to_string(center, '') AS centroid FROM centers", "row_id", "", "centroid", ctes=NEAR)
@@ -350,13 +353,16 @@ ORDER BY list_sum(list_transform(list_zip(x.bits, c.center), lambda p: CASE WHEN
     q["nearest_row"] = shown("SELECT row_id, other AS cluster FROM near WHERE row_id <> other QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY dist, other) = 1", "row_id cluster", ctes=NEAR)
 
     # --- linkage
-    q["contingency"] = shown("SELECT l1.label AS i, l2.label AS j, count(*) AS n FROM l1 JOIN l2 USING (row_id) WHERE l1.label IS NOT NULL AND l2.label IS NOT NULL GROUP BY ALL", "i j n", ctes=three_lines())
-    q["transition_matrix"] = shown("SELECT * FROM t12", "i j", "p", ctes=three_lines() + ", " + step("t12", "l1", "l2"))
-    q["chain_product"] = shown("SELECT * FROM c13", "i j", "p", ctes=", ".join([three_lines(), step("t12", "l1", "l2"), step("t23", "l2", "l3"), product("c13", "t12", "t23")]))
-    layers = ["st", "l1", "l2", "l3", "st"]
-    fwd = [step(f"f{i}", layers[i], layers[i + 1]) for i in range(4)] + [product("ff1", "f0", "f1"), product("ff2", "ff1", "f2"), product("ff3", "ff2", "f3")]
-    back = [step(f"b{i}", layers[4 - i], layers[3 - i]) for i in range(4)] + [product("bb1", "b0", "b1"), product("bb2", "bb1", "b2"), product("bb3", "bb2", "b3")]
-    q["connection"] = shown("SELECT * FROM linked", "i j", "p", ctes=", ".join([three_lines(), *fwd, *back, linked("ff3", "bb3")]))
+    q["contingency"] = shown("SELECT l1.label AS i, l2.label AS j, count(*) AS n FROM l1 JOIN l2 USING (row_id) WHERE l1.label IS NOT NULL AND l2.label IS NOT NULL GROUP BY ALL", "i j n", ctes=line_labels())
+    q["transition_matrix"] = shown("SELECT * FROM t12", "i j", "p", ctes=line_labels() + ", " + step("t12", "l1", "l2"))
+    lines = [f"l{k}" for k in range(1, ORDER_LINES + 1)]
+    steps = lambda t, names: [step(f"{t}{i}", x, y) for i, (x, y) in enumerate(zip(names, names[1:]))]
+    products = lambda t, n: [product(f"{t}{t}1", f"{t}0", f"{t}1"), *(product(f"{t}{t}{i}", f"{t}{t}{i - 1}", f"{t}{i}") for i in range(2, n))]
+    q["chain_product"] = shown(f"SELECT * FROM ff{ORDER_LINES - 2}", "i j", "p", ctes=", ".join([line_labels(), *steps("f", lines), *products("f", ORDER_LINES - 1)]))
+    layers = ["st", *lines, "st"]
+    q["connection"] = shown("SELECT * FROM linked", "i j", "p", ctes=", ".join([
+        line_labels(), *steps("f", layers), *products("f", ORDER_LINES + 1), *steps("b", layers[::-1]), *products("b", ORDER_LINES + 1),
+        linked(f"ff{ORDER_LINES}", f"bb{ORDER_LINES}")]))
     q["multi_step_resolution"] = shown("SELECT * FROM states", "i best state", "confidence", ctes=", ".join([
         f"la AS ({LANGUAGE})", f"so AS ({SOURCE})", step("f0", "la", "so"), step("f1", "so", "la"), product("ff", "f0", "f1"), linked("ff", "ff"), MUTUAL]))
     q["conditional_shares"] = shown("SELECT i, j, m.n / ci.n AS p_label, m.n / cj.n AS p_copy FROM (SELECT la.label AS i, so.label AS j, count(*) AS n FROM la JOIN so USING (row_id) WHERE so.label IS NOT NULL GROUP BY ALL) m JOIN (SELECT label AS i, count(*) AS n FROM la GROUP BY label) ci USING (i) JOIN (SELECT label AS j, count(*) AS n FROM so WHERE label IS NOT NULL GROUP BY label) cj USING (j)",
@@ -383,7 +389,7 @@ FROM (SELECT copy, min(diff) FILTER (NOT half) AS a, min(diff) FILTER (half) AS
     q["template_parts"] = shown("SELECT part, substr(template, part * (length(template) // 60) + 1, length(template) // 60 + 5) AS seq FROM t, (SELECT unnest(range(60)) AS part)", "part", "", "seq", ctes=template)
     q["read_split"] = shown("SELECT read_id, piece, substr(seq, piece * 500 + 1, 500) AS seq FROM (SELECT *, unnest(range(greatest(1, (length(seq) + 499) // 500))) AS piece FROM reads)", "read_id piece", "", "seq", ctes=docs)
     q["read_piece_lists"] = shown("SELECT read_id, string_agg(CAST(seq_id AS VARCHAR), ' ' ORDER BY seq_id) AS seq_ids FROM turns GROUP BY read_id", "read_id", "", "seq_ids", ctes=TURNS)
-    q["prefix_containment"] = shown("SELECT t.conv_id, t.turn, contains(f.text, substr(t.text, 1, 100)) AS contained FROM conversations t JOIN conversations f ON f.conv_id = t.conv_id AND f.turn = 0", "conv_id turn", "", "contained")
+    q["prefix_containment"] = shown("SELECT conv_id, turn, contains(coalesce(string_agg(text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), ''), substr(text, 1, 100)) AS contained FROM conversations", "conv_id turn", "", "contained")
     flank = "SELECT r.seq_id, r.read_id, EXISTS (SELECT 1 FROM turns l WHERE l.cls = 'l' AND l.read_id = r.read_id AND l.seq_id = r.seq_id - 1) AS has_left, EXISTS (SELECT 1 FROM turns l WHERE l.cls = 'l' AND l.read_id = r.read_id AND l.seq_id = r.seq_id + 1) AS has_right FROM turns r WHERE r.cls = 'r'"
     q["flanks"] = shown(flank, "seq_id read_id", "", "has_left has_right", ctes=TURNS)
     q["flank_labels"] = shown(f"SELECT seq_id, CASE WHEN has_left THEN read_id % 7 END AS left_copy, CASE WHEN has_right THEN read_id % 7 END AS right_copy FROM ({flank})", "seq_id left_copy right_copy", ctes=TURNS)
@@ -391,7 +397,7 @@ FROM (SELECT copy, min(diff) FILTER (NOT half) AS a, min(diff) FILTER (half) AS
     q["repeat_rows"] = shown("SELECT seq_id, row_number() OVER (ORDER BY seq_id) - 1 AS row_id FROM turns WHERE cls = 'r'", "seq_id row_id", ctes=TURNS)
     q["point_edits"] = shown("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN substr(p_name, 1, pos) || 'x' || substr(p_name, pos + 2) WHEN 1 THEN substr(p_name, 1, pos) || substr(p_name, pos + 2) ELSE substr(p_name, 1, pos) || 'x' || substr(p_name, pos + 1) END AS edited
 FROM (SELECT *, p_partkey % length(p_name) AS pos FROM part)""", "p_partkey", "", "edited")
-    q["string_difference"] = shown("SELECT p_partkey, len(list_filter(range(1, 17), lambda i: substr(a, i, 1) <> substr(b, i, 1) AND substr(a, i, 1) <> ' ' AND substr(b, i, 1) <> ' ')) AS diff FROM (SELECT p_partkey, rpad(p_name, 16, ' ') AS a, rpad(lower(p_type), 16, ' ') AS b FROM part)", "p_partkey diff")
+    q["string_difference"] = shown("SELECT p_partkey, len(list_filter(range(1, w + 1), lambda i: substr(a, i, 1) <> substr(b, i, 1) AND substr(a, i, 1) <> ' ' AND substr(b, i, 1) <> ' ')) AS diff FROM (SELECT p_partkey, w, rpad(p_name, w, ' ') AS a, rpad(lower(p_type), w, ' ') AS b FROM (SELECT *, CAST(greatest(length(p_name), length(p_type)) AS INTEGER) AS w FROM part))", "p_partkey diff")
     q["edit_distance"] = shown("SELECT p_partkey, levenshtein(p_name, lower(p_type)) AS distance FROM part", "p_partkey distance")
     q["order_matrix"] = shown("SELECT part, next_part, count(*) AS n FROM adjacent WHERE distance < 20000 GROUP BY ALL", "part next_part n", ctes=HITS)
     q["distance_histogram"] = shown("SELECT * FROM histogram", "part next_part bucket n", ctes=HITS)

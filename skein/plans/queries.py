@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skein.functions import sequence, stats
-from skein.operators import align, cliques, correlate, explore, linkage, matrix, neighbours, pairs, partition, realign, simulate
+from skein.operators import align, cliques, correlate, explore, linkage, matrix, neighbours, pairs, partition, realign
 from skein.plans import tables
-from skein.plans.tables import EVENT_WIDTH, LETTER_WIDTH, ORDER_WIDTH, table
+from skein.plans.tables import EVENT_WIDTH, LETTER_WIDTH, order_width, table
 from skein.schema import group_id
 from skein.session import cut_lineage
 
@@ -56,7 +56,7 @@ def letter_sizes(rows):
 
 
 def letter_tested(rows, n):
-    return correlate.tested_pairs(rows, LETTER_WIDTH, n, MIN_COV, 1, base_dominated=False)
+    return correlate.tested_pairs(rows, LETTER_WIDTH, n, MIN_COV, 1, base_dominated=False, stop_at_first_gap=True)
 
 
 def letter_max(s, d):
@@ -211,7 +211,7 @@ def base_positions(s, d):
 
 @query
 def pair_counts(s, d):
-    return pairs.group_pairs(pairs.column_pairs(tables.order_rows(s, d), ORDER_WIDTH, 1))
+    return pairs.group_pairs(pairs.column_pairs(tables.order_rows(s, d), order_width(s, d), 1))
 
 
 @query
@@ -223,7 +223,7 @@ def pair_significance(s, d):
 @query
 def max_correlation(s, d):
     rows = tables.event_rows(s, d)
-    tested = correlate.tested_pairs(rows, EVENT_WIDTH, rows.count(), MIN_COV, EVENT_GAP, base_dominated=True)
+    tested = correlate.tested_pairs(rows, EVENT_WIDTH, rows.count(), MIN_COV, EVENT_GAP, base_dominated=True, stop_at_first_gap=True)
     return correlate.max_correlation(tested, EVENT_WIDTH)
 
 
@@ -277,14 +277,14 @@ def snowball(s, d):
 @query
 def error_estimate(s, d):
     rows = tables.event_rows(s, d)
-    tested = correlate.tested_pairs(rows, EVENT_WIDTH, rows.count(), MIN_COV, EVENT_GAP)
+    tested = correlate.tested_pairs(rows, EVENT_WIDTH, rows.count(), MIN_COV, EVENT_GAP, stop_at_first_gap=True)
     return matrix.error_rates(tables.event_cells(s, d), correlate.max_correlation(tested, EVENT_WIDTH), 2.0)
 
 
 @query
 def two_sided_significance(s, d):
     c = F.col
-    found = pairs.group_pairs(pairs.column_pairs(tables.order_rows(s, d), ORDER_WIDTH, 1), min_shared=0)
+    found = pairs.group_pairs(pairs.column_pairs(tables.order_rows(s, d), order_width(s, d), 1), min_shared=0)
     return found.select("ci", "si", "cj", "sj", stats.two_sided(c("k"), c("g1"), c("g2"), c("cov")).alias("z"))
 
 
@@ -297,7 +297,7 @@ def relative_variables(s, d):
 
 @query
 def f_beta(s, d):
-    found = pairs.with_sizes(pairs.group_pairs(pairs.column_pairs(tables.order_rows(s, d), ORDER_WIDTH, 1)),
+    found = pairs.with_sizes(pairs.group_pairs(pairs.column_pairs(tables.order_rows(s, d), order_width(s, d), 1)),
                              matrix.group_sizes(tables.order_cells(s, d)))
     k, a, b = F.col("k"), F.col("size_i"), F.col("size_j")
     return found.select("ci", "si", "cj", "sj", stats.f_beta(k, a - k, b - k).alias("f1"), stats.f_beta(k, a - k, b - k, 2.0).alias("f2"))
@@ -306,7 +306,7 @@ def f_beta(s, d):
 @query
 def group_setops(s, d):
     rows = tables.order_rows(s, d)
-    found = pairs.group_pairs(pairs.column_pairs(rows, ORDER_WIDTH, 1))
+    found = pairs.group_pairs(pairs.column_pairs(rows, order_width(s, d), 1))
     return explore.set_comparison(pairs.with_sizes(found, matrix.group_sizes(tables.order_cells(s, d))), rows.count())
 
 
@@ -379,7 +379,7 @@ def expected_chance_rows(s, d):
 def korr_max_cutoff(s, d):
     rows, n, _, above = letter_above(s, d)
     cells = matrix.to_cells(rows)
-    return cliques.correlation_cutoff(cliques.chance_cutoff(above, n), matrix.column_coverage(cells), matrix.group_sizes(cells)).select("seed", "z")
+    return cliques.correlation_cutoff(cliques.chance_cutoff(above, n), matrix.column_coverage(cells), matrix.group_sizes(cells))
 
 
 @query
@@ -445,7 +445,7 @@ def split_counts(s, d):
 @query
 def splittable_clusters(s, d):
     members = tables.order_cells(s, d).select("row_id", group_id(F.col("col"), F.col("sym")).alias("seed"))
-    return partition.splittable(partition.split_counts(status_label(s, d), members), 1000)
+    return partition.splittable(partition.split_counts(status_label(s, d), members), MIN_GROUP)
 
 
 @query
@@ -506,6 +506,17 @@ def nearest_row(s, d):
 
 # --- linkage ----------------------------------------------------------------
 
+def line_layers(s, d) -> tuple[DataFrame, int]:
+    """Labels of an order: its status, the return flags of all its lines, its status again."""
+    width = order_width(s, d)
+    flags = tables.order_rows(s, d).select("row_id", F.expr(
+        f"transform(sequence(1, {width}), k -> nullif(instr('acgt-', substring(symbols, k, 1)), 0) - 1)").alias("flags"))
+    own = F.array(F.col("label").cast("int"))
+    blank = F.array_repeat(F.lit(None).cast("int"), width)
+    return (status_label(s, d).join(flags, "row_id", "left")
+            .select(F.concat(own, F.coalesce("flags", blank), own).cast("array<bigint>").alias("labels"))), width + 2
+
+
 @query
 def contingency(s, d):
     return linkage.contingency(line_label(s, d, 1), line_label(s, d, 2))
@@ -518,31 +529,32 @@ def transition_matrix(s, d):
 
 @query
 def chain_product(s, d):
-    return linkage.chain([line_label(s, d, i) for i in (1, 2, 3)])
+    layers, n = line_layers(s, d)
+    return linkage.chain(linkage.contingencies(layers, n)[1:-1])
 
 
 @query
 def connection(s, d):
-    return linkage.connection([status_label(s, d), *[line_label(s, d, i) for i in (1, 2, 3)], status_label(s, d)])
+    return linkage.connection(linkage.contingencies(*line_layers(s, d)))
 
 
 @query
 def multi_step_resolution(s, d):
     layers = [language(s, d), source_label(s, d), language(s, d)]
-    return linkage.mutual_best(linkage.connection(layers))
+    return linkage.mutual_best(linkage.connection([linkage.contingency(a, b) for a, b in zip(layers, layers[1:])]))
 
 
 def source_label(s, d) -> DataFrame:
     """Clustering of documents by source, only for documents with a quality label."""
     known = table(s, d, "labels").select("doc_id").distinct()
     return (table(s, d, "documents").join(known.withColumn("k", F.lit(True)), "doc_id", "left")
-            .select(F.col("doc_id").alias("row_id"), F.when(F.col("k"), F.substring("source", 4, 9).cast("bigint")).alias("label")))
+            .select(F.col("doc_id").alias("row_id"), F.when(F.col("k"), F.expr("substring(source, 4)").cast("bigint")).alias("label")))
 
 
 def sign_cluster(s, d) -> DataFrame:
-    """Clustering of embeddings by the signs of their first six dimensions."""
-    bit = F.expr("aggregate(sequence(0, 5), 0, (a, i) -> a * 2 + IF(embedding[i] > 0, 1, 0))")
-    return table(s, d, "embeddings").select(F.col("vec_id").alias("row_id"), bit.cast("bigint").alias("label"))
+    """Clustering of embeddings by their largest dimension."""
+    return table(s, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.expr(
+        "array_position(embedding, array_max(embedding))").cast("bigint").alias("label"))
 
 
 def vector_truth(s, d) -> DataFrame:
@@ -575,7 +587,7 @@ def ordered_groups(s, d):
 
 
 def source_copies(s, d) -> DataFrame:
-    return table(s, d, "documents").select(F.col("doc_id").alias("row_id"), F.substring("source", 4, 9).cast("bigint").alias("label"))
+    return table(s, d, "documents").select(F.col("doc_id").alias("row_id"), F.expr("substring(source, 4)").cast("bigint").alias("label"))
 
 
 def differences(s, d, halves: bool):
@@ -665,9 +677,11 @@ def read_piece_lists(s, d):
 
 @query
 def prefix_containment(s, d):
+    """Whether the conversation as a whole contains the first 100 characters of a turn behind that turn's own text."""
     turns = table(s, d, "conversations")
-    first = turns.where("turn = 0").select("conv_id", F.col("text").alias("read"))
-    return turns.join(first, "conv_id").select("conv_id", "turn", sequence.prefix_in(F.col("text"), F.col("read")).alias("contained"))
+    order = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(1, Window.unboundedFollowing)
+    later = F.array_join(F.collect_list("text").over(order), "\n")  # a conversation is one read
+    return turns.withColumn("read", later).select("conv_id", "turn", sequence.prefix_in(F.col("text"), F.col("read"), 100).alias("contained"))
 
 
 @query
@@ -706,7 +720,8 @@ def point_edits(s, d):
 
 @query
 def string_difference(s, d):
-    parts = table(s, d, "part").select("p_partkey", F.rpad("p_name", 16, " ").alias("a"), F.rpad(F.lower("p_type"), 16, " ").alias("b"))
+    width = F.greatest(F.length("p_name"), F.length("p_type"))
+    parts = table(s, d, "part").select("p_partkey", F.rpad("p_name", width, F.lit(" ")).alias("a"), F.rpad(F.lower("p_type"), width, F.lit(" ")).alias("b"))
     return parts.select("p_partkey", sequence.difference(F.col("a"), F.col("b")).alias("diff"))
 
 
@@ -779,11 +794,3 @@ def realign_round(s, d):
     rows, width = align.build_matrix(cut_lineage(aligned), length)
     rows, width = realign.tidy(rows, width)
     return realign.realign_round(cut_lineage(rows), width, band=200)[0]
-
-
-@query
-def simulate_reads(s, d):
-    """Noisy reads of a copy family of the benchmark text, one copy per supplier."""
-    family = simulate.Family(coverage=5, copies=table(s, d, "supplier").count(), percent=2, structure="EquiDistant", flank=200, seed=42)
-    template = template_concat(s, d).select(F.col("template").alias("seq"))
-    return simulate.sample_reads(simulate.with_flanks(simulate.copies(template, family), family), family, scale=0.1)

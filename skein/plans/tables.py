@@ -26,10 +26,13 @@ def order_cells(spark, sf_dir) -> DataFrame:
 
 
 def order_rows(spark, sf_dir) -> DataFrame:
-    return matrix.to_rows(order_cells(spark, sf_dir), ORDER_WIDTH)
+    """Order rows; the most lines an order has are the width."""
+    cells = order_cells(spark, sf_dir)
+    return matrix.to_rows(cells, order_width(spark, sf_dir))
 
 
-ORDER_WIDTH = 7  # line numbers run from 1 to 7
+def order_width(spark, sf_dir) -> int:
+    return table(spark, sf_dir, "lineitem").agg(F.max("l_linenumber")).first()[0] or 0
 
 
 def letter_rows(spark, sf_dir) -> DataFrame:

@@ -6,7 +6,7 @@ of any size are read in parallel: only one (path, split, count) record per split
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.ordinal import shifted
@@ -14,23 +14,28 @@ from skein.functions.sequence import clean
 from skein.schema import N_SYMBOLS, symbol_char, symbol_code
 
 
-def numbered_lines(spark: SparkSession, path: str, line_sep: str | None = None) -> DataFrame:
-    """``(line_no, value)`` over the files of ``path`` in name and file order."""
+def numbered_lines(spark: SparkSession, path: str, line_sep: str | None = None, keep: Column | None = None,
+                   headed: bool = False) -> DataFrame:
+    """``(line_no, value)`` over the files of ``path`` in name and file order.
+
+    Lines that fail ``keep`` use no number. With ``headed`` the first line of every file is none.
+    """
     reader = spark.read if line_sep is None else spark.read.option("lineSep", line_sep)
-    lines = reader.text(path).select("value", F.col("_metadata.file_path").alias("_file"),
-                                     F.col("_metadata.file_block_start").alias("_start"),
-                                     F.monotonically_increasing_id().alias("_seq"))
-    return shifted(lines, ["_file", "_start"], "_seq", "line_no").select("line_no", "value")
+    read = reader.text(path).select("value", "_metadata")
+    lines = (read if keep is None else read.where(keep)).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_seq"))
+    return shifted(lines, ["_file", "_start"], "_seq", "line_no", read.rdd.getNumPartitions(),
+                   (F.col("_start") == 0).cast("int") if headed else None).select("line_no", "value")
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """FASTA records ``(read_id, seq)``; headers and line breaks vanish, only acgt are kept.
 
-    Splitting at ``>`` yields one record per row; what precedes the first ``>`` is not a record.
+    Splitting at ``>`` yields one record per row; what precedes the first ``>`` of a file is not a record.
     """
-    records = numbered_lines(spark, path, ">").where(F.col("line_no") > 0)
     body = F.regexp_replace("value", r"^[^\n]*(\n|$)", "")
-    return records.select((F.col("line_no") - 1).alias("read_id"), clean(body).alias("seq"))
+    return numbered_lines(spark, path, ">", headed=True).select(F.col("line_no").alias("read_id"), clean(body).alias("seq"))
 
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
@@ -64,7 +69,7 @@ def read_integers(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 def read_correlations(spark: SparkSession, path: str) -> DataFrame:
     """Maximum significance per group, one number per line, blank lines skipped."""
-    lines = numbered_lines(spark, path).where(F.trim("value") != "")
+    lines = numbered_lines(spark, path, keep=F.trim("value") != "")
     return lines.select(F.col("line_no").alias("g"), F.expr("try_cast(trim(value) as double)").alias("z"))
 
 
@@ -76,6 +81,7 @@ def read_piece_map(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_classes(spark: SparkSession, path: str) -> DataFrame:
+    """Class per piece, one per line."""
     return numbered_lines(spark, path).select(F.col("line_no").alias("seq_id"), F.trim("value").alias("cls"))
 
 
@@ -107,6 +113,16 @@ def write_labels(labelled: DataFrame, path: str) -> None:
     write_lines(labelled.select("row_id", F.coalesce("label", F.lit(-1)).alias("label")), "row_id", "label", path)
 
 
+def write_classes(pieces: DataFrame, path: str) -> None:
+    """Class per piece, in the order of the pieces."""
+    write_lines(pieces.select("seq_id", "cls"), "seq_id", "cls", path)
+
+
+def write_integers(df: DataFrame, order: str, value: str, path: str) -> None:
+    """One integer per row, such as a start or a copy number per read."""
+    write_lines(df.select(order, value), order, value, path)
+
+
 def write_piece_map(lists: DataFrame, path: str) -> None:
     """Space-separated piece ids per read."""
     text = F.array_join(F.transform("seq_ids", lambda x: x.cast("string")), " ")

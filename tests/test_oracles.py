@@ -4,14 +4,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from skein.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
           "conversations").split()
-QUICK = ("base_group_size weighted_consensus column_consensus row_score coverage_window gap_runs_to_blank drop_empty_columns "
-         "pair_counts pair_significance max_correlation two_sided_significance clique_topk refined_groups korr_max_cutoff "
-         "relative_dropoff label_compression nearest_centroid connection resolution_quality half_resolvability read_split "
-         "flanks distance_histogram two_column_moves").split()
+NAMES = sorted(set(entry.oracle_sql()) & set(QUERIES))
 
 
 @pytest.fixture(scope="module")
@@ -26,7 +24,7 @@ def ordered(rows):
     return sorted(rows, key=lambda r: tuple((v is None, v) for v in r))
 
 
-@pytest.mark.parametrize("name", QUICK)
+@pytest.mark.parametrize("name", NAMES)
 def test_query_matches_sql(spark, con, name):
     df = entry.queries()[name](spark, SF)
     cur = con.execute(entry.oracle_sql()[name])
