@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.stats import significance_cutoff
 from skein.operators import matrix, pairs
-from skein.schema import N_SYMBOLS
+from skein.schema import N_SYMBOLS, group_id
 
 
 def tested_pairs(rows: DataFrame, width: int, n_rows: int, min_cov: int = 30, min_gap: int = 20,
@@ -43,6 +43,11 @@ def max_correlation(tested: DataFrame, width: int) -> DataFrame:
             .select("g", F.coalesce("z", F.lit(0.0)).alias("z")))
 
 
+def distant_pairs(tested: DataFrame, distance: int = 100) -> DataFrame:
+    """Pairs whose group ids lie more than ``distance`` apart."""
+    return tested.where(F.abs(group_id(F.col("cj"), F.col("sj")) - group_id(F.col("ci"), F.col("si"))) > distance)
+
+
 def significant_partners(tested: DataFrame, cutoff: float) -> DataFrame:
     """Number of partners above the cutoff per group having any."""
     return (pairs.both_directions(tested.where(F.col("z") > cutoff), "z")
@@ -94,7 +99,6 @@ def snowball(tested: DataFrame, sizes: DataFrame, n_rows: int, width: int, cutof
     turns up, so every group connected to a starting group gets its exact maximum.
     """
     from skein.session import cut_lineage
-    from skein.schema import group_id
 
     edges = cut_lineage(pairs.both_directions(tested.where(F.col("z") > cutoff), "z"))
     start = (sizes.where((F.col("size") > n_rows // fraction) & (F.col("size") < n_rows - n_rows // fraction))

@@ -95,6 +95,12 @@ def conflicts(members: DataFrame, all_rows: DataFrame, min_shared: int) -> DataF
             .select("a", "b", F.col("n00").alias("shared")))
 
 
+def intersections(members: DataFrame, with_seeds: DataFrame) -> DataFrame:
+    """Rows of every refined group that also lie in a group of ``with_seeds``, which are few."""
+    inside = members.join(F.broadcast(with_seeds), "seed", "left_semi").select("row_id").distinct()
+    return members.join(inside, "row_id", "left_semi")
+
+
 def compatible_groups(members: DataFrame, conflict_pairs: DataFrame) -> DataFrame:
     """Groups left after removing the one with most conflicts until all have equally many.
 

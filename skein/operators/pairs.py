@@ -16,7 +16,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import stats
+from skein.operators import matrix
 from skein.schema import N_SYMBOLS, group_id
+from skein.session import cut_lineage
 
 BLOCK_COLS = 256
 BLOCK_ROWS = 8192
@@ -164,6 +166,15 @@ def pair_significance(sized_pairs: DataFrame, base: float = stats.PAIR_BASE) ->
         "z", stats.significance(c("k"), c("g1"), c("g2"), c("cov"), c("size_i"), c("size_j"), base))
 
 
+def relative_significance(rows: DataFrame, width: int, universe: DataFrame) -> DataFrame:
+    """Two-sided significance ``z`` of two groups counted within the rows of ``universe`` only; 0 if one is empty there."""
+    inside = cut_lineage(rows.join(universe.select("row_id"), "row_id", "left_semi"))
+    found = group_pairs(column_pairs(inside, width, 1), min_shared=0)
+    c = F.col
+    return with_sizes(found, matrix.group_sizes(matrix.to_cells(inside))).withColumn(
+        "z", stats.two_sided(c("k"), c("size_i"), c("size_j"), F.lit(inside.count())))
+
+
 def both_directions(pairs: DataFrame, *carry: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Each unordered pair as (g, partner) and (partner, g)."""
     gi, gj = group_id(F.col("ci"), F.col("si")), group_id(F.col("cj"), F.col("sj"))

@@ -5,7 +5,7 @@ Pair counts are self-joins of the cells here, tails are summed with lgamma.
 
 from __future__ import annotations
 
-from skein.plans.queries import EVENT_GAP, LETTER_CUTOFF, MIN_COV, MIN_GROUP
+from skein.plans.queries import EVENT_GAP, LETTER_CUTOFF, MAX_DROP, MIN_COV, MIN_GROUP, RELATIVE_DROP
 
 ORDER_CELLS = """SELECT l_orderkey AS row_id, l_linenumber - 1 AS col, strpos('ANR', min(l_returnflag)) - 1 AS sym
 FROM lineitem GROUP BY l_orderkey, l_linenumber"""
@@ -325,16 +325,37 @@ prefixes AS (SELECT seed, unnest(range(5, size + 1)) AS prefix FROM clique_size)
 prefix_hits AS MATERIALIZED (SELECT p.seed, p.prefix, c.row_id, count(*) AS hits FROM prefixes p JOIN members m ON m.seed = p.seed AND m.rank < p.prefix JOIN cells c ON c.col * 5 + c.sym = m.g GROUP BY ALL),
 prefix_counts AS (SELECT seed, prefix, hits, count(*) AS n FROM prefix_hits GROUP BY ALL),
 counted AS MATERIALIZED (SELECT p.seed, p.prefix, p.c, coalesce(sum(h.n), 0) AS n FROM (SELECT seed, prefix, unnest(range(prefix + 1)) AS c FROM prefixes) p LEFT JOIN prefix_counts h ON h.seed = p.seed AND h.prefix = p.prefix AND h.hits > p.c GROUP BY ALL)""")
-    q["relative_dropoff"] = shown("""SELECT x.label, x.seed, x.size, coalesce(d.c, 1) AS cutoff, coalesce(d.d, 1000000.0) AS drop_off, f.n AS inside, u.n - f.n AS outside FROM pairs_ls x
-LEFT JOIN (SELECT * FROM rel_drops QUALIFY row_number() OVER (PARTITION BY label, seed ORDER BY d, c) = 1) d USING (label, seed)
-JOIN rel_filled f ON f.label = x.label AND f.seed = x.seed AND f.c = coalesce(d.c, 1) JOIN universe u ON u.label = x.label""",
-                                  "label seed size cutoff inside outside", "drop_off", ctes=CLIQUES + f""", lang AS ({LANGUAGE}),
+    relative = CLIQUES + f""", lang AS ({LANGUAGE}),
 universe AS (SELECT label, count(*) AS n FROM lang GROUP BY label HAVING count(*) > {2 * MIN_GROUP}), pairs_ls AS (SELECT label, seed, size FROM universe, clique_size),
 rel_counts AS (SELECT label, seed, hits, count(*) AS n FROM hit_rows JOIN lang USING (row_id) GROUP BY ALL),
 rel_filled AS MATERIALIZED (SELECT p.label, p.seed, p.size, p.c, coalesce(sum(h.n), 0) AS n FROM (SELECT label, seed, size, unnest(range(size)) AS c FROM pairs_ls) p
 LEFT JOIN rel_counts h ON h.label = p.label AND h.seed = p.seed AND h.hits > p.c GROUP BY ALL),
 rel_drops AS (SELECT label, seed, c, d FROM (SELECT *, (lag(n) OVER w - lead(n) OVER w) / nullif(least((SELECT n FROM n_rows) - n, n), 0) AS d FROM rel_filled WINDOW w AS (PARTITION BY label, seed ORDER BY c))
-WHERE d IS NOT NULL AND c BETWEEN 1 AND size - 2)""")
+WHERE d IS NOT NULL AND c BETWEEN 1 AND size - 2)"""
+    numbered = "SELECT row_id, dense_rank() OVER (ORDER BY first_row) - 1 AS label FROM (SELECT row_id, min(row_id) OVER (PARTITION BY path) AS first_row FROM ended)"
+    for name, sharp in (("dropoff_subdivision", f"WHERE drop_off < {MAX_DROP}"), ("plain_subdivision", "")):
+        q[name] = shown(numbered, "row_id label", ctes="RECURSIVE " + CLIQUES + f""",
+placed AS MATERIALIZED (SELECT row_number() OVER (ORDER BY drop_off, size DESC, z DESC, seed) AS pos, seed FROM refined JOIN max_z ON g = seed {sharp}),
+walk AS (SELECT CAST(0 AS BIGINT) AS pos, doc_id AS row_id, 'r' AS path FROM documents UNION ALL
+SELECT pos, row_id, CASE WHEN inside > {MIN_GROUP} AND total - inside > {MIN_GROUP} THEN path || hit ELSE path END FROM (
+SELECT o.pos, w.row_id, w.path, CAST(m.row_id IS NOT NULL AS INTEGER) AS hit, sum(CAST(m.row_id IS NOT NULL AS INTEGER)) OVER (PARTITION BY w.path) AS inside,
+count(*) OVER (PARTITION BY w.path) AS total FROM walk w JOIN placed o ON o.pos = w.pos + 1 LEFT JOIN refined_rows m ON m.seed = o.seed AND m.row_id = w.row_id)),
+ended AS (SELECT row_id, path FROM walk WHERE pos = (SELECT count(*) FROM placed))""")
+    q["relative_subdivision"] = shown(numbered, "row_id label", ctes=relative + f""",
+sharpest AS (SELECT x.label, x.seed, coalesce(d.c, 1) AS cutoff, coalesce(d.d, 1000000.0) AS drop_off FROM pairs_ls x
+LEFT JOIN (SELECT * FROM rel_drops QUALIFY row_number() OVER (PARTITION BY label, seed ORDER BY d, c) = 1) d USING (label, seed)),
+chosen AS (SELECT s.label, arg_min(s.seed, s.seed) AS seed, arg_min(s.cutoff, s.seed) AS cutoff FROM sharpest s JOIN rel_filled f ON f.label = s.label AND f.seed = s.seed AND f.c = s.cutoff
+JOIN universe u ON u.label = s.label WHERE f.n > {MIN_GROUP} AND u.n - f.n > {MIN_GROUP} AND s.drop_off < {RELATIVE_DROP} GROUP BY s.label),
+ended AS (SELECT l.row_id, concat_ws('/', l.label, CASE WHEN c.seed IS NULL THEN '-' WHEN coalesce(h.hits, 0) > c.cutoff THEN '1' ELSE '0' END) AS path
+FROM lang l LEFT JOIN chosen c ON c.label = l.label LEFT JOIN hit_rows h ON h.seed = c.seed AND h.row_id = l.row_id)""")
+    q["distant_partner_histogram"] = shown("SELECT least(coalesce(partners, 0), 49) AS partners, count(*) AS groups FROM max_z m LEFT JOIN (SELECT g, count(*) AS partners FROM both_ways WHERE z > " + str(LETTER_CUTOFF) + " AND abs(g - partner) > 100 GROUP BY g) p ON p.g = m.g GROUP BY 1", "partners groups", ctes=LETTER_TESTED)
+    q["relative_significance"] = shown(f"SELECT ci, si, cj, sj, greatest({UPPER}, {LOWER}) AS z FROM (SELECT p.ci, p.si, p.cj, p.sj, p.k, a.size AS g1, b.size AS g2, (SELECT count(*) FROM documents WHERE lang = 'en') AS cov FROM zero_pairs p JOIN sizes a ON a.col = ci AND a.sym = si JOIN sizes b ON b.col = cj AND b.sym = sj)",
+                                       "ci si cj sj", "z", ctes=f"cells AS MATERIALIZED (SELECT * FROM ({LETTER_CELLS}) WHERE row_id IN (SELECT doc_id FROM documents WHERE lang = 'en')), " + all_counts(1))
+    q["clique_intersections"] = shown("SELECT m.seed, m.row_id FROM refined_rows m WHERE m.row_id IN (SELECT row_id FROM refined_rows WHERE seed = (SELECT seed FROM refined ORDER BY drop_off, seed LIMIT 1))", "seed row_id", ctes=CLIQUES)
+    q["relative_dropoff"] = shown("""SELECT x.label, x.seed, x.size, coalesce(d.c, 1) AS cutoff, coalesce(d.d, 1000000.0) AS drop_off, f.n AS inside, u.n - f.n AS outside FROM pairs_ls x
+LEFT JOIN (SELECT * FROM rel_drops QUALIFY row_number() OVER (PARTITION BY label, seed ORDER BY d, c) = 1) d USING (label, seed)
+JOIN rel_filled f ON f.label = x.label AND f.seed = x.seed AND f.c = coalesce(d.c, 1) JOIN universe u ON u.label = x.label""",
+                                  "label seed size cutoff inside outside", "drop_off", ctes=relative)
     q["two_column_moves"] = two_column_moves()
 
     # --- labels
@@ -393,6 +414,16 @@ FROM (SELECT copy, min(diff) FILTER (NOT half) AS a, min(diff) FILTER (half) AS
     flank = "SELECT r.seq_id, r.read_id, EXISTS (SELECT 1 FROM turns l WHERE l.cls = 'l' AND l.read_id = r.read_id AND l.seq_id = r.seq_id - 1) AS has_left, EXISTS (SELECT 1 FROM turns l WHERE l.cls = 'l' AND l.read_id = r.read_id AND l.seq_id = r.seq_id + 1) AS has_right FROM turns r WHERE r.cls = 'r'"
     q["flanks"] = shown(flank, "seq_id read_id", "", "has_left has_right", ctes=TURNS)
     q["flank_labels"] = shown(f"SELECT seq_id, CASE WHEN has_left THEN read_id % 7 END AS left_copy, CASE WHEN has_right THEN read_id % 7 END AS right_copy FROM ({flank})", "seq_id left_copy right_copy", ctes=TURNS)
+    q["flank_sums"] = shown(f"SELECT sum(CASE WHEN has_left THEN read_id % 7 ELSE -1 END) AS left_copy, sum(CASE WHEN has_right THEN read_id % 7 ELSE -1 END) AS right_copy, count(*) AS pieces FROM ({flank})", "left_copy right_copy pieces", ctes=TURNS)
+    number = "row_number() OVER (ORDER BY {}) - 1"
+    q["fasta_round_trip"] = shown(f"SELECT {number.format('read_id')} AS read_id, seq FROM reads", "read_id", "", "seq", ctes=docs)
+    q["fasta_record_count"] = shown("SELECT count(*) AS records FROM benchmark", "records")
+    q["matrix_round_trip"] = shown("SELECT dense_rank() OVER (ORDER BY row_id) - 1 AS row_id, col, sym FROM cells", "row_id col sym", ctes=f"cells AS ({ORDER_CELLS})")
+    q["labels_round_trip"] = shown(f"SELECT {number.format('row_id')} AS row_id, label FROM so", "row_id label", ctes=f"so AS ({SOURCE})")
+    q["correlations_round_trip"] = shown("SELECT * FROM max_z", "g", "z", ctes=LETTER_TESTED)
+    q["piece_map_round_trip"] = shown("SELECT seq_id, dense_rank() OVER (ORDER BY read_id) - 1 AS read_id FROM turns", "seq_id read_id", ctes=TURNS)
+    q["classes_round_trip"] = shown("SELECT seq_id, cls FROM turns", "seq_id", "", "cls", ctes=TURNS)
+    q["copies_round_trip"] = shown(f"SELECT {number.format('row_id')} AS read_id, label AS copy FROM co", "read_id copy", ctes=f"co AS ({SOURCE_COPY})")
     q["row_copies"] = shown("SELECT DISTINCT l_orderkey AS row_id, c_nationkey AS label FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey", "row_id label")
     q["repeat_rows"] = shown("SELECT seq_id, row_number() OVER (ORDER BY seq_id) - 1 AS row_id FROM turns WHERE cls = 'r'", "seq_id row_id", ctes=TURNS)
     q["point_edits"] = shown("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN substr(p_name, 1, pos) || 'x' || substr(p_name, pos + 2) WHEN 1 THEN substr(p_name, 1, pos) || substr(p_name, pos + 2) ELSE substr(p_name, 1, pos) || 'x' || substr(p_name, pos + 1) END AS edited

@@ -20,6 +20,7 @@ EVENT_GAP = 5
 EVENT_CUTOFF = 0.5
 LINE_STEP = 10
 MAX_DROP = partition.MAX_DROP
+RELATIVE_DROP = 0.5  # letters have blunter cutoffs than alignments
 TEXT_ERROR = 0.5  # error limit for prose read as sequence, which aligns worse than real reads
 
 
@@ -268,6 +269,20 @@ def partner_histogram(s, d):
     return correlate.partner_histogram(letter_tested(rows, n), LETTER_CUTOFF, LETTER_WIDTH)
 
 
+@query
+def distant_partner_histogram(s, d):
+    """Partners counted only if more than 100 group ids away."""
+    rows, n = letters(s, d)
+    return correlate.partner_histogram(correlate.distant_pairs(letter_tested(rows, n)), LETTER_CUTOFF, LETTER_WIDTH)
+
+
+@query
+def relative_significance(s, d):
+    """Two-sided significance of letter groups within the documents of one language."""
+    universe = language(s, d).where("label = 1")
+    return pairs.relative_significance(tables.letter_rows(s, d), LETTER_WIDTH, universe).select("ci", "si", "cj", "sj", "z")
+
+
 @query
 def snowball(s, d):
     rows, n = letters(s, d)
@@ -406,6 +421,15 @@ def clique_coverage(s, d):
             .groupBy("seed").agg(F.count("*").alias("n_rows")))
 
 
+@query
+def clique_intersections(s, d):
+    """Rows that two refined groups of the strongest seed's partners share."""
+    rows, n, _, found, refined = letter_refined(s, d)
+    members = cut_lineage(cliques.clique_rows(rows, LETTER_WIDTH, cliques.large_cliques(found), refined))
+    best = refined.orderBy("drop_off", "seed").limit(1).select("seed")  # one seed
+    return explore.intersections(members, best).select("seed", "row_id")
+
+
 @query
 def group_precision(s, d):
     rows, n, _, found, refined = letter_refined(s, d)
@@ -466,10 +490,24 @@ def dropoff_subdivision(s, d):
 
 
 @query
-def relative_subdivision(s, d):
+def plain_subdivision(s, d):
+    """Subdivision by all refined groups, however blunt their cutoff."""
     rows, n, max_z, found, refined = letter_refined(s, d)
-    first = cut_lineage(partition.dropoff_subdivision(rows, LETTER_WIDTH, found, refined, max_z, MIN_GROUP))
-    return partition.relative_subdivision(rows, LETTER_WIDTH, found, first, n, MIN_GROUP)
+    return partition.dropoff_subdivision(rows, LETTER_WIDTH, found, refined, max_z, MIN_GROUP, max_drop=None)
+
+
+@query
+def relative_subdivision(s, d):
+    """The languages subdivided."""
+    rows, n, _, found = letter_cliques(s, d)
+    return partition.relative_subdivision(rows, LETTER_WIDTH, found, language(s, d), n, MIN_GROUP, RELATIVE_DROP)
+
+
+@query
+def repeated_subdivision(s, d):
+    rows, n, max_z, found = letter_cliques(s, d)
+    return partition.repeated_subdivision(rows, LETTER_WIDTH, found, correlate.seed_groups(max_z, LETTER_CUTOFF), language(s, d),
+                                          n, LETTER_CUTOFF, MIN_GROUP)
 
 
 @query
@@ -696,6 +734,15 @@ def flank_labels(s, d):
     return sequence.flank_labels(pieces, pieces.select("read_id", F.expr("read_id % 7").alias("copy")).distinct())
 
 
+@query
+def flank_sums(s, d):
+    """Sums of the flank labels, -1 where a piece has none, and the pieces."""
+    pieces = turn_pieces(s, d).select("seq_id", "read_id", F.when(F.col("role") == "user", "l").otherwise("r").alias("cls"))
+    labels = sequence.flank_labels(pieces, pieces.select("read_id", F.expr("read_id % 7").alias("copy")).distinct())
+    total = lambda c: F.sum(F.coalesce(c, F.lit(-1))).alias(c)
+    return labels.agg(total("left_copy"), total("right_copy"), F.count("*").alias("pieces"))
+
+
 @query
 def row_copies(s, d):
     """Order line to customer nation over order and customer."""

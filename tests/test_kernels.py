@@ -157,3 +157,9 @@ def test_row_placement_is_optimal_and_consistent():
         assert best == slow_place(codes[0], profile)
         assert all(a <= b for a, b in zip(cols, cols[1:]))
         assert len(set(zip(cols[~opened]))) == (~opened).sum()
+
+
+def test_cuts_go_on_over_many_copies():
+    hits = {59: [1000 * k for k in range(1, 200)]}
+    cuts = align.choose_cuts(hits, 60, 16, 200_500, 1000)
+    assert cuts == hits[59]

@@ -1,3 +1,4 @@
+import pytest
 from conftest import collected
 from pyspark.sql import functions as F
 
@@ -108,3 +109,23 @@ def test_parallel_realignment_keeps_bases(rows_of):
     strip = lambda s: "".join(c for c in s if c in "acgt")
     assert [strip(s) for _, s in collected(best, "row_id", "symbols")] == [strip(s) for s in lines]
     assert all(len(s) == width for _, s in collected(best, "row_id", "symbols"))
+
+
+def test_nothing_is_cut_to_the_width(spark, rows_of):
+    from skein.operators import pairs
+    cells = spark.createDataFrame([(0, 0, 1), (0, 7, 2)], "row_id BIGINT, col INT, sym INT")
+    with pytest.raises(Exception, match="beyond the matrix width"):
+        matrix.to_rows(cells, 7).collect()
+    assert collected(matrix.to_rows(cells, 8)) == [(0, "c      g")]
+    with pytest.raises(Exception, match="longer than the matrix width"):
+        pairs.column_pairs(rows_of(["acgt", "acgta"]), 4, 1).collect()
+
+
+def test_scores_beyond_64_bits(spark):
+    cells = spark.createDataFrame([(0, 0, 1)], "row_id BIGINT, col INT, sym INT")
+    big = 4 * 10**9
+    from unittest import mock
+    counts = matrix.column_counts(cells).selectExpr("col", *[f"CAST({v} AS BIGINT) AS {n}" for n, v in zip(
+        ("n0", "n1", "n2", "n3", "n4", "cov"), (0, big, 0, 0, big, 2 * big))])
+    with mock.patch.object(matrix, "column_counts", lambda c: counts):
+        assert int(matrix.sum_of_pairs_score(cells).first()["score"]) == 2 * big * big

@@ -92,3 +92,34 @@ def test_reads_to_matrix(spark):
     got = {r["seq_id"]: r["symbols"] for r in rows.collect()}
     assert got and all(len(s) == width for s in got.values())
     assert {k: s.replace("-", "") for k, s in got.items()} == bases
+
+
+def test_fasta_records_over_files(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    (folder / "part-0").write_text(">\naa\n>\ncc\n")
+    (folder / "part-1").write_text(">\ngg\n")
+    (folder / "part-2").write_text("no record\n>x\ntt\n>\n\n")
+    assert collected(text.read_fasta(spark, str(folder))) == [(0, "aa"), (1, "cc"), (2, "gg"), (3, "tt"), (4, "")]
+
+
+def test_blank_lines_use_no_group_id(spark, tmp_path):
+    path = tmp_path / "z"
+    path.write_text("1.0\n\n2.0\n  \n3.0\n")
+    assert collected(text.read_correlations(spark, str(path))) == [(0, 1.0), (1, 2.0), (2, 3.0)]
+
+
+def test_fasta_round_trip_over_many_files(spark, tmp_path):
+    reads = spark.createDataFrame([(i, "acgt" * (i % 90)) for i in range(300)], "read_id BIGINT, seq STRING")
+    text.write_fasta(reads.repartitionByRange(7, "read_id"), "read_id", "seq", str(tmp_path / "f"), wrap_at=100)
+    assert len(glob.glob(str(tmp_path / "f" / "part-*"))) > 3
+    assert collected(text.read_fasta(spark, str(tmp_path / "f"))) == collected(reads)
+
+
+def test_classes_and_integers(spark, tmp_path):
+    pieces = spark.createDataFrame([(0, "l"), (1, "r"), (2, "l")], "seq_id BIGINT, cls STRING")
+    text.write_classes(pieces, str(tmp_path / "c"))
+    assert collected(text.read_classes(spark, str(tmp_path / "c"))) == collected(pieces)
+    copies = spark.createDataFrame([(0, 5), (1, 7)], "read_id BIGINT, copy BIGINT")
+    text.write_integers(copies, "read_id", "copy", str(tmp_path / "i"))
+    assert collected(text.read_integers(spark, str(tmp_path / "i"), "copy")) == collected(copies)
