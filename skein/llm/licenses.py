@@ -67,7 +67,7 @@ def needed_words(vectors: list, least: float) -> list[str]:
     out: set[str] = set()
     for rows in by_template.values():
         rest = 1.0 - sum(r["weight"] ** 2 for r in rows if r["token"] in out)
-        for r in sorted(rows, key=lambda r: (-r["weight"], r["token"])):
+        for r in sorted(rows, key=lambda r: (-len(r["token"]), r["token"])):  # long words are rare in prose
             if rest < (least - 1e-9) ** 2:
                 break
             if r["token"] not in out:
@@ -84,9 +84,11 @@ def notices(files: DataFrame, templates: DataFrame, least: float = LEAST_COSINE)
         return files.select("_file", F.lit(None).cast("string").alias("license"), F.lit(None).cast("double").alias("score")).limit(0)
     n = len({r["template"] for r in known})
     needed = needed_words(known, least)
-    has = lambda c: F.exists(F.array(*map(F.lit, needed)), lambda w: F.contains(F.lower(c), w))
+    wanted = F.array(*map(F.lit, needed))
+    has = lambda c: F.exists(wanted, lambda w: F.contains(F.lower(c), w))
     lines = (files.where(has(F.col("text")))
-             .select("_file", F.posexplode(F.filter(F.split("text", "\n"), has)).alias("_line", "_text")))
+             .select("_file", F.posexplode(F.filter(F.split("text", "\n"), has)).alias("_line", "_text"))
+             .where(F.arrays_overlap(tokens(F.col("_text")), wanted)))
     counted = (lines.select("_file", "_line", F.explode(tokens(F.col("_text"))).alias("token"))
                .groupBy("_file", "_line", "token").agg(F.count("*").alias("tf")))
     idf = vectors.groupBy("token").agg(F.first("idf").alias("idf"))
