@@ -58,11 +58,12 @@ def family(seed=0):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("blocks", [None, (300, 20)])
+@pytest.mark.parametrize("blocks", [None, (300, 20, 2000)])
 def test_join_equals_brute_force(spark, monkeypatch, blocks):
     if blocks:  # clusters of several blocks
         monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", blocks[0])
         monkeypatch.setattr(ngram_join, "BLOCK_DOCS", blocks[1])
+        monkeypatch.setattr(ngram_join, "BLOCK_POINTS", blocks[2])
     rows = family()
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link(docs).collect()}
