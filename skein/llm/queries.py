@@ -118,6 +118,33 @@ timed AS (SELECT *, first + second AS taken, before / target * weight AS due, w1
 SELECT doc_id, size::BIGINT AS size, source_size, target, taken::BIGINT AS taken, (second > 0)::INT AS repeats,
        round(CASE WHEN taken > 0 THEN CASE WHEN due <= 0 THEN 0.0 ELSE due * 2 / (w0 + sqrt(greatest(w0 * w0 + slope * due * 2, 0.0))) END END, 6) AS position
 FROM timed""",
+    "op4_license_scan": r"""
+WITH templates(license, tpl) AS (SELECT DISTINCT * FROM (VALUES TEMPLATE_ROWS)),
+tokens AS (SELECT license, tpl, unnest(regexp_extract_all(lower(tpl), '[a-z0-9]+(?:[.-][a-z0-9]+)*')) AS token FROM templates),
+counted AS (SELECT license, tpl, token, count(*) AS tf FROM tokens GROUP BY ALL),
+total AS (SELECT count(*) AS n FROM templates),
+idf AS (SELECT token, ln((n + 1) / (count(*) + 1)) + 1 AS idf FROM counted, total GROUP BY token, n),
+vectors AS (SELECT license, tpl, token, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY license, tpl)) AS weight FROM counted JOIN idf USING (token)),
+lines AS (SELECT doc_id, line, unnest(regexp_extract_all(lower(parts[line]), '[a-z0-9]+(?:[.-][a-z0-9]+)*')) AS token
+  FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents))),
+words AS (SELECT doc_id, line, token, count(*) AS tf FROM lines GROUP BY ALL),
+raw AS (SELECT doc_id, line, token, tf * coalesce(idf, ln(n + 1.0) + 1) AS raw FROM words LEFT JOIN idf USING (token), total),
+norms AS (SELECT doc_id, line, sqrt(sum(raw * raw)) AS norm FROM raw GROUP BY ALL),
+scored AS (SELECT r.doc_id, r.line, v.license, v.tpl, sum(raw * weight) / any_value(norm) AS score FROM raw r JOIN vectors v USING (token)
+  JOIN norms o ON o.doc_id = r.doc_id AND o.line = r.line GROUP BY ALL HAVING sum(raw * weight) / any_value(norm) >= 0.6),
+found AS (SELECT doc_id, license, score FROM scored QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, license, score) = 1),
+placed AS (SELECT doc_id, CASE WHEN doc_id % 10000 = 0 THEN source WHEN doc_id % 1000 = 0 THEN concat_ws('/', source, doc_id // 10000)
+    ELSE concat_ws('/', source, doc_id // 10000, doc_id // 1000, doc_id // 100) END AS dir,
+  CASE WHEN doc_id % 100 = 0 THEN concat('LICENSE-', doc_id) ELSE concat(doc_id, '.txt') END AS name FROM documents),
+files AS (SELECT p.*, f.license, f.score FROM placed p LEFT JOIN found f USING (doc_id)),
+grants AS (SELECT dir AS above, license, score FROM files WHERE doc_id % 100 = 0 AND license IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY dir ORDER BY round(score, 9) DESC, license, score) = 1),
+nearest AS (SELECT d.dir, arg_max(struct_pack(above := g.above, license := g.license, score := g.score), length(g.above)) AS g
+  FROM (SELECT DISTINCT dir FROM placed) d JOIN grants g ON d.dir = g.above OR starts_with(d.dir, g.above || '/') GROUP BY d.dir)
+SELECT doc_id, f.dir || '/' || name AS path, coalesce(f.license, g.license) AS license,
+  CASE WHEN f.license IS NOT NULL THEN 'own' WHEN g IS NOT NULL THEN 'inherited' END AS origin,
+  CASE WHEN f.license IS NULL THEN g.above END AS licensed_by, round(coalesce(f.score, g.score), 6) AS score
+FROM files f LEFT JOIN nearest n ON n.dir = f.dir""".replace("TEMPLATE_ROWS", ", ".join("('%s', '%s')" % t for t in licenses.TEMPLATES)),
     "op7_warc": r"""
 WITH bodies AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
 digests AS (SELECT page_id, octet_length(body)::BIGINT AS payload_bytes, sha1(body) AS hex FROM bodies),
