@@ -183,15 +183,22 @@ def greedy_group_clique(cells: DataFrame, seed: int, max_clique: int, cutoff: fl
     return members
 
 
-def best_assignment(shares: DataFrame) -> list[tuple[int, int, float]]:
-    """Greedy one-to-one assignment of clusters by the largest remaining share."""
-    left, out = cut_lineage(shares), []
-    while True:
-        top = left.orderBy(F.desc("p"), "i", "j").first()
-        if top is None:
-            return out
-        out.append((top["i"], top["j"], top["p"]))
-        left = cut_lineage(left.where((F.col("i") != top["i"]) & (F.col("j") != top["j"])))
+def best_assignment(shares: DataFrame) -> DataFrame:
+    """Greedy one-to-one assignment ``(i, j, p)`` of clusters by the largest remaining share, lower ids on ties.
+
+    Taking the largest share again and again takes, sooner or later, every pair that is the largest of both its
+    sides; so all such pairs are taken at once, and rounds go on with the clusters that are left.
+    """
+    left = cut_lineage(shares.select("i", "j", "p"))
+    out = left.limit(0)
+    best = F.max(F.struct("p", -F.col("i"), -F.col("j")))
+    while not left.isEmpty():
+        of_i, of_j = left.groupBy("i").agg(best.alias("b")), left.groupBy("j").agg(best.alias("b"))
+        taken = cut_lineage(of_i.join(of_j.select("j", F.col("b").alias("c")), F.col("b") == F.col("c"))
+                            .select("i", "j", F.col("b")["p"].alias("p")))
+        out = out.unionByName(taken)
+        left = cut_lineage(left.join(taken.select("i"), "i", "left_anti").join(taken.select("j"), "j", "left_anti").select("i", "j", "p"))
+    return out
 
 
 def best_two_column_moves(rows: DataFrame) -> DataFrame:

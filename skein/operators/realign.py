@@ -3,8 +3,8 @@
 The profile (six counts per column, sized by the matrix width) is aggregated by Spark and shipped to
 the tasks; each row is taken out of the profile and placed anew by banded dynamic programming. Rows of
 one step see the same profile and their inserted columns are merged slot by slot, so rows run in
-parallel. ``rows_per_step=1`` gives strictly sequential updates; by default a round has a few large
-steps, whose result may differ from sequential updates but is accepted only if the score improves.
+parallel. The default ``rows_per_step=1`` gives strictly sequential updates; larger steps have to be asked for,
+because their result may differ from sequential updates. A round is only kept if the score improves.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ from skein.session import cut_lineage, spread
 # --- fixed values -----------------------------------------------------------
 BAND = 1000
 MAX_ROUNDS = 10_000
-STEPS = 4  # parallel steps per round, unless rows_per_step says otherwise
 # ----------------------------------------------------------------------------
 _FAR = np.int64(2 ** 60)
 _CHARS = np.frombuffer((SYMBOLS + " ").encode(), dtype=np.uint8)
@@ -205,17 +204,16 @@ def realign_step(rows: DataFrame, width: int, first: int | None = None, last: in
     return cut_lineage(new_rows), new_width
 
 
-def realign_round(rows: DataFrame, width: int, rows_per_step: int | None = None, band: int = BAND) -> tuple[DataFrame, int]:
-    """Every row once, in row order, ``rows_per_step`` at a time (default: a quarter of the rows).
+def realign_round(rows: DataFrame, width: int, rows_per_step: int = 1, band: int = BAND) -> tuple[DataFrame, int]:
+    """Every row once, in row order, ``rows_per_step`` at a time.
 
     Rows placed together open columns of their own that later steps empty again, so after a parallel
     step columns without bases are dropped; they do not count in the score.
     """
     n = rows.agg(F.coalesce(F.max("row_id") + 1, F.lit(0))).first()[0]
-    step = rows_per_step or max(1, -(-n // STEPS))
-    for first in range(0, n, step):
-        rows, width = realign_step(rows, width, first, first + step, band)
-        if step > 1:
+    for first in range(0, n, rows_per_step):
+        rows, width = realign_step(rows, width, first, first + rows_per_step, band)
+        if rows_per_step > 1:
             keep = column_profile(rows, width)[:, :BASES].sum(axis=1) > 0
             rows, width = select_columns(rows, width, keep), int(keep.sum())
     return cut_lineage(rows), width
@@ -225,7 +223,7 @@ def score_of(rows: DataFrame) -> int:
     return matrix.sum_of_pairs_score(matrix.to_cells(rows)).first()["score"]
 
 
-def realign(rows: DataFrame, width: int, rows_per_step: int | None = None, band: int = BAND,
+def realign(rows: DataFrame, width: int, rows_per_step: int = 1, band: int = BAND,
             max_rounds: int = MAX_ROUNDS) -> tuple[DataFrame, int, list[tuple[int, int, int]]]:
     """Rounds until the sum-of-pairs score stops improving; also the (round, score, width) history."""
     current, width = tidy(rows, width)

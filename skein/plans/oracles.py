@@ -388,6 +388,11 @@ ORDER BY list_sum(list_transform(list_zip(x.bits, c.center), lambda p: CASE WHEN
         f"la AS ({LANGUAGE})", f"so AS ({SOURCE})", step("f0", "la", "so"), step("f1", "so", "la"), product("ff", "f0", "f1"), linked("ff", "ff"), MUTUAL]))
     q["conditional_shares"] = shown("SELECT i, j, m.n / ci.n AS p_label, m.n / cj.n AS p_copy FROM (SELECT la.label AS i, so.label AS j, count(*) AS n FROM la JOIN so USING (row_id) WHERE so.label IS NOT NULL GROUP BY ALL) m JOIN (SELECT label AS i, count(*) AS n FROM la GROUP BY label) ci USING (i) JOIN (SELECT label AS j, count(*) AS n FROM so WHERE label IS NOT NULL GROUP BY label) cj USING (j)",
                                     "i j", "p_label p_copy", ctes=f"la AS ({LANGUAGE}), so AS ({SOURCE})")
+    q["greedy_assignment"] = shown("SELECT i, j, p FROM g WHERE i IS NOT NULL", "i j", "p", ctes="RECURSIVE " + VECTORS + """,
+shares AS MATERIALIZED (SELECT i, j, round(n / sum(n) OVER (PARTITION BY i), 12) AS p FROM met),
+g AS (SELECT CAST(NULL AS BIGINT) AS i, CAST(NULL AS BIGINT) AS j, CAST(NULL AS DOUBLE) AS p, CAST([] AS BIGINT[]) AS used_i, CAST([] AS BIGINT[]) AS used_j UNION ALL
+SELECT i, j, p, list_append(used_i, i), list_append(used_j, j) FROM (SELECT s.i, s.j, s.p, g.used_i, g.used_j FROM g JOIN shares s
+ON NOT list_contains(g.used_i, s.i) AND NOT list_contains(g.used_j, s.j) ORDER BY s.p DESC, s.i, s.j LIMIT 1))""")
     q["resolution_quality"] = shown("SELECT * FROM states", "i best state", "confidence", ctes=VECTORS)
     q["resolution_summary"] = shown("SELECT count(*) FILTER (state = 1) AS true_positives, count(*) FILTER (state = -1) AS false_positives, count(*) FILTER (state = 0) AS unresolved FROM states",
                                     "true_positives false_positives unresolved", ctes=VECTORS)

@@ -604,6 +604,13 @@ def conditional_shares(s, d):
     return linkage.conditional_shares(language(s, d), source_label(s, d), masked=False)
 
 
+@query
+def greedy_assignment(s, d):
+    """Classes of vectors and clusters by largest dimension, one to one."""
+    shares = linkage.conditional_shares(vector_truth(s, d), sign_cluster(s, d))
+    return explore.best_assignment(shares.select("i", "j", F.round("p_label", linkage.DIGITS).alias("p")))
+
+
 @query
 def resolution_quality(s, d):
     return linkage.mutual_best(linkage.copy_connection(vector_truth(s, d), sign_cluster(s, d)))
@@ -840,4 +847,5 @@ def realign_round(s, d):
     aligned, length = aligned_turns(s, d)
     rows, width = align.build_matrix(cut_lineage(aligned), length)
     rows, width = realign.tidy(rows, width)
-    return realign.realign_round(cut_lineage(rows), width, band=200)[0]
+    quarter = -(-(rows.agg(F.max("row_id")).first()[0] + 1) // 4)  # these rows are placed against one profile
+    return realign.realign_round(cut_lineage(rows), width, rows_per_step=quarter, band=200)[0]

@@ -74,6 +74,13 @@ def clusterings_in_order(paths: list[str], method: str) -> list[str]:
     return sorted(mine, key=lambda p: parse_clustering(p)[1])
 
 
+def list_clusterings(spark: SparkSession, folder: str, method: str) -> list[str]:
+    """Clusterings of one method in a folder of any file system Spark reads, by window start."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    return clusterings_in_order([f.getPath().toString() for f in files], method)
+
+
 def data_set_name(kind: str, percent: float, length: int) -> str:
     """``<type>_<percent>perc_<length>kb`` with the percentage stripped of dots and trailing zeros."""
     text = f"{percent:f}".rstrip("0").rstrip(".").replace(".", "")

@@ -20,7 +20,7 @@ def test_greedy_cliques_stay_in_one_copy(rows_of):
 
 def test_assignment_takes_largest_share_first(spark):
     shares = spark.createDataFrame([(0, 0, .9), (0, 1, .1), (1, 0, .8), (1, 1, .2)], "i INT, j INT, p DOUBLE")
-    assert explore.best_assignment(shares) == [(0, 0, .9), (1, 1, .2)]
+    assert collected(explore.best_assignment(shares)) == [(0, 0, .9), (1, 1, .2)]
 
 
 def test_narrowing_keeps_enough_rows(spark):

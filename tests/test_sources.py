@@ -123,3 +123,11 @@ def test_classes_and_integers(spark, tmp_path):
     copies = spark.createDataFrame([(0, 5), (1, 7)], "read_id BIGINT, copy BIGINT")
     text.write_integers(copies, "read_id", "copy", str(tmp_path / "i"))
     assert collected(text.read_integers(spark, str(tmp_path / "i"), "copy")) == collected(copies)
+
+
+def test_clusterings_of_a_folder(spark, tmp_path):
+    data = catalog.DataSet(f"{tmp_path}/Tree_1perc_30000kbTemplate.fasta")
+    for method, first in (("Kmeans", 100), ("Kmeans", 9), ("Dropoff", 0)):
+        os.makedirs(data.clustering(method, first, first + 50))
+    found = catalog.list_clusterings(spark, str(tmp_path), "Kmeans")
+    assert [catalog.parse_clustering(f)[1] for f in found] == [9, 100]
