@@ -2,7 +2,8 @@
 
 Every line of a text is compared with the templates by the cosine of sparse TF-IDF vectors; the best line of a file
 decides. Inverse document frequencies are those of the templates; a word no template knows has the highest. Only lines
-with a word without which no template's cosine can reach the threshold are taken apart; this loses nothing.
+with a word without which no template's cosine can reach the threshold, and whose own words leave it in reach, are taken
+apart; this loses nothing.
 
 Files named like licence files license their directory. A file without a notice of its own inherits from the nearest
 directory above it: directories are joined with the licensed directories by all their ancestors, then files with their directory.
@@ -14,12 +15,16 @@ empty table of files or templates gives no licences. Other columns are kept; res
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.session import cut_lineage
 
 LEAST_COSINE = 0.6
+MOST_LITERALS = 5_000  # template words up to which a line is bounded before it is taken apart
 MOST_TEMPLATE_WORDS = 100_000  # more template words than this are joined by a shuffle
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)\b"
 
@@ -76,6 +81,25 @@ def needed_words(vectors: list, least: float) -> list[str]:
     return sorted(out)
 
 
+def could_reach(words: Column, vectors: list, n: int, least: float) -> Column:
+    """Whether the cosine of a line to some template can reach ``least``.
+
+    The product with a template is exact; the norm of the line is at least that of its words taken once each.
+    """
+    order = {t: k for k, t in enumerate(sorted({r["template"] for r in vectors}))}
+    gains: dict[str, list[float]] = {}
+    for r in vectors:
+        gains.setdefault(r["token"], [r["idf"], *[0.0] * len(order)])[order[r["template"]] + 1] = r["idf"] * r["weight"]
+    table = F.from_json(F.lit(json.dumps(gains)), "map<string,array<double>>")
+    found = F.transform(words, lambda w: F.try_element_at(table, w))
+    none = F.array_repeat(F.lit(0.0), len(order) + 1)
+    sums = F.aggregate(found, none, lambda acc, v: F.when(v.isNull(), acc).otherwise(F.zip_with(acc, v, lambda a, b: a + b)))
+    most = F.array_max(F.slice(sums, 2, len(order)))
+    unknown = math.log(n + 1) + 1
+    norm = F.sqrt(F.aggregate(found, F.lit(0.0), lambda acc, v: acc + F.coalesce(v[0] * v[0], F.lit(unknown * unknown))))
+    return most >= norm * (least - 1e-6)
+
+
 def notices(files: DataFrame, templates: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     """(_file, license, score) of the files with a notice. ``files``: _file, text."""
     vectors = cut_lineage(template_vectors(templates))
@@ -88,8 +112,10 @@ def notices(files: DataFrame, templates: DataFrame, least: float = LEAST_COSINE)
     has = lambda c: F.exists(wanted, lambda w: F.contains(F.lower(c), w))
     lines = (files.where(has(F.col("text")))
              .select("_file", F.posexplode(F.filter(F.split("text", "\n"), has)).alias("_line", "_text"))
-             .where(F.arrays_overlap(tokens(F.col("_text")), wanted)))
-    counted = (lines.select("_file", "_line", F.explode(tokens(F.col("_text"))).alias("token"))
+             .select("_file", "_line", tokens(F.col("_text")).alias("_tokens")).where(F.arrays_overlap("_tokens", wanted)))
+    if len(known) <= MOST_LITERALS:  # else more lines are taken apart, with the same result
+        lines = lines.where(could_reach(F.col("_tokens"), known, n, least))
+    counted = (lines.select("_file", "_line", F.explode("_tokens").alias("token"))
                .groupBy("_file", "_line", "token").agg(F.count("*").alias("tf")))
     idf = vectors.groupBy("token").agg(F.first("idf").alias("idf"))
     small = len(known) <= MOST_TEMPLATE_WORDS
