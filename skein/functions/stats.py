@@ -166,7 +166,8 @@ def expected_rows_above(n: Column, c: Column, v: Column, p: float) -> Column:
     """Expected number of ``n`` rows having more than ``c`` of ``v`` chance hits of rate ``p``."""
     @F.pandas_udf(T.DoubleType())
     def tail(cs: pd.Series, vs: pd.Series) -> pd.Series:
-        return pd.Series([float(binomial_upper(np.array([a]), int(b), p)[0]) for a, b in zip(cs, vs)])
+        tails = {b: binomial_upper(np.arange(-1, int(b) + 1), int(b), p) for b in set(vs)}  # a clique has few sizes
+        return pd.Series([float(tails[b][min(max(int(a), -1), int(b)) + 1]) for a, b in zip(cs, vs)])
     return n * tail(c, v)
 
 

@@ -125,11 +125,11 @@ def gap_slots(aligned: DataFrame) -> DataFrame:
     """Longest inserted run per slot over all sequences."""
     def run(batches):
         for batch in batches:
-            longest: dict[int, int] = {}
-            for tpos in batch["tpos"]:
-                for slot, rank in zip(*_inserted(np.asarray(tpos))):
-                    longest[int(slot)] = max(longest.get(int(slot), 0), int(rank) + 1)
-            yield pd.DataFrame({"slot": list(longest), "width": list(longest.values())}, dtype=np.int32)
+            found = [_inserted(np.asarray(tpos)) for tpos in batch["tpos"]]
+            slots, at = np.unique(np.concatenate([np.zeros(0, int), *(s for s, _ in found)]), return_inverse=True)
+            longest = np.zeros(len(slots), dtype=np.int32)
+            np.maximum.at(longest, at, np.concatenate([np.zeros(0, int), *(r for _, r in found)]).astype(np.int32) + 1)
+            yield pd.DataFrame({"slot": slots.astype(np.int32), "width": longest})
 
     return (aligned.select("tpos").mapInPandas(run, "slot INT, width INT")
             .groupBy("slot").agg(F.max("width").alias("width")))

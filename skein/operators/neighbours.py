@@ -9,9 +9,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from skein.session import cut_lineage
 
@@ -69,12 +68,11 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int, block: int = BLOC
     return partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-@F.pandas_udf(T.StringType())
-def _majority(bit_strings: pd.Series) -> pd.Series:
-    def vote(strings) -> str:
-        votes = _matrix(pd.Series(list(strings))).sum(0) if len(strings[0]) else np.array([])
-        return "".join("1" if v > NEIGHBOURS // 2 else "0" for v in votes)
-    return bit_strings.map(vote)
+def _majority(bit_strings: str) -> Column:
+    """Per position the bit that most of the nearest strings carry."""
+    return F.when(F.length(F.get(bit_strings, F.lit(0))) == 0, F.lit("")).otherwise(F.array_join(F.transform(
+        F.sequence(F.lit(1), F.length(F.get(bit_strings, F.lit(0)))),
+        lambda i: F.when(F.size(F.filter(bit_strings, lambda s: F.substr(s, i, F.lit(1)) == "1")) > NEIGHBOURS // 2, "1").otherwise("0")), ""))
 
 
 def centroids(points: DataFrame) -> DataFrame:
