@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import json
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -109,7 +111,8 @@ def notices(files: DataFrame, templates: DataFrame, least: float = LEAST_COSINE)
     n = len({r["template"] for r in known})
     needed = needed_words(known, least)
     wanted = F.array(*map(F.lit, needed))
-    has = lambda c: F.exists(wanted, lambda w: F.contains(F.lower(c), w))
+    any_of = lambda low: reduce(or_, [F.contains(low, F.lit(w)) for w in needed])
+    has = lambda c: F.exists(F.array(F.lower(c)), any_of)  # noqa: E731  lower-cased once, not once per word
     lines = (files.where(has(F.col("text")))
              .select("_file", F.posexplode(F.filter(F.split("text", "\n"), has)).alias("_line", "_text"))
              .select("_file", "_line", tokens(F.col("_text")).alias("_tokens")).where(F.arrays_overlap("_tokens", wanted)))
