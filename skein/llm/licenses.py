@@ -1,15 +1,17 @@
 """Licences of files by notices in their lines and by the licence files of their directories, with DataFrame functions.
 
 Every line of a text is compared with the templates by the cosine of sparse TF-IDF vectors; the best line of a file
-decides. Inverse document frequencies are those of the templates; a word no template knows has the highest. Only lines
-with a word without which no template's cosine can reach the threshold, and whose own words leave it in reach, are taken
-apart; this loses nothing.
+decides. Where no line does, every window of as many words as a template has is compared, over the whole text and across
+its line ends, so wrapped notices and notices beside other words on their line are found; a text shorter than a template is
+one window. A window can be chosen freely, so it must agree more than a line, and one of few words wholly. Inverse document frequencies are those of the
+templates; a word no template knows has the highest. Only lines and windows with a word without which no template's cosine
+can reach the threshold, and whose own words leave it in reach, are taken apart; this loses nothing.
 
 Files named like licence files license their directory. A file without a notice of its own inherits from the nearest
 directory above it: directories are joined with the licensed directories by all their ancestors, then files with their directory.
 
 Defined results: a null or empty text has no notice; a null path inherits nothing; of equal scores the first licence
-by name holds; repeated rows are answered alike; a file that nothing licenses has null in every result column; an
+by name holds; a licence file at the root ("/") licenses all below, one without any folder only itself; repeated rows are answered alike; a file that nothing licenses has null in every result column; an
 empty table of files or templates gives no licences. Other columns are kept; result names replace them.
 """
 
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 from skein.session import cut_lineage
 
 LEAST_COSINE = 0.6
+LEAST_WINDOW = 0.7
+SHORT_WINDOW, LEAST_SHORT = 5, 0.95  # windows of fewer words: "all rights" and any third word reach 0.77
 MOST_LITERALS = 5_000  # template words up to which a line is bounded before it is taken apart
 MOST_TEMPLATE_WORDS = 100_000  # more template words than this are joined by a shuffle
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)\b"
@@ -102,35 +106,74 @@ def could_reach(words: Column, vectors: list, n: int, least: float) -> Column:
     return most >= norm * (least - 1e-6)
 
 
-def notices(files: DataFrame, templates: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
+def anchored(text: Column, wanted: Column, most: int) -> Column:
+    """For every wanted word at place ``p`` of a text of ``n`` words: the words from ``lo`` on of windows in which it is the first."""
+    def around(tok: Column, at: Column) -> Column:
+        def one(p: Column, k: Column) -> Column:
+            lo = F.greatest(F.coalesce(F.get(at, k - 1), F.lit(0)) + 1, p - most + 1)
+            return F.struct(lo.alias("lo"), p.alias("p"), F.size(tok).alias("n"), F.slice(tok, lo, p - lo + most).alias("words"))
+        return F.transform(at, one)
+
+    def of(tok: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(1), F.size(tok)), lambda p: F.array_contains(wanted, F.get(tok, p - 1)))
+        return F.flatten(F.transform(F.array(at), lambda at: around(tok, at)))
+    return F.flatten(F.transform(F.array(tokens(text)), of))  # taken apart once, not once per word
+
+
+def windows(lengths: list[int]) -> Column:
+    """(_line, _tokens) of the windows of column ``_anchor``; ``_line`` numbers the windows of a file."""
+    lo, p, n, words = (F.col(f"_anchor.{c}") for c in ("lo", "p", "n", "words"))
+
+    def of(size: Column) -> Column:
+        first, last = F.greatest(lo, p - size + 1), F.least(p, F.greatest(n - size + 1, F.lit(1)))
+        starts = F.filter(F.sequence(first, F.greatest(first, last)), lambda s: s <= last)
+        return F.transform(starts, lambda s: F.struct(
+            (s.cast("bigint") * (max(lengths) + 1) + size).alias("_line"), F.slice(words, s - lo + 1, size).alias("_tokens")))
+    return F.flatten(F.transform(F.array(*map(F.lit, lengths)), of))
+
+
+def notices(files: DataFrame, templates: DataFrame, least: float = LEAST_COSINE, least_window: float = LEAST_WINDOW) -> DataFrame:
     """(_file, license, score) of the files with a notice. ``files``: _file, text."""
     vectors = cut_lineage(template_vectors(templates))
     known = vectors.collect()  # of the size of the templates
     if not known:
         return files.select("_file", F.lit(None).cast("string").alias("license"), F.lit(None).cast("double").alias("score")).limit(0)
+    least_window = max(least, least_window)
     n = len({r["template"] for r in known})
+    lengths = sorted({r["n"] for r in templates.where(F.col("license").isNotNull()).select(F.size(tokens(F.col("text"))).alias("n")).distinct().collect()
+                      if r["n"] and r["n"] > 0})
     needed = needed_words(known, least)
     wanted = F.array(*map(F.lit, needed))
     any_of = lambda low: reduce(or_, [F.contains(low, F.lit(w)) for w in needed])
     has = lambda c: F.exists(F.array(F.lower(c)), any_of)  # noqa: E731  lower-cased once, not once per word
-    lines = (files.where(has(F.col("text")))
-             .select("_file", F.posexplode(F.filter(F.split("text", "\n"), has)).alias("_line", "_text"))
-             .select("_file", "_line", tokens(F.col("_text")).alias("_tokens")).where(F.arrays_overlap("_tokens", wanted)))
-    if len(known) <= MOST_LITERALS:  # else more lines are taken apart, with the same result
-        lines = lines.where(could_reach(F.col("_tokens"), known, n, least))
-    counted = (lines.select("_file", "_line", F.explode("_tokens").alias("token"))
-               .groupBy("_file", "_line", "token").agg(F.count("*").alias("tf")))
     idf = vectors.groupBy("token").agg(F.first("idf").alias("idf"))
     small = len(known) <= MOST_TEMPLATE_WORDS
     ship = F.broadcast if small else (lambda df: df)
-    raw = counted.join(ship(idf), "token", "left").withColumn(
-        "raw", F.col("tf") * F.coalesce("idf", F.log(F.lit(n + 1.0)) + 1))
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("_file", "_line")))
-    scored = (raw.withColumn("_norm", norm).join(ship(vectors.select("template", "license", "token", "weight")), "token")
-              .groupBy("_file", "_line", "template", "license")
-              .agg((F.sum(F.col("raw") * F.col("weight")) / F.first("_norm")).alias("score")).where(F.col("score") >= least))
-    best = F.min(F.struct((-F.round("score", 9)).alias("s"), F.col("license").alias("license"), F.col("score").alias("score")))
-    return scored.groupBy("_file").agg(best.alias("_best")).select("_file", "_best.license", "_best.score")
+
+    def best_of(lines: DataFrame, least: float, enough: Column) -> DataFrame:
+        """Best licence of every file of ``lines`` (_file, _line, _tokens); ``enough`` is at least ``least``."""
+        if len(known) <= MOST_LITERALS:  # else more lines are taken apart, with the same result
+            lines = lines.where(could_reach(F.col("_tokens"), known, n, least))
+        counted = (lines.select("_file", "_line", F.explode("_tokens").alias("token"))
+                   .groupBy("_file", "_line", "token").agg(F.count("*").alias("tf")))
+        raw = counted.join(ship(idf), "token", "left").withColumn(
+            "raw", F.col("tf") * F.coalesce("idf", F.log(F.lit(n + 1.0)) + 1))
+        norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("_file", "_line")))
+        scored = (raw.withColumn("_norm", norm).join(ship(vectors.select("template", "license", "token", "weight")), "token")
+                  .groupBy("_file", "_line", "template", "license")
+                  .agg((F.sum(F.col("raw") * F.col("weight")) / F.first("_norm")).alias("score")).where(F.col("score") >= enough))
+        best = F.min(F.struct((-F.round("score", 9)).alias("s"), F.col("license").alias("license"), F.col("score").alias("score")))
+        return scored.groupBy("_file").agg(best.alias("_best")).select("_file", "_best.license", "_best.score")
+
+    texts = files.where(has(F.col("text")))
+    lines = (texts.select("_file", F.posexplode(F.filter(F.split("text", "\n"), has)).alias("_line", "_text"))
+             .select("_file", "_line", tokens(F.col("_text")).alias("_tokens")).where(F.arrays_overlap("_tokens", wanted)))
+    found = cut_lineage(best_of(lines, least, F.lit(least)))
+    left = (texts.select("_file", F.explode(anchored(F.col("text"), wanted, max(lengths))).alias("_anchor"))
+            .join(found.select("_file"), "_file", "left_anti").distinct())  # rows with the same path and text are one file
+    short = F.col("_line") % (max(lengths) + 1) < SHORT_WINDOW
+    return found.unionByName(best_of(left.select("_file", F.inline(windows(lengths))), least_window,
+                                     F.when(short, F.lit(max(least_window, LEAST_SHORT))).otherwise(F.lit(least_window))))
 
 
 def scan(files: DataFrame, templates: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
@@ -138,15 +181,15 @@ def scan(files: DataFrame, templates: DataFrame, least: float = LEAST_COSINE) ->
     results = ("license", "origin", "licensed_by", "score")
     kept = [c for c in files.columns if c not in results and not c.startswith("_")]
     base = files.select(*kept, F.xxhash64(F.coalesce("path", F.lit("")), F.coalesce("text", F.lit(""))).alias("_file"),
-                        F.regexp_extract("path", r"(?s)\A(.*)/[^/]*\z", 1).alias("_dir"),
+                        F.when(F.contains("path", F.lit("/")), F.regexp_extract("path", r"(?s)\A(.*)/[^/]*\z", 1)).alias("_dir"),
                         F.rlike(F.regexp_extract("path", r"(?s)([^/]*)\z", 1), F.lit(LICENCE_FILE)).alias("_grants"))
     found = cut_lineage(notices(base.select("_file", "text"), templates, least))
     small = base.drop("text") if "text" in kept else base
     own = cut_lineage(small.join(found, "_file", "left"))
-    grants = own.where(F.col("_grants") & F.col("license").isNotNull() & (F.col("_dir") != "")).groupBy("_dir").agg(
+    grants = own.where(F.col("_grants") & F.col("license").isNotNull() & F.col("_dir").isNotNull()).groupBy("_dir").agg(
         F.min(F.struct((-F.round("score", 9)).alias("s"), F.col("license").alias("license"), F.col("score").alias("score"))).alias("_best"))
     grants = cut_lineage(grants.select(F.col("_dir").alias("_above"), F.col("_best.license").alias("_license"), F.col("_best.score").alias("_score")))
-    folders = own.where(F.col("_dir") != "").select("_dir").distinct()
+    folders = own.where(F.col("_dir").isNotNull()).select("_dir").distinct()
     parts = F.split("_dir", "/")
     above = folders.select("_dir", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(
         F.slice(parts, F.lit(1), k), "/"))).alias("_depth", "_above"))
@@ -155,6 +198,6 @@ def scan(files: DataFrame, templates: DataFrame, least: float = LEAST_COSINE) ->
     out = own.join(nearest, "_dir", "left")
     mine = F.col("license").isNotNull()
     columns = {"origin": F.when(mine, "own").when(F.col("_from").isNotNull(), "inherited"),
-               "licensed_by": F.when(~mine, F.col("_from._above")),
+               "licensed_by": F.when(~mine, F.when(F.col("_from._above") == "", "/").otherwise(F.col("_from._above"))),
                "license": F.coalesce("license", "_from._license"), "score": F.coalesce("score", "_from._score")}
     return out.select(*[c for c in kept if c != "text"], *[c.alias(n) for n, c in columns.items()])

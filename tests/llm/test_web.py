@@ -153,3 +153,52 @@ def test_nearest_licence_file_is_inherited(spark):
         (None, None, None, None), ("a/e/LICENSE", "MIT", "inherited", "a"), ("a/e/f", "MIT", "inherited", "a")], key=str)
     assert licenses.scan(df.limit(0), templates).count() == 0
     assert {r.license for r in licenses.scan(df, templates.limit(0)).collect()} == {None}
+
+
+def test_notices_beside_other_words_and_across_lines(spark):
+    mit = "Released under the MIT License."
+    words = " ".join(f"prose{k}" for k in range(400))
+    texts = {"Copyright (c) 2020 Jane Doe and contributors. " + mit: "MIT", "Copyright (c) 2021 Example Corp. All rights reserved.": "Proprietary",
+             "eight words of prose stand before this notice " + mit: "MIT", f"{words} {mit} {words}": "MIT",
+             "# This work is licensed under a\n# Creative Commons\n# Attribution 4.0\n# International License.": "CC-BY-4.0",
+             "x is y. Licensed under the Apache\nLicense,\nVersion\n2.0. " + words: "Apache-2.0",
+             "of all rights and duties that people have in a town": None, "as far as we know this was licensed under the MIT License " + words: "MIT", "the license of a driver is " + words: None}
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)] * 2, "path string, text string")
+    rows = licenses.scan(df, spark.createDataFrame(licenses.TEMPLATES, "license string, text string")).collect()
+    assert len(rows) == 2 * len(texts) and {int(r.path): r.license for r in rows} == dict(enumerate(texts.values()))
+
+
+def brute_windows(text, templates, least):
+    """Like ``brute_cosines`` over all windows of as many words as a template has."""
+    split = lambda t: re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", t.lower())
+    known = [(name, split(t)) for name, t in sorted(set(templates))]
+    idf = {w: math.log((len(known) + 1) / (sum(w in t for _, t in known) + 1)) + 1 for w in {*split(text), *(w for _, t in known for w in t)}}
+
+    def vector(words):
+        v = {w: words.count(w) * idf[w] for w in words}
+        n = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / n for w, x in v.items()}
+    vectors, own = [(name, vector(t)) for name, t in known], split(text)
+    places = [(n, vector(own[k:k + n])) for n in {len(t) for _, t in known} for k in range(max(len(own) - n, 0) + 1)]
+    found = [(round(sum(x * v.get(w, 0) for w, x in place.items()), 9), name, n) for n, place in places for name, v in vectors]
+    return min((f[:2] for f in found if f[0] >= (least if f[2] >= 5 else 0.95)), key=lambda f: (-f[0], f[1]), default=None)
+
+
+def test_windows_equal_brute_force(spark):
+    rng = __import__("random").Random(4)
+    vocabulary = [w for _, t in licenses.TEMPLATES[:6] for w in t.split()]
+    texts = []
+    for _, t in licenses.TEMPLATES * 2:
+        own = [rng.choice(vocabulary) if rng.random() < 0.15 else w for w in t.split()]
+        texts.append(" ".join([*(f"p{k}" for k in range(25)), *own, *(f"q{k}" for k in range(rng.randrange(25)))]))
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "path string, text string")
+    got = {r.path: (round(r.score, 9), r.license) if r.license else None
+           for r in licenses.scan(df, spark.createDataFrame(licenses.TEMPLATES, "license string, text string")).collect()}
+    assert got == {str(i): brute_cosines(t, licenses.TEMPLATES) or brute_windows(t, licenses.TEMPLATES, licenses.LEAST_WINDOW) for i, t in enumerate(texts)}
+
+
+def test_root_licenses_what_lies_below(spark):
+    rows = [("/LICENSE", "Released under the MIT License."), ("/a/x.py", "code"), ("/y.py", "code"), ("b/z.py", "code")]
+    got = licenses.scan(spark.createDataFrame(rows, "path string, text string"), spark.createDataFrame(licenses.TEMPLATES, "license string, text string"))
+    assert {(r.path, r.license, r.licensed_by) for r in got.collect()} == {
+        ("/LICENSE", "MIT", None), ("/a/x.py", "MIT", "/"), ("/y.py", "MIT", "/"), ("b/z.py", None, None)}
