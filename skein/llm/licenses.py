@@ -32,6 +32,8 @@ LEAST_WINDOW = 0.7
 SHORT_WINDOW, LEAST_SHORT = 5, 0.95  # windows of fewer words: "all rights" and any third word reach 0.77
 MOST_LITERALS = 5_000  # template words up to which a line is bounded before it is taken apart
 MOST_TEMPLATE_WORDS = 100_000  # more template words than this are joined by a shuffle
+#: Words of everyday prose, the most frequent last; of those that would do, windows are looked for by other words.
+COMMON = "under can may any free met mit not from you for it or on all are by is with to in this be as that a of and the".split()
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)\b"
 
 #: Fixed texts of common notices.
@@ -70,15 +72,19 @@ def template_vectors(templates: DataFrame) -> DataFrame:
     return raw.select("template", "license", "token", "idf", (F.col("raw") / norm).alias("weight"))
 
 
-def needed_words(vectors: list, least: float) -> list[str]:
-    """Words of which a line must have one: without all of them no template's cosine can reach ``least``."""
+def needed_words(vectors: list, least: float, last: list[str] = ()) -> list[str]:
+    """Words of which a line must have one: without all of them no template's cosine can reach ``least``.
+
+    Words of ``last`` are only taken where the others do not do.
+    """
+    rank = {w: k for k, w in enumerate(last)}
     by_template: dict[int, list] = {}
     for r in vectors:
         by_template.setdefault(r["template"], []).append(r)
     out: set[str] = set()
     for rows in by_template.values():
         rest = 1.0 - sum(r["weight"] ** 2 for r in rows if r["token"] in out)
-        for r in sorted(rows, key=lambda r: (-len(r["token"]), r["token"])):  # long words are rare in prose
+        for r in sorted(rows, key=lambda r: (rank.get(r["token"], -1), -len(r["token"]), r["token"])):  # long words are rare in prose
             if rest < (least - 1e-9) ** 2:
                 break
             if r["token"] not in out:
@@ -144,6 +150,7 @@ def notices(files: DataFrame, templates: DataFrame, least: float = LEAST_COSINE,
                       if r["n"] and r["n"] > 0})
     needed = needed_words(known, least)
     wanted = F.array(*map(F.lit, needed))
+    rare = F.array(*map(F.lit, needed_words(known, least_window, COMMON)))  # a window that has one has one of needed as well
     any_of = lambda low: reduce(or_, [F.contains(low, F.lit(w)) for w in needed])
     has = lambda c: F.exists(F.array(F.lower(c)), any_of)  # noqa: E731  lower-cased once, not once per word
     idf = vectors.groupBy("token").agg(F.first("idf").alias("idf"))
@@ -169,7 +176,7 @@ def notices(files: DataFrame, templates: DataFrame, least: float = LEAST_COSINE,
     lines = (texts.select("_file", F.posexplode(F.filter(F.split("text", "\n"), has)).alias("_line", "_text"))
              .select("_file", "_line", tokens(F.col("_text")).alias("_tokens")).where(F.arrays_overlap("_tokens", wanted)))
     found = cut_lineage(best_of(lines, least, F.lit(least)))
-    left = (texts.select("_file", F.explode(anchored(F.col("text"), wanted, max(lengths))).alias("_anchor"))
+    left = (texts.select("_file", F.explode(anchored(F.col("text"), rare, max(lengths))).alias("_anchor"))
             .join(found.select("_file"), "_file", "left_anti").distinct())  # rows with the same path and text are one file
     short = F.col("_line") % (max(lengths) + 1) < SHORT_WINDOW
     return found.unionByName(best_of(left.select("_file", F.inline(windows(lengths))), least_window,
