@@ -2,8 +2,9 @@
 
 A mask says which of a few consecutive words are hashed and which may differ. Every masked window of the benchmark
 is a seed; every masked window of a document is looked up among the seeds. A hit fixes how item and document lie
-beside each other, and that alignment is verified word by word: matches count 1, substitutions cost 2, and the best
-stretch is a finding if enough of its words match.
+beside each other, and that alignment is verified word by word: of all stretches of which ``LEAST_SHARE`` of the words
+match, the one with most matches is a finding if these are enough. The masks miss none: between substitutions such a
+stretch holds four equal words in a row, or three and then two or three, parted by one substitution.
 
 Benchmarks of any size are cut into slices of about ``SLICE_WORDS`` words; every slice is one broadcast index and one pass over the
 documents, which are not shuffled. Words are runs of letters and digits, lower-cased.
@@ -29,15 +30,21 @@ from pyspark.sql import functions as F
 from skein.llm.common import _ORDER, NOT_WORD, hashed_words, mix, small_batches, text_chunks
 from skein.session import cut_lineage
 
-#: 1: the word is hashed, 0: it may differ. The first serves items and stretches that are short.
-MASKS = ("111111", "1101100111", "11100101011", "1010011010111")
+#: 1: the word is hashed, 0: it may differ.
+MASKS = ("1111", "111011")
 LEAST_ITEM = 6
 LEAST_MATCHED = 13  # words, or LEAST_SHARE of the item if that is less
 LEAST_SHARE = 0.8
-SUBSTITUTION = -2
+SUBSTITUTION = -4  # beside 1 for a match, stretches of LEAST_SHARE are those with a sum of 0 or more
+VERIFIED_WORDS = 4_000_000  # pairs of words that are compared at once
 SLICE_WORDS = 400_000
 
 
+def least_matched(size: int) -> int:
+    """Words of an item that must match."""
+    return min(LEAST_MATCHED, max(int(np.ceil(LEAST_SHARE * size)), LEAST_ITEM))
+
+
 def masked(words: np.ndarray, mask: str) -> np.ndarray:
     """Hash of the masked window at every position where it fits."""
     n = len(words) - len(mask) + 1
@@ -83,7 +90,7 @@ class Index:
         """(row, item, first word, word after the last, matches, substitutions) of a column of texts."""
         for first, raw, starts in text_chunks(pc.utf8_lower(column)):
             words, at = hashed_words(raw, starts, NOT_WORD)
-            aligned = self._alignments(words, at)
+            aligned = self._enough(words, at, self._alignments(words, at))
             best: dict[tuple[int, int], tuple] = {}
             for row, item, shift in aligned.tolist():
                 found = self._verified(words[at[row]:at[row + 1]], self.words[item], shift)
@@ -111,22 +118,39 @@ class Index:
             out.append(np.unique(np.stack([np.repeat(row, n), items[seed], np.repeat(here - at[row], n) - places[seed]], axis=1), axis=0))
         return np.unique(np.concatenate(out), axis=0)
 
+    def _enough(self, words: np.ndarray, at: np.ndarray, aligned: np.ndarray) -> np.ndarray:
+        """Alignments in which enough words match, in one stretch or not."""
+        size = np.array([len(w) for w in self.words], np.int64)
+        starts, every = np.concatenate([[0], np.cumsum(size)]), np.concatenate([np.zeros(0, np.uint64), *self.words])
+        row, item, shift = aligned.T
+        first, n = np.maximum(shift, 0), np.minimum(shift + size[item], (at[1:] - at[:-1])[row]) - np.maximum(shift, 0)
+        least = np.array([least_matched(k) for k in size.tolist()], np.int64)[item]
+        own, other, keep = at[row] + first, starts[item] + first - shift, np.zeros(len(aligned), bool)
+        sums, lo = np.concatenate([[0], np.cumsum(n)]), 0
+        while lo < len(aligned):
+            hi = max(int(np.searchsorted(sums, sums[lo] + VERIFIED_WORDS, "right")) - 1, lo + 1)
+            inside = np.arange(sums[hi] - sums[lo]) - np.repeat(sums[lo:hi] - sums[lo], n[lo:hi])
+            equal = words[np.repeat(own[lo:hi], n[lo:hi]) + inside] == every[np.repeat(other[lo:hi], n[lo:hi]) + inside]
+            keep[lo:hi] = np.add.reduceat(equal, sums[lo:hi] - sums[lo], dtype=np.int64) >= least[lo:hi]
+            lo = hi
+        return aligned[keep]
+
     @staticmethod
     def _verified(doc: np.ndarray, item: np.ndarray, shift: int):
-        """Best stretch of an alignment: (first word, end, matches, substitutions) or None."""
+        """Stretch of an alignment with most matches: (first word, end, matches, substitutions) or None."""
         a, b = max(shift, 0), min(shift + len(item), len(doc))
         if b - a < LEAST_ITEM:
             return None
         equal = doc[a:b] == item[a - shift:b - shift]
         total = np.concatenate([[0], np.cumsum(np.where(equal, 1, SUBSTITUTION))])
-        lowest = np.minimum.accumulate(total)
-        end = int(np.argmax(total - lowest))
-        start = int(np.flatnonzero(total[:end + 1] == lowest[end])[-1])
-        matches = int(equal[start:end].sum())
-        enough = min(LEAST_MATCHED, max(int(np.ceil(LEAST_SHARE * len(item))), LEAST_ITEM))
-        if matches < enough or matches < LEAST_SHARE * (end - start):
+        count = np.concatenate([[0], np.cumsum(equal)])
+        start = np.searchsorted(-np.minimum.accumulate(total), -total)  # the first from which the sum is not negative
+        end = int(np.argmax(count - count[start]))
+        at = np.flatnonzero(equal[start[end]:end]) + start[end]
+        if len(at) < least_matched(len(item)):
             return None
-        return a + start, a + end, matches, end - start - matches
+        start, end = int(at[0]), int(at[-1]) + 1
+        return a + start, a + end, len(at), end - start - len(at)
 
 
 def slices(benchmark: DataFrame) -> Iterator[Index]:

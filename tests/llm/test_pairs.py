@@ -6,6 +6,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from skein.llm import decontaminate, embedding_dedup, ngram_join, queries
@@ -220,3 +221,21 @@ def test_given_documents_hold_the_items_a_search_finds(spark):
     whole = {(d, k) for d, t in rows for k, i in items if plain(i) in plain(t)}
     got = {(r.doc_id, r.item_id) for r in queries.QUERIES["op1_decontamination"](spark, SF).collect()}
     assert whole and whole <= got
+
+
+def test_every_stretch_that_fulfils_the_rule_is_found():
+    """All substitution positions of short items, random ones of long items, against all stretches."""
+    rng = random.Random(3)
+
+    def qualifies(equal, n):
+        enough = min(13, max(-(-8 * n // 10), 6))
+        return any(sum(equal[i:j]) >= enough and 5 * sum(equal[i:j]) >= 4 * (j - i) for i in range(n) for j in range(i + enough, n + 1))
+    sizes = [*range(6, 18), 30, 59]
+    items = [[f"i{n}x{k}" for k in range(n)] for n in sizes]
+    cases = [(s, set(c)) for s, n in enumerate(sizes) if n <= 17 for m in range(4) for c in itertools.combinations(range(n), m)]
+    cases += [(s, {k for k in range(sizes[s]) if rng.random() < p}) for s in (12, 13) for p in (0.15, 0.2, 0.25, 0.3) for _ in range(150)]
+    texts = [" ".join(["before", *("changed" if k in c else w for k, w in enumerate(items[s])), "after"]) for s, c in cases]
+    index = decontaminate.Index.of([(s, " ".join(w)) for s, w in enumerate(items)])
+    got = {(row, item): (matched, substituted) for row, item, _, _, matched, substituted in index.findings(pa.array(texts))}
+    assert set(got) == {(d, s) for d, (s, c) in enumerate(cases) if qualifies([k not in c for k in range(sizes[s])], sizes[s])}
+    assert all(m >= 4 * x for m, x in got.values())
