@@ -75,23 +75,25 @@ def source_targets(sized: DataFrame, share: float = 1.5, most_repeats: int = 2,
                          F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
-def due(words_before: Column) -> tuple[Column, Column]:
-    """Demand that so many words meet, in units of the schedule, and the training time at which it arises (of ``_at``)."""
+def due(words_before: Column) -> Column:
+    """The training time at which the demand arises that so many words meet."""
     at = words_before / F.col("target") * F.element_at("sums", -1)
-    segment = F.expr("greatest(size(filter(slice(sums, 1, size(sums) - 1), s -> s <= _at)), 1)")
-    local = F.col("_at") - F.element_at("sums", segment)
+    inner = F.slice("sums", F.lit(1), F.size("sums") - 1)
+    segment = F.greatest(F.size(F.filter(inner, lambda s: s <= at)), F.lit(1))
+    local = at - F.element_at("sums", segment)
     from_, to = F.element_at("knots", segment), F.element_at("knots", segment + 1)
     slope = (to["w"] - from_["w"]) / (to["t"] - from_["t"])
     root = F.sqrt(F.greatest(from_["w"] * from_["w"] + slope * local * 2, F.lit(0.0)))
     inside = F.when(local <= 0, F.lit(0.0)).otherwise(local * 2 / (from_["w"] + root))
-    return at, from_["t"] + inside
+    return from_["t"] + inside
 
 
 def mix(docs: DataFrame, share: float = 1.5, most_repeats: int = 2, schedule=rank_schedule) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken, position, repeats; sorted by position.
+    """One row per document: doc_id, source, size, source_size, target, taken, position, repeats, passes; sorted by position.
 
     ``taken`` counts the words of all passes over the document; the document at the edge of a target gives its first
-    words only. ``position`` is the training time of the first pass, null if nothing is taken.
+    words only. ``position`` is the training time of the first pass, null if nothing is taken. ``passes`` holds
+    the position and the words of every pass that takes some, so its rows, sorted by position, are the curriculum.
     """
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
     groups = cut_lineage(sized.groupBy("source", "doc_id", "size").agg(F.count("*").alias("copies")))
@@ -119,9 +121,10 @@ def mix(docs: DataFrame, share: float = 1.5, most_repeats: int = 2, schedule=ran
     passes = [F.greatest(F.least(whole - F.col("before") - F.col("source_size") * k, F.col("size")), F.lit(0))
               for k in range(most_repeats)]
     taken = sum(passes[1:], passes[0])
-    at, time = due(F.col("before"))
-    return (queued.withColumn("taken", taken).withColumn("_at", F.when(F.col("taken") > 0, at))
-            .withColumn("position", F.when(F.col("taken") > 0, time))
+    timed = F.array(*[F.struct(F.when(p > 0, due(F.col("before") + F.col("source_size") * k)).alias("position"), p.alias("words"))
+                      for k, p in enumerate(passes)])
+    return (queued.withColumn("taken", taken).withColumn("passes", F.filter(timed, lambda p: p["words"] > 0))
+            .withColumn("position", F.get("passes", F.lit(0))["position"])
             .withColumn("repeats", sum([(p > 0).cast("int") for p in passes[1:]], F.lit(0)))
-            .select("doc_id", "source", "size", "source_size", "target", "taken", "position", "repeats")
+            .select("doc_id", "source", "size", "source_size", "target", "taken", "position", "repeats", "passes")
             .orderBy(F.col("position").asc_nulls_last(), "doc_id", "size", "source"))

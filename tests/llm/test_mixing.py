@@ -39,3 +39,17 @@ def test_positions_invert_the_integrated_schedule(spark):
 def test_runs_agree_on_any_partitioning(spark, odd_docs):
     one, two = (sorted(map(str, mixing.mix(odd_docs.repartition(n)).collect())) for n in (1, 6))
     assert one == two
+
+
+def test_every_pass_has_its_position(spark):
+    """The words of all passes before a time are the demand of the schedule up to it."""
+    docs = spark.createDataFrame([(i, "w " * 5, s) for i, s in enumerate("a" * 200 + "b" * 200)], "doc_id bigint, text string, source string")
+    knots = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(w).alias("w")) for t, w in ((0.0, 0.0), (0.5, 2.0), (1.0, 1.0))])
+    rows = mixing.mix(docs, schedule=lambda rank: knots).collect()
+    assert all(sum(p.words for p in r.passes) == r.taken and len(r.passes) == 1 + r.repeats for r in rows if r.taken)
+    assert all(r.passes[0].position == r.position for r in rows if r.taken)
+    given = [(p.position, p.words) for r in rows if r.source == "a" for p in r.passes]
+    assert sum(r.repeats for r in rows) == 200
+    for t in (0.25, 0.5, 0.8):
+        share = (2 * t * t if t <= 0.5 else 0.5 + 2 * (t - 0.5) - (t - 0.5) ** 2) / 1.25
+        assert abs(sum(w for x, w in given if x < t) / 1500 - share) < 0.01
