@@ -1,10 +1,11 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-A lexicon transducer reads words and writes symbols: insult and threat (with a weight), target, negation, report, other.
-Five small transducers read the symbols of a clause: which insults and threats occur, whether somebody is
-targeted, whether an insult stands in the short scope of a negation, and whether it is reported speech. They are composed
-into one automaton; the state in which a clause ends says what kind of clause it is. A document is described by the
-weights of its clauses by kind, and a logistic model turns them into a score, so a word counts by the clause it is in.
+A lexicon transducer reads words and writes symbols: insult and threat (with a weight), target, negation, report, other;
+a comma before a new subject or a "but" is a break. Five small transducers read the symbols of a clause: which insults and
+threats occur, whether somebody is targeted, which insults stand in the short scope of a negation, and which are reported
+speech. A scope ends after the insults that meet it first (negation) or at a break (both). They are composed into one
+automaton, whose outputs tell insults inside a scope from those outside; a clause with both has weights of
+several kinds. A document is described by the weights of its clauses by kind, and a logistic model turns them into a score, so a word counts by the clause it is in.
 
 The insult lexicon has built-in words and stems learned from labelled documents: words and word beginnings that occur
 in toxic documents far more often than chance allows. Copies of a document are learned from once. Labels are learned from at most about
@@ -45,7 +46,11 @@ NEGATIONS = "not no never isn aren wasn don without nicht kein keine nie pas jam
 REPORTS = ("said says say called calls wrote writes quoted quotes claimed claims reported sagte sagt nannte schrieb dit "
            "disait appelle dijo dice llamó escribió").split()
 
-INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = range(6)
+SUBJECTS = frozenset((*TARGETS, *"i we it this that ich wir es je j nous on il elle yo nosotros él tú".split()))
+TURNS = frozenset("but yet however aber doch sondern mais pero sino".split())
+LINKS = frozenset("and or so und oder et ou y o".split())  # part clauses only before a new subject
+
+INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER, BREAK = range(7)
 KINDS = ("plain", "targeted", "denied", "quoted", "threat", "threatened")
 PRIOR = np.array([-3.0, 3.0, 4.0, 0.5, 0.5, 2.0, 4.0])  # bias and kinds
 _CLAUSE = re.compile(r"[.!?;\n]")
@@ -68,16 +73,15 @@ class Transducer:
 
 
 def scope(name: str, opener: int, length: int | None) -> Transducer:
-    """Marks insults and threats that follow an ``opener`` within ``length`` words (None: in the clause)."""
-    states = ["free", *(f"open{k}" for k in range(length, 0, -1))] if length else ["free", "open"]
-    arcs = {}
-    for s in (*states, "hit"):
-        if s != "hit":
-            arcs[s, opener] = (states[1], 0.0)
-        if s.startswith("open"):
-            arcs[s, INSULT] = ("hit", 0.0)
-            arcs[s, THREAT] = ("hit", 0.0)
-    after = dict(zip(states[1:], [*states[2:], "free"])) if length else {}
+    """Marks, by weight 1, insults and threats that follow an ``opener`` within ``length`` words (None: up to a break).
+
+    A scope with a length ends after the first that it marks and those right behind.
+    """
+    states = ["free", *(f"open{k}" for k in range(length, 0, -1)), "hit"] if length else ["free", "open"]
+    arcs = {(s, opener): (states[1], 0.0) for s in states} | {(s, BREAK): ("free", 0.0) for s in states}
+    for s in states[1:]:
+        arcs[s, INSULT] = arcs[s, THREAT] = (states[-1], 1.0)
+    after = dict(zip(states[1:], [*states[2:-1], "free", "free"])) if length else {}
     return Transducer("free", arcs, after)
 
 
@@ -88,38 +92,30 @@ def seen(symbol: int) -> Transducer:
 PARTS = (seen(INSULT), seen(THREAT), seen(TARGET), scope("negation", NEGATION, NEGATION_SCOPE), scope("report", REPORT, None))
 
 
-def compose(parts: Iterable[Transducer]) -> tuple[np.ndarray, list[tuple]]:
-    """Product of transducers that read the same symbols: next states by state and symbol, and the states; 0 starts."""
+def compose(parts: Iterable[Transducer]) -> tuple[np.ndarray, list[tuple], list[list[tuple]]]:
+    """Product of transducers that read the same symbols: next states by state and symbol, the states, and the
+    weights that the parts give, by state and symbol; 0 starts."""
     states, rows, todo = {tuple(p.start for p in parts): 0}, {}, [tuple(p.start for p in parts)]
     while todo:
         state = todo.pop()
         row = []
-        for symbol in range(6):
-            to = tuple(p.step(s, symbol)[0] for p, s in zip(parts, state))
+        for symbol in range(7):
+            steps = [p.step(s, symbol) for p, s in zip(parts, state)]
+            to = tuple(s for s, _ in steps)
             if to not in states:
                 states[to] = len(states)
                 todo.append(to)
-            row.append(states[to])
+            row.append((states[to], tuple(w for _, w in steps)))
         rows[states[state]] = row
-    return np.array([rows[k] for k in range(len(rows))]), list(states)
-
-
-def kind_of(state: tuple) -> int:
-    """Index into KINDS of a clause that ends in this state; -1 for a clause without insult and threat."""
-    insult, threat, target, negation, report = state
-    if insult == threat == "no":
-        return -1
-    if negation == "hit":
-        return KINDS.index("denied")
-    if report == "hit":
-        return KINDS.index("quoted")
-    if threat == "yes":
-        return KINDS.index("threatened" if target == "yes" else "threat")
-    return KINDS.index("targeted" if target == "yes" else "plain")
+    ordered = [rows[k] for k in range(len(rows))]
+    return np.array([[to for to, _ in row] for row in ordered]), list(states), [[w for _, w in row] for row in ordered]
 
 
-_NEXT, _STATES = compose(PARTS)
-NEXT, KIND = _NEXT.tolist(), [kind_of(s) for s in _STATES]
+_NEXT, _STATES, _WEIGHTS = compose(PARTS)
+NEXT = _NEXT.tolist()
+#: Where a word of a symbol stands that is read in a state.
+OUTSIDE, DENIED, QUOTED = range(3)
+PLACE = [[DENIED if w[3] else QUOTED if w[4] else OUTSIDE for w in row] for row in _WEIGHTS]
 _SYMBOLS = {w: s for s, words in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in words}
 
 
@@ -145,7 +141,7 @@ class Grammar:
         return found
 
     def clauses(self, text: str):
-        """(kind, weight, start, end) of the clauses with an insult or threat."""
+        """(kind, weight, start, end) of the clauses with an insult or threat; a clause can have several kinds."""
         low = text.lower()
         done = 0
         for last, cue in self.finder.iter(low):
@@ -155,15 +151,27 @@ class Grammar:
             start = max((low.rfind(c, done, first) for c in ".!?;\n")) + 1 or done
             stop = _CLAUSE.search(low, last)
             stop = stop.start() if stop else len(low)
-            state, weight = 0, 0.0
+            state, weights, places, threat = 0, [0.0, 0.0, 0.0], set(), False
+            before, symbol, linked = start, OTHER, False
             for m in _WORD.finditer(low, start, stop):
                 word = m.group()
+                comma = "," in low[before:m.start()] and symbol != REPORT  # "he said, you are" goes on
+                if (comma or linked) and word in SUBJECTS or comma and word in TURNS:
+                    state = NEXT[state][BREAK]
+                linked, before = comma and word in LINKS, m.end()
                 found = self.cue(word)
+                symbol = found[0] if found else _SYMBOLS.get(word, OTHER)
                 if found:
-                    weight += found[1]
-                state = NEXT[state][found[0] if found else _SYMBOLS.get(word, OTHER)]
-            if KIND[state] >= 0:
-                yield KIND[state], weight, start, stop
+                    place = PLACE[state][symbol]
+                    places.add(place)
+                    weights[place] += found[1]
+                    threat |= symbol == THREAT and place == OUTSIDE
+                state = NEXT[state][symbol]
+            target = _STATES[state][2] == "yes"
+            outside = ("threatened" if target else "threat") if threat else "targeted" if target else "plain"
+            for place in sorted(places):
+                yield KINDS.index((outside, "denied", "quoted")[place]), weights[place], start, stop
+            if places:
                 done = stop
 
     def describe(self, text: str | None) -> np.ndarray:

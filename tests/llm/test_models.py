@@ -117,3 +117,18 @@ def test_copies_are_learned_from_once(spark):
         labels.append((i, 1))
     model = toxicity.fit(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int"))
     assert any(c.startswith("zorg") for c, _ in model.stems) and not any("garden".startswith(c) or c.startswith("garden") for c, _ in model.stems)
+
+
+@pytest.mark.parametrize("text, kinds", [
+    ("You are not stupid, you are a disgusting idiot", {"denied": 1.0, "targeted": 2.0}), ("They said no, but I will kill you", {"threatened": 1.0}),
+    ("He said you are an idiot", {"quoted": 1.0}), ("They said, you are a moron", {"quoted": 1.0}), ("You are not a stupid idiot", {"denied": 2.0}),
+    ("He is not stupid but a moron", {"denied": 1.0, "targeted": 1.0}), ("They wrote what a fool, and you are scum", {"quoted": 1.0, "targeted": 1.0}),
+    ("She reported trash, clown and vermin", {"quoted": 3.0}), ("I will not hurt you, but he will kill you", {"denied": 1.0, "threatened": 1.0})])
+def test_matches_inside_and_outside_a_scope_count_apart(text, kinds):
+    assert {toxicity.KINDS[k]: w for k, w, *_ in grammar().clauses(text)} == kinds
+
+
+def test_recall_of_held_out_documents(spark):
+    pairs = held_out(spark, "op5_toxicity", "toxic")
+    assert sum(a for a, b in pairs if b) >= 0.6 * sum(b for _, b in pairs)
+    print("recall", sum(a for a, b in pairs if b), sum(b for _, b in pairs))
