@@ -18,10 +18,6 @@ def spark():
     session.stop()
 
 
-def collected(df, *cols):
-    return sorted(tuple(r) for r in df.select(*(cols or df.columns)).collect())
-
-
 @pytest.fixture(scope="session")
 def rows_of(spark):
     def make(lines):

@@ -1,4 +1,4 @@
-from conftest import collected
+from frames import collected
 
 from skein.functions import stats
 from skein.operators import explore, matrix, pairs

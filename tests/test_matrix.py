@@ -1,5 +1,5 @@
 import pytest
-from conftest import collected
+from frames import collected
 from pyspark.sql import functions as F
 
 from skein.operators import correlate, matrix, pairs, realign

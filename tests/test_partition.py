@@ -1,5 +1,5 @@
 import numpy as np
-from conftest import collected
+from frames import collected
 from pyspark.sql import functions as F
 
 from skein.operators import cliques, explore, linkage, neighbours, partition

@@ -1,7 +1,7 @@
 import glob
 import os
 
-from conftest import collected
+from frames import collected
 from pyspark.sql import functions as F
 
 from skein.functions import sequence
