@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import (decontaminate, embedding_dedup, language, licenses, mixing, ngram_join, quality, toxicity, url_filter,
-                       warc)
+from skein.llm import (decontaminate, embedding_dedup, exact_dedup, language, licenses, mixing, ngram_join, quality, toxicity,
+                       url_filter, warc)
 from skein.llm.common import table
 from skein.session import shared_folder
 
@@ -77,8 +77,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_mix_sources, op3_ngram_jaccard_join, op4_license_scan, op5_toxicity, op6_embedding_near_dedup,
-                                   op7_warc, op8_quality, op9_url_filter, op10_language_id)}
+                                   op7_warc, op8_quality, op9_url_filter, op10_language_id, op13_exact_dedup)}
 
 ORACLES: dict[str, str] = {
     "op2_mix_sources": r"""
@@ -150,6 +154,11 @@ SELECT page_id, payload_bytes,
        CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> last THEN last END AS refers_to
 FROM bits""",
+    "op13_exact_dedup": """
+WITH texts AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256, coalesce(text, '') AS text FROM documents)
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       row_number() OVER (PARTITION BY text ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, text_sha256
+FROM texts WINDOW same AS (PARTITION BY text)""",
     "op9_url_filter": r"""
 WITH rest AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
