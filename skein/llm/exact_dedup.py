@@ -31,6 +31,7 @@ FAN = 4
 MOST_SLOTS = 4096  # more parallel tasks than this share slots; no entry is dropped
 RUN = "slot int, digest bigint, sha binary, bytes bigint, id bigint, row bigint, n bigint"
 _KEYS = ("digest", "sha", "bytes")
+_NAMES = ["slot", *_KEYS, "id", "row", "n"]
 
 
 def slot_count(df: DataFrame) -> int:
@@ -41,9 +42,6 @@ def slot_count(df: DataFrame) -> int:
 
 def _merged(largest: bool):
     """Streams runs that are sorted by slot and digest: neighbours with equal digest, SHA-256 and length become one entry."""
-    def close(rows: pa.Table) -> pa.RecordBatch:
-        return rows.combine_chunks().to_batches()[0]
-
     def merge(batch: pa.RecordBatch) -> pa.RecordBatch:
         slot, digest, sha = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("slot", "digest", "sha"))
         size, n = batch.column("bytes").to_numpy(), batch.column("n").to_numpy()
@@ -57,15 +55,15 @@ def _merged(largest: bool):
         order = np.lexsort((-rows, ids if largest else ~ids, known, np.cumsum(new)))
         best = order[np.append(first[1:], batch.num_rows) - 1]
         out = batch.take(pa.array(best))
-        return out.set_column(out.schema.get_field_index("n"), "n", pa.array(total))
+        return pa.RecordBatch.from_arrays([out.column(c) for c in _NAMES[:-1]] + [pa.array(total)], _NAMES)
 
     def run(batches):
         held = None  # the last entry: it may go on in the next batch
         for batch in batches:
             if not batch.num_rows:
                 continue
-            parts = [batch] if held is None else [held, batch]
-            merged = merge(close(pa.Table.from_batches(parts)))
+            batch = pa.RecordBatch.from_arrays([batch.column(c) for c in _NAMES], _NAMES)  # nullable, as merged ones are
+            merged = merge(batch if held is None else pa.concat_batches([held, batch]))
             if merged.num_rows > 1:
                 yield merged.slice(0, merged.num_rows - 1)
             held = merged.slice(merged.num_rows - 1)

@@ -50,3 +50,14 @@ def test_empty_and_odd_documents(spark, odd_docs, no_docs):
     assert len(rows) == odd_docs.count()
     assert sum(r.kept for r in rows if r.doc_id == 6) == 1
     assert {r.group_size for r in rows if r.doc_id in (2, 3)} == {3}
+
+
+def test_runs_that_go_on_in_the_next_batch(spark, monkeypatch):
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "3")
+    try:
+        df = spark.createDataFrame([(i, f"t{i % 9}") for i in range(300)], "doc_id bigint, text string").repartition(9)
+        assert {(r.doc_id % 9, r.group_size) for r in exact_dedup.groups(df).collect()} == {(k, 34 if k < 3 else 33) for k in range(9)}
+    finally:
+        spark.conf.set(size, before)
