@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import (decontaminate, embedding_dedup, exact_dedup, language, licenses, mixing, ngram_join, quality, toxicity,
-                       url_filter, warc)
+from skein.llm import (decontaminate, embedding_dedup, exact_dedup, language, licenses, mixing, ngram_join, phrases, prefix_trie,
+                       quality, toxicity, url_filter, warc)
 from skein.llm.common import table
 from skein.session import shared_folder
 
@@ -77,12 +77,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_mix_sources, op3_ngram_jaccard_join, op4_license_scan, op5_toxicity, op6_embedding_near_dedup,
-                                   op7_warc, op8_quality, op9_url_filter, op10_language_id, op13_exact_dedup)}
+                                   op7_warc, op8_quality, op9_url_filter, op10_language_id, op11_phrase_collocations,
+                                   op12_prefix_trie, op13_exact_dedup)}
 
 ORACLES: dict[str, str] = {
     "op2_mix_sources": r"""
@@ -154,6 +163,55 @@ SELECT page_id, payload_bytes,
        CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> last THEN last END AS refers_to
 FROM bits""",
+    "op11_phrase_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM documents),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+grams AS (SELECT lang, m, w[i:i + m - 1] AS p FROM (
+  SELECT lang, m, w, unnest(range(1, len(w) - m + 2)) AS i FROM (SELECT lang, w, unnest([1, 2, 3, 4]) AS m FROM pieces) WHERE len(w) >= m)),
+f AS (SELECT lang, p, m, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 30),
+cut AS (
+  SELECT c.lang, c.p, c.m, c.a, k, l.a AS l, r.a AS r, (2000000::HUGEINT * c.a // (l.a + r.a))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM f WHERE m > 1) c
+  JOIN f l ON l.lang = c.lang AND l.p = c.p[1:k] JOIN f r ON r.lang = c.lang AND r.p = c.p[k + 1:]),
+lowest AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+inner_parts AS (SELECT lang, p[i:i + s - 1] AS p, max(a) AS longer FROM (
+  SELECT *, unnest(range(1, m - s + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS s FROM f WHERE m > 2)) GROUP BY ALL),
+best AS (
+  SELECT c.lang, array_to_string(c.p, ' ') AS phrase, a, l, r, score FROM lowest c LEFT JOIN inner_parts i ON i.lang = c.lang AND i.p = c.p
+  WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+FROM best JOIN totals USING (lang) QUALIFY rank <= 2000""",
+    "op12_prefix_trie": r"""
+WITH turns AS (
+  SELECT conv_id AS c, role, text, whole, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, encode(role), whole) - 1 AS p
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+               sha256(concat(octet_length(encode(coalesce(role, ''))), ':', coalesce(role, ''), ':', coalesce(text, ''))) AS whole
+        FROM conversations WHERE conv_id IS NOT NULL)),
+convs AS (
+  SELECT c, c - c % 20 AS base,
+         (xor(list_reduce(list_concat([4294967295], list_transform(string_split(c::VARCHAR, ''), x -> ascii(x)::BIGINT)),
+                          (acc, b) -> list_reduce(list_concat([xor(acc, b)], range(8)), (x, i) -> xor(x >> 1, (x & 1) * 3988292384))), 4294967295)) % 4 AS h
+  FROM (SELECT DISTINCT c FROM turns)),
+rebuilt AS (
+  SELECT v.c, 0 AS own, t.p, whole, text FROM convs v JOIN turns t ON t.c = v.base AND t.p < v.h
+  UNION ALL SELECT v.c, 1, t.p, whole, text FROM convs v JOIN turns t ON t.c = v.c AND t.p >= v.h),
+placed AS (
+  SELECT c, row_number() OVER (PARTITION BY c ORDER BY own, p) AS d, whole, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM rebuilt
+  UNION ALL SELECT c, 0, '', 0 FROM convs),
+keyed AS (SELECT c, d, words, sha256(string_agg(whole, ',') OVER (PARTITION BY c ORDER BY d)) AS key, d = max(d) OVER (PARTITION BY c) AS last FROM placed),
+paths AS (SELECT *, lag(key) OVER (PARTITION BY c ORDER BY d) AS parent FROM keyed),
+nodes AS (
+  SELECT key, any_value(d) AS depth, any_value(parent) AS parent, min(c) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (last), '')) AS ends_sha256 FROM paths GROUP BY key),
+children AS (SELECT parent AS key, count(*) AS n FROM nodes GROUP BY parent),
+counted AS (SELECT nodes.*, coalesce(n, 0) AS n_children FROM nodes LEFT JOIN children USING (key)),
+below AS (
+  SELECT p.key, sum((x.n_children = 0)::INT)::BIGINT AS n_leaves, sum((x.n_convs - 1) * x.words)::BIGINT AS saved_tokens
+  FROM counted x JOIN paths p ON p.c = x.conv_id AND p.d <= x.depth GROUP BY p.key)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM counted n JOIN below USING (key) LEFT JOIN nodes u ON u.key = n.parent""",
     "op13_exact_dedup": """
 WITH texts AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256, coalesce(text, '') AS text FROM documents)
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
