@@ -12,11 +12,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions import stats
-from skein.operators import pairs
+from skein.operators import pairs, partners
 from skein.schema import N_SYMBOLS
 
 # --- fixed values -----------------------------------------------------------
@@ -33,19 +33,11 @@ def top_partners(rows: DataFrame, width: int, sizes: DataFrame, seeds: DataFrame
                  min_cov: int, max_clique: int = MAX_CLIQUE) -> DataFrame:
     """Seed first (rank 0), then its best partners by significance, lower id on ties.
 
-    Partners may lie at any distance. The rank filter is pushed below the shuffle by Spark, so
-    each task sends at most ``max_clique - 1`` candidates per seed.
+    Partners may lie at any distance. Every tile of the matrix product keeps the best ``max_clique - 1`` of a seed.
     """
-    tested = pairs.group_pairs(pairs.column_pairs(rows, width, 1), min_shared=min_cov // 4 + 1)
-    scored = pairs.pair_significance(pairs.with_sizes(tested, sizes), base=stats.CLIQUE_BASE)
-    found = (pairs.both_directions(scored.where(F.col("z") > cutoff), "z")
-             .withColumnsRenamed({"g": "seed", "partner": "g"})
-             .join(seeds.select(F.col("g").alias("seed")), "seed", "left_semi"))
-    # mathematically equal values may differ in the last digits, so ties are found after rounding
-    best = Window.partitionBy("seed").orderBy(F.round("z", 9).desc(), "g")
-    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") < max_clique)
+    ranked = partners.best_partners(rows, width, sizes, seeds, cutoff, min_cov // 4 + 1, max_clique - 1)
     own = seeds.select(F.col("g").alias("seed"), "g", F.lit(None).cast("double").alias("z"), F.lit(0).alias("rank"))
-    return own.unionByName(ranked.select("seed", "g", "z", "rank"))
+    return own.unionByName(ranked)
 
 
 def clique_sizes(cliques: DataFrame, min_size: int = MIN_CLIQUE) -> DataFrame:

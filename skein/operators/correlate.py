@@ -36,13 +36,17 @@ def all_groups(spark, width: int) -> DataFrame:
     return spark.range(width * N_SYMBOLS).select(F.col("id").alias("g"))
 
 
-def max_correlation(tested: DataFrame, width: int) -> DataFrame:
-    """Maximum significance per group over both pair sides, 0 for untested groups."""
-    best = pairs.both_directions(tested, "z").groupBy("g").agg(F.max("z").alias("z"))
-    return (all_groups(tested.sparkSession, width).join(best, "g", "left")
+def of_all_groups(best: DataFrame, width: int) -> DataFrame:
+    """(g, z) of every group, 0 for those not in ``best``."""
+    return (all_groups(best.sparkSession, width).join(best.select("g", "z"), "g", "left")
             .select("g", F.coalesce("z", F.lit(0.0)).alias("z")))
 
 
+def max_correlation(tested: DataFrame, width: int) -> DataFrame:
+    """Maximum significance per group over both pair sides of pairs at hand; :func:`partners.strongest` finds it without them."""
+    return of_all_groups(pairs.both_directions(tested, "z").groupBy("g").agg(F.max("z").alias("z")), width)
+
+
 def distant_pairs(tested: DataFrame, distance: int = 100) -> DataFrame:
     """Pairs whose group ids lie more than ``distance`` apart."""
     return tested.where(F.abs(group_id(F.col("cj"), F.col("sj")) - group_id(F.col("ci"), F.col("si"))) > distance)
@@ -61,10 +65,10 @@ def drop_lonely_groups(max_z: DataFrame, partners: DataFrame, min_partners: int
                     .otherwise(F.lit(0.0)).alias("z")))
 
 
-def partner_histogram(tested: DataFrame, cutoff: float, width: int, buckets: int = 50) -> DataFrame:
-    """How many groups have 0, 1, ... significant partners, the last bucket open."""
+def partner_histogram(counted: DataFrame, width: int, buckets: int = 50) -> DataFrame:
+    """How many groups have 0, 1, ... significant partners ``counted(g, partners)``, the last bucket open."""
     n = F.least(F.coalesce("partners", F.lit(0)), F.lit(buckets - 1)).alias("partners")
-    return (all_groups(tested.sparkSession, width).join(significant_partners(tested, cutoff), "g", "left")
+    return (all_groups(counted.sparkSession, width).join(counted.select("g", "partners"), "g", "left")
             .groupBy(n).agg(F.count("*").alias("groups")))
 
 

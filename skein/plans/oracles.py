@@ -183,14 +183,15 @@ top5 AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY row_id ORDER
 centers AS MATERIALIZED (SELECT label, row_id, list(bit ORDER BY pos) AS center FROM (SELECT label, row_id, pos, CASE WHEN sum(b) > 2 THEN 1 ELSE 0 END AS bit
 FROM (SELECT label, row_id, unnest(obits) AS b, generate_subscripts(obits, 1) AS pos FROM top5) GROUP BY label, row_id, pos) GROUP BY label, row_id)"""
 
-def event_tested() -> str:
+def event_tested(stop: bool = True) -> str:
+    within = "cj < coalesce(stop, 99)" if stop else f"cov >= {MIN_COV}"
     return f"""cells AS MATERIALIZED ({EVENT_CELLS}), n_rows AS (SELECT count(DISTINCT row_id) AS n FROM cells), {counts(EVENT_GAP)},
 days AS (SELECT unnest(range(31)) AS col),
 shared AS (SELECT ci, cj, max(cov) AS cov FROM pairs GROUP BY ci, cj),
 stops AS (SELECT a.col AS ci, min(b.col) FILTER (coalesce(s.cov, 0) < {MIN_COV}) AS stop FROM days a JOIN days b ON b.col >= a.col + {EVENT_GAP}
 LEFT JOIN shared s ON s.ci = a.col AND s.cj = b.col GROUP BY a.col),
 tested AS (SELECT ci, si, cj, sj, {significance(98.0)} AS z FROM (SELECT *, {UPPER} AS raw FROM sized JOIN stops USING (ci)
-JOIN (SELECT col FROM colcov WHERE bases > cov // 2) ON col = ci WHERE cj < coalesce(stop, 99)
+JOIN (SELECT col FROM colcov WHERE bases > cov // 2) ON col = ci WHERE {within}
 AND size_i > {MIN_COV // 4} AND size_j > {MIN_COV // 4} AND size_i < (SELECT n FROM n_rows) AND size_j < (SELECT n FROM n_rows))),
 max_z AS (SELECT r.g, coalesce(max(z), 0.0) AS z FROM (SELECT unnest(range(155)) AS g) r LEFT JOIN
 (SELECT ci * 5 + si AS g, z FROM tested UNION ALL SELECT cj * 5 + sj, z FROM tested) b ON b.g = r.g GROUP BY r.g)"""
@@ -249,6 +250,7 @@ WHERE sym < 4 OR (before IS NOT NULL AND after IS NOT NULL AND (SELECT count(*)
     q["pair_counts"] = shown("SELECT * FROM pairs", "ci si cj sj k g1 g2 cov", ctes=orders)
     q["pair_significance"] = shown("SELECT * FROM tested", "ci si cj sj k", "z", ctes=LETTER_TESTED)
     q["max_correlation"] = shown("SELECT * FROM max_z", "g", "z", ctes=event_tested())
+    q["max_correlation_any_gap"] = shown("SELECT * FROM max_z", "g", "z", ctes=event_tested(stop=False))
     q["max_correlation_letters"] = shown("SELECT * FROM max_z", "g", "z", ctes=LETTER_TESTED)
     q["column_max_correlation"] = shown("SELECT g // 5 AS col, max(z) AS z FROM max_z GROUP BY g // 5", "col", "z", ctes=LETTER_TESTED)
     q["window_correlations"] = shown("SELECT g - 25 AS g, z FROM max_z WHERE g // 5 BETWEEN 5 AND 17", "g", "z", ctes=LETTER_TESTED)
@@ -414,6 +416,13 @@ FROM (SELECT copy, min(diff) FILTER (NOT half) AS a, min(diff) FILTER (half) AS
     q["template_concat"] = shown("SELECT * FROM t", "", "", "template", ctes=template)
     q["template_parts"] = shown("SELECT part, substr(template, part * (length(template) // 60) + 1, length(template) // 60 + 5) AS seq FROM t, (SELECT unnest(range(60)) AS part)", "part", "", "seq", ctes=template)
     q["read_split"] = shown("SELECT read_id, piece, substr(seq, piece * 500 + 1, 500) AS seq FROM (SELECT *, unnest(range(greatest(1, (length(seq) + 499) // 500))) AS piece FROM reads)", "read_id piece", "", "seq", ctes=docs)
+    cut = ("cut AS (SELECT row_number() OVER (ORDER BY read_id, piece) - 1 AS seq_id, substr(seq, piece * 500 + 1, 500) AS seq FROM "
+           "(SELECT *, unnest(range(greatest(1, (coalesce(length(seq), 0) + 499) // 500))) AS piece FROM reads)), "
+           "held AS (SELECT c.seq_id, list(r.read_id) AS hits FROM cut c JOIN reads r ON c.seq <> '' AND contains(r.seq, substr(c.seq, 1, 100)) GROUP BY c.seq_id), "
+           "known AS MATERIALIZED (SELECT c.seq_id, coalesce(c.seq, '') = '' AS free, coalesce(h.hits, []) AS hits FROM cut c LEFT JOIN held h USING (seq_id))")
+    q["piece_read_merge"] = shown("SELECT * FROM walk WHERE seq_id >= 0", "seq_id read_id", ctes=f"RECURSIVE {docs}, {cut}, "
+                                  "walk AS (SELECT CAST(-1 AS BIGINT) AS seq_id, (SELECT min(read_id) FROM reads) AS read_id UNION ALL "
+                                  "SELECT k.seq_id, CASE WHEN free THEN w.read_id ELSE list_min(list_filter(hits, lambda x: x >= w.read_id)) END FROM walk w JOIN known k ON k.seq_id = w.seq_id + 1)")
     q["read_piece_lists"] = shown("SELECT read_id, string_agg(CAST(seq_id AS VARCHAR), ' ' ORDER BY seq_id) AS seq_ids FROM turns GROUP BY read_id", "read_id", "", "seq_ids", ctes=TURNS)
     q["prefix_containment"] = shown("SELECT conv_id, turn, contains(coalesce(string_agg(text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), ''), substr(text, 1, 100)) AS contained FROM conversations", "conv_id turn", "", "contained")
     flank = "SELECT r.seq_id, r.read_id, EXISTS (SELECT 1 FROM turns l WHERE l.cls = 'l' AND l.read_id = r.read_id AND l.seq_id = r.seq_id - 1) AS has_left, EXISTS (SELECT 1 FROM turns l WHERE l.cls = 'l' AND l.read_id = r.read_id AND l.seq_id = r.seq_id + 1) AS has_right FROM turns r WHERE r.cls = 'r'"

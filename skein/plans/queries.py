@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skein.functions import sequence, stats
-from skein.operators import align, cliques, correlate, explore, linkage, matrix, neighbours, pairs, partition, realign
+from skein.operators import align, cliques, correlate, explore, linkage, matrix, merge, neighbours, pairs, partition, partners, realign
 from skein.plans import tables
 from skein.plans.tables import EVENT_WIDTH, LETTER_WIDTH, order_width, table
 from skein.schema import group_id
@@ -60,9 +60,13 @@ def letter_tested(rows, n):
     return correlate.tested_pairs(rows, LETTER_WIDTH, n, MIN_COV, 1, base_dominated=False, stop_at_first_gap=True)
 
 
+def letter_best(rows, n, **terms):
+    return partners.strongest(rows, LETTER_WIDTH, n, MIN_COV, 1, base_dominated=False, stop_at_first_gap=True, **terms)
+
+
 def letter_max(s, d):
     rows, n = letters(s, d)
-    return rows, n, cut_lineage(correlate.max_correlation(letter_tested(rows, n), LETTER_WIDTH))
+    return rows, n, cut_lineage(correlate.of_all_groups(letter_best(rows, n), LETTER_WIDTH))
 
 
 def letter_cliques(s, d):
@@ -212,7 +216,7 @@ def base_positions(s, d):
 
 @query
 def pair_counts(s, d):
-    return pairs.group_pairs(pairs.column_pairs(tables.order_rows(s, d), order_width(s, d), 1))
+    return pairs.group_pairs(pairs.column_pairs(*tables.order_matrix(s, d), 1))
 
 
 @query
@@ -221,11 +225,21 @@ def pair_significance(s, d):
     return letter_tested(rows, n).select("ci", "si", "cj", "sj", "k", "z")
 
 
+def event_best(s, d, stop_at_first_gap: bool):
+    rows = cut_lineage(tables.event_rows(s, d))
+    best = partners.strongest(rows, EVENT_WIDTH, rows.count(), MIN_COV, EVENT_GAP, stop_at_first_gap=stop_at_first_gap)
+    return correlate.of_all_groups(best, EVENT_WIDTH)
+
+
 @query
 def max_correlation(s, d):
-    rows = tables.event_rows(s, d)
-    tested = correlate.tested_pairs(rows, EVENT_WIDTH, rows.count(), MIN_COV, EVENT_GAP, base_dominated=True, stop_at_first_gap=True)
-    return correlate.max_correlation(tested, EVENT_WIDTH)
+    return event_best(s, d, stop_at_first_gap=True)
+
+
+@query
+def max_correlation_any_gap(s, d):
+    """Columns that share few rows are left out; those on their right are tested."""
+    return event_best(s, d, stop_at_first_gap=False)
 
 
 @query
@@ -251,29 +265,24 @@ def thin_columns_masked(s, d):
 
 @query
 def significant_partner_count(s, d):
-    rows, n = letters(s, d)
-    return correlate.significant_partners(letter_tested(rows, n), LETTER_CUTOFF)
+    return letter_best(*letters(s, d), cutoff=LETTER_CUTOFF).where("partners > 0").select("g", "partners")
 
 
 @query
 def lonely_groups_dropped(s, d):
-    rows, n = letters(s, d)
-    tested = cut_lineage(letter_tested(rows, n))
-    return correlate.drop_lonely_groups(correlate.max_correlation(tested, LETTER_WIDTH),
-                                        correlate.significant_partners(tested, LETTER_CUTOFF), 40)
+    best = cut_lineage(letter_best(*letters(s, d), cutoff=LETTER_CUTOFF))
+    return correlate.drop_lonely_groups(correlate.of_all_groups(best, LETTER_WIDTH), best.select("g", "partners"), 40)
 
 
 @query
 def partner_histogram(s, d):
-    rows, n = letters(s, d)
-    return correlate.partner_histogram(letter_tested(rows, n), LETTER_CUTOFF, LETTER_WIDTH)
+    return correlate.partner_histogram(letter_best(*letters(s, d), cutoff=LETTER_CUTOFF), LETTER_WIDTH)
 
 
 @query
 def distant_partner_histogram(s, d):
     """Partners counted only if more than 100 group ids away."""
-    rows, n = letters(s, d)
-    return correlate.partner_histogram(correlate.distant_pairs(letter_tested(rows, n)), LETTER_CUTOFF, LETTER_WIDTH)
+    return correlate.partner_histogram(letter_best(*letters(s, d), cutoff=LETTER_CUTOFF, apart=100), LETTER_WIDTH)
 
 
 @query
@@ -291,15 +300,13 @@ def snowball(s, d):
 
 @query
 def error_estimate(s, d):
-    rows = tables.event_rows(s, d)
-    tested = correlate.tested_pairs(rows, EVENT_WIDTH, rows.count(), MIN_COV, EVENT_GAP, stop_at_first_gap=True)
-    return matrix.error_rates(tables.event_cells(s, d), correlate.max_correlation(tested, EVENT_WIDTH), 2.0)
+    return matrix.error_rates(tables.event_cells(s, d), event_best(s, d, stop_at_first_gap=True), 2.0)
 
 
 @query
 def two_sided_significance(s, d):
     c = F.col
-    found = pairs.group_pairs(pairs.column_pairs(tables.order_rows(s, d), order_width(s, d), 1), min_shared=0)
+    found = pairs.group_pairs(pairs.column_pairs(*tables.order_matrix(s, d), 1), min_shared=0)
     return found.select("ci", "si", "cj", "sj", stats.two_sided(c("k"), c("g1"), c("g2"), c("cov")).alias("z"))
 
 
@@ -312,7 +319,7 @@ def relative_variables(s, d):
 
 @query
 def f_beta(s, d):
-    found = pairs.with_sizes(pairs.group_pairs(pairs.column_pairs(tables.order_rows(s, d), order_width(s, d), 1)),
+    found = pairs.with_sizes(pairs.group_pairs(pairs.column_pairs(*tables.order_matrix(s, d), 1)),
                              matrix.group_sizes(tables.order_cells(s, d)))
     k, a, b = F.col("k"), F.col("size_i"), F.col("size_j")
     return found.select("ci", "si", "cj", "sj", stats.f_beta(k, a - k, b - k).alias("f1"), stats.f_beta(k, a - k, b - k, 2.0).alias("f2"))
@@ -320,8 +327,8 @@ def f_beta(s, d):
 
 @query
 def group_setops(s, d):
-    rows = tables.order_rows(s, d)
-    found = pairs.group_pairs(pairs.column_pairs(rows, order_width(s, d), 1))
+    rows, width = tables.order_matrix(s, d)
+    found = pairs.group_pairs(pairs.column_pairs(rows, width, 1))
     return explore.set_comparison(pairs.with_sizes(found, matrix.group_sizes(tables.order_cells(s, d))), rows.count())
 
 
@@ -720,6 +727,13 @@ def read_piece_lists(s, d):
     return sequence.read_piece_lists(turn_pieces(s, d)).select("read_id", F.array_join(F.col("seq_ids").cast("array<string>"), " ").alias("seq_ids"))
 
 
+@query
+def piece_read_merge(s, d):
+    """Pieces of the documents find their documents again by their text."""
+    pieces = sequence.number_pieces(read_split(s, d)).select("seq_id", "seq")
+    return merge.piece_reads(pieces, document_reads(s, d))
+
+
 @query
 def prefix_containment(s, d):
     """Whether the conversation as a whole contains the first 100 characters of a turn behind that turn's own text."""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.stats import significance_cutoff
-from skein.operators import cliques, correlate, linkage, matrix, partition
+from skein.operators import cliques, correlate, linkage, matrix, partition, partners
 from skein.session import cut_lineage
 
 
@@ -32,8 +32,8 @@ class Config:
 def correlate_matrix(rows: DataFrame, config: Config = Config()) -> DataFrame:
     """Maximum significance per group of the whole matrix."""
     width, n_rows = matrix.matrix_width(rows), rows.count()
-    tested = correlate.tested_pairs(rows, width, n_rows, config.min_cov, config.min_gap)
-    return cut_lineage(correlate.max_correlation(tested, width))
+    best = partners.strongest(rows, width, n_rows, config.min_cov, config.min_gap)
+    return cut_lineage(correlate.of_all_groups(best, width))
 
 
 def resolve_window(rows: DataFrame, max_z: DataFrame | None, first: int, last: int,

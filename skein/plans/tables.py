@@ -25,10 +25,14 @@ def order_cells(spark, sf_dir) -> DataFrame:
                     F.expr("instr('ANR', flag) - 1").alias("sym")))
 
 
+def order_matrix(spark, sf_dir) -> tuple[DataFrame, int]:
+    """Order rows and their width, the most lines an order has."""
+    width = order_width(spark, sf_dir)
+    return matrix.to_rows(order_cells(spark, sf_dir), width), width
+
+
 def order_rows(spark, sf_dir) -> DataFrame:
-    """Order rows; the most lines an order has are the width."""
-    cells = order_cells(spark, sf_dir)
-    return matrix.to_rows(cells, order_width(spark, sf_dir))
+    return order_matrix(spark, sf_dir)[0]
 
 
 def order_width(spark, sf_dir) -> int:
