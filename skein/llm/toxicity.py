@@ -171,8 +171,7 @@ class Grammar:
             outside = ("threatened" if target else "threat") if threat else "targeted" if target else "plain"
             for place in sorted(places):
                 yield KINDS.index((outside, "denied", "quoted")[place]), weights[place], start, stop
-            if places:
-                done = stop
+            done = max(stop, last + 1)  # also without a cue: a clause is walked once, whatever words begin like cues
 
     def describe(self, text: str | None) -> np.ndarray:
         out = np.zeros(len(KINDS))

@@ -132,3 +132,13 @@ def test_recall_of_held_out_documents(spark):
     pairs = held_out(spark, "op5_toxicity", "toxic")
     assert sum(a for a, b in pairs if b) >= 0.6 * sum(b for _, b in pairs)
     print("recall", sum(a for a, b in pairs if b), sum(b for _, b in pairs))
+
+
+def test_a_long_clause_of_words_that_begin_like_cues_is_walked_once():
+    import time
+    grammar = toxicity.Grammar({})
+    text = "killer burning hurts smashed dumbbell " * 28_000
+    start = time.process_time()
+    assert not grammar.describe(text).any() and len(text) > 1_000_000
+    assert time.process_time() - start < 3
+    assert [k for k, *_ in grammar.clauses(text + "you idiot. " + text + "you are a fool")] == [toxicity.KINDS.index("targeted")] * 2
