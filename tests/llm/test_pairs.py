@@ -148,6 +148,25 @@ def test_odd_vectors(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("tile", [1024, 7])
+def test_ids_with_several_vectors_are_one_node(spark, tile):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (3, [1.0, 0.01])]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id bigint, embedding array<float>, label int")
+    assert {(r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df, tile=tile).collect()} == {(1, 2, 1), (2, 1, 1), (3, 1, 1)}
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=(5, 8))
+    rows = [(int(rng.integers(40)), (centre[i % 5] + rng.choice([0.0, 0.0, 0.05, 0.2]) * rng.normal(size=8)).astype(np.float32).tolist(), i % 2) for i in range(130)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").repartition(3)
+    unit = [np.array(v, np.float64) / np.linalg.norm(np.array(v, np.float64)) for _, v, _ in rows]
+    links = {(a[0], b[0]) for a, x in zip(rows, unit) for b, y in zip(rows, unit) if a[2] == b[2] and a[0] != b[0] and x @ y >= 0.93}
+    root = {v: v for v, _, _ in rows}
+    for _ in root:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {(r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df, tile=tile).collect()}
+    assert got == {(v, sum(a == v for a, _ in links), root[v]) for v in root}
+
+
 def test_quantisation_bound_holds():
     rng = np.random.default_rng(9)
     x = rng.normal(size=(200, 64)) * rng.choice([1e-3, 1, 1e3], (200, 1)) ** rng.random((200, 64))
