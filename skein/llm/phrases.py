@@ -6,12 +6,13 @@ cycle, so every shard counts once for it; phrases of two, three and four words a
 phrase is left that is open.
 
 Which phrases are active is told by a clock of fixed size: a byte for each of ``CELLS`` hash cells that holds the scan in which a phrase of the
-cell reached the threshold, 0 before, and is never changed then. The scan of a phrase is the later one of its two cells, that
-of an activation the later one of both subphrases. Phrases that share cells can only be activated too early, which costs work and changes no count.
+cell reached the threshold, 0 before, and is never changed then. The scan of a phrase is the latest one of its two cells and of its subphrases, that
+of an activation the later one of both subphrases; none of them changes once it is known, so every task knows in which scans to count a
+phrase. Phrases that share cells can only be activated too early, which costs work and changes no count.
 The clock is all that tasks get from the driver; running counts stay distributed.
 
-Phrases are counted under hashes: 64 bits and a check of 32 bits. Words enter by a 64-bit hash and, in the check, by length and outer bytes as well.
-The words of frequent phrases are read back from the documents in a last pass, in which tasks emit a phrase once.
+Phrases are counted under hashes: 64 bits and, with the number of words, a check of 32 bits. Words enter both by hashes of their own.
+The words of frequent phrases are read back from a sixteenth of the documents, those of the few others from the rest.
 
 Cuts, scores and inclusions are joins of the frequent phrases; products are taken in DECIMAL(38,0). Ranks are taken per language after every task has kept its best.
 
@@ -21,68 +22,75 @@ tied phrases are ordered by their bytes; a repeated row counts each time; an emp
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import LOWER, _power_tables, mix, small_batches, text_chunks
+from skein.llm.common import LOWER, mix, small_batches, text_chunks
 from skein.session import cut_lineage, shared_folder
 
 LONGEST = 4
-SHARDS = 3
-CELLS = 1 << 24
+SHARDS = 2
+CELLS = 1 << 22
 HELD = 1 << 21  # counts a task holds before it emits them; bounds its memory, not the counts
-COUNTS = "lang string, len int, at int, h bigint, check int, n bigint"
+COUNTS = "h bigint, mark bigint, n bigint"  # mark: scan of activation, words and check, packed
 
 _SPLIT = np.isin(np.arange(256), [ord(c) for c in ".,;:!?\n\x0b\x0c\r"])
-_GAP = _SPLIT | np.isin(np.arange(256), [0x20, 0x09])
+_WORD = ~(_SPLIT | np.isin(np.arange(256), [0x20, 0x09]))
 _A, _B = (np.array([pow(b, 2 * k + 3, 1 << 64) for k in range(LONGEST)], np.uint64) for b in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 
 
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
 class Words:
     """Words of a chunk of texts: hash, second hash, byte span, row and piece."""
 
     def __init__(self, raw: np.ndarray, starts: np.ndarray, langs: np.ndarray):
-        self.raw = raw = np.frombuffer(raw.tobytes().translate(LOWER), np.uint8)
-        gap = _GAP[raw]
-        before = np.ones(len(raw) + 1, bool)
-        before[1:] = gap
-        edges = starts[starts < len(raw)]
-        first = before[:-1].copy()
-        first[edges] = True  # a row starts
-        self.begin = np.flatnonzero(~gap & first)
-        after = np.ones(len(raw), bool)
-        after[:-1] = gap[1:]
-        after[edges[edges > 0] - 1] = True
-        self.end = np.flatnonzero(~gap & after) + 1
-        power, inverse = _power_tables(len(raw) + 1)
-        total = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[:len(raw)], out=total[1:])
-        size = (self.end - self.begin).astype(np.uint64)
+        apart = np.insert(raw, starts[1:-1], 10)  # rows end pieces
+        starts = starts[:-1] + np.arange(len(starts) - 1)
+        padded = apart.tobytes().translate(LOWER) + b"\n" + bytes(8)
+        self.raw = np.frombuffer(padded, np.uint8)
+        inside = np.zeros(len(apart) + 2, np.int8)
+        inside[1:-1] = _WORD[self.raw[:len(apart)]]
+        edge = np.diff(inside)
+        self.begin, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        size = self.end - self.begin
         self.row = np.searchsorted(starts, self.begin, "right") - 1
-        lang = langs[self.row]
-        word = (total[self.end] - total[self.begin]) * inverse[self.begin]
-        outer = size
-        for k in range(4):
-            outer = outer << np.uint64(8) ^ raw[np.minimum(self.begin + k, self.end - 1)] ^ raw[np.maximum(self.end - 1 - k, self.begin)].astype(np.uint64) << np.uint64(32)
-        self.word = mix(word ^ size ^ lang)
-        self.outer = mix(self.word ^ outer)
-        parts = np.cumsum(_SPLIT[raw])
-        self.piece = parts[self.begin] if len(raw) else np.zeros(0, np.int64)
-
-    def phrases(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hash and check of the phrases of ``n`` words that start at each word, and whether there is one."""
-        size = max(len(self.word) - n + 1, 0)
-        h, check = np.full(size, n, np.uint64), np.full(size, n, np.uint64)
+        # words are read eight bytes at a time
+        eight = np.ndarray(len(padded) - 7, np.dtype("<u8"), padded, strides=(1,))
+        self.lang = langs[self.row]
+        word = self.lang ^ size.astype(np.uint64) * _A[0]
+        second = word ^ _B[0]
+        at, left = np.arange(len(size)), size
+        step = 0
+        while len(at):
+            x = eight[self.begin[at] + 8 * step] & _MASKS[np.minimum(left, 8)]
+            word[at] = mix(word[at] ^ x * _A[1])
+            second[at] = (second[at] ^ x) * _B[1] ^ (second[at] >> np.uint64(29))
+            longer = left > 8
+            at, left, step = at[longer], left[longer] - 8, step + 1
+        self.word, self.outer = word, mix(second)
+        marks = np.flatnonzero(_SPLIT[self.raw[:len(apart)]])
+        self.piece = np.searchsorted(marks, self.begin)
+
+    def places(self, n: int) -> np.ndarray:
+        """Where phrases of ``n`` words start."""
+        return np.flatnonzero(self.piece[n - 1:] == self.piece[:max(len(self.piece) - n + 1, 0)])
+
+    def hashes(self, n: int, at: np.ndarray) -> np.ndarray:
+        return self._folded(self.word, _A, n, at)
+
+    def checks(self, n: int, at: np.ndarray) -> np.ndarray:
+        return (self._folded(self.outer, _B, n, at) >> np.uint64(32)).astype(np.uint32)
+
+    @staticmethod
+    def _folded(values: np.ndarray, by: np.ndarray, n: int, at: np.ndarray) -> np.ndarray:
+        out = np.full(len(at), n, np.uint64)
         for k in range(n):
-            h += self.word[k:k + size] * _A[k]
-            check += self.outer[k:k + size] * _B[k]
-        whole = (self.row[n - 1:] == self.row[:size]) & (self.piece[n - 1:] == self.piece[:size])
-        return mix(h), (mix(check) >> np.uint64(32)).astype(np.uint32), whole
+            out += values.take(at + k) * by[k]
+        return mix(out)
 
 
 def _cells(h: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,26 +99,25 @@ def _cells(h: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
 
 def since(clock: np.ndarray, h: np.ndarray) -> np.ndarray:
     """The scan in which the phrases reached the threshold, 0 if they have not."""
-    a, b = (clock[c] for c in _cells(h, len(clock)))
-    return np.where((a > 0) & (b > 0), np.maximum(a, b), 0)
+    a, b = _cells(h, len(clock))
+    out = clock.take(a)
+    both = np.flatnonzero(out)
+    other = clock.take(b.take(both))
+    out[both] = np.where(other > 0, np.maximum(out[both], other), 0)
+    return out
 
 
 def _chunks(batches):
-    """Words of the texts, and the names of their languages by row."""
-    seen: dict[str, int] = {}
+    """Words of the texts, and their batch with the first row of the chunk."""
     for batch in batches:
-        names = batch.column("lang").to_pylist()
-        for name in set(names):
-            seen.setdefault(name, xxhash.xxh3_64_intdigest(name.encode("utf-8", "replace")))
-        langs = np.array([seen[x] for x in names], np.uint64)
+        langs = batch.column("lang_hash").to_numpy().view(np.uint64)
         for first, raw, starts in text_chunks(batch.column("text")):
-            rows = slice(first, first + len(starts) - 1)
-            yield Words(raw, starts, langs[rows]), names[rows]
+            yield Words(raw, starts, langs[first:first + len(starts) - 1]), batch, first
 
 
 def _summed(h: np.ndarray, check: np.ndarray, n: np.ndarray | None):
     """Counts of equal (hash, check). Equal pairs apart from each other stay apart, which sums put right later."""
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h)
     h, check = h[order], check[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (check[1:] != check[:-1])
@@ -119,78 +126,81 @@ def _summed(h: np.ndarray, check: np.ndarray, n: np.ndarray | None):
     return h[first], check[first], count.astype(np.int64)
 
 
-_BATCH = pa.schema([("lang", pa.string()), ("len", pa.int32()), ("at", pa.int32()), ("h", pa.int64()), ("check", pa.int32()), ("n", pa.int64())])
+_LENGTH, _AT = 32, 40  # bits of a mark below the number of words and the scan of activation
 
 
 def _batch(n: int, at: int, h: np.ndarray, check: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
-    size = len(h)
-    return pa.RecordBatch.from_arrays([pa.nulls(size, pa.string()), pa.array(np.full(size, n, np.int32)), pa.array(np.full(size, at, np.int32)),
-                                       pa.array(h.view(np.int64)), pa.array(check.view(np.int32)), pa.array(count)], schema=_BATCH)
+    mark = check.astype(np.int64) | n << _LENGTH | at << _AT
+    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(mark), pa.array(count)], ["h", "mark", "n"])
 
 
 def _scan(clock, scan: int, shards: int, most: int):
-    """Counts of a shard's phrases that are active in this scan; ``at`` is the scan of their activation, 0 for words.
-
-    Rows of length 0 count the words of a language.
+    """Counts of a shard's phrases that are active in this scan, and as phrases of no word the words of a language.
     """
     def run(batches):
         known = clock.value
+        known_any = bool(known.any())
         held: dict[tuple[int, int], list] = {}
         sizes: dict[tuple[int, int], int] = {}
-        totals: dict[str, int] = {}
+        totals: dict[int, int] = {}
 
         def emit(key):
             parts = held.pop(key)
             sizes[key] = 0
             return _summed(*(np.concatenate([p[k] for p in parts]) for k in range(3)))
 
-        for words, names in _chunks(batches):
+        for words, _, _ in _chunks(batches):
             if not len(words.word):
                 continue
             if scan <= shards:
-                for row, count in zip(*np.unique(words.row, return_counts=True)):
-                    totals[names[row]] = totals.get(names[row], 0) + int(count)
-            shorter = None  # when the phrases one word shorter reached the threshold
+                for lang, count in zip(*(x.tolist() for x in np.unique(words.lang, return_counts=True))):
+                    totals[lang] = totals.get(lang, 0) + count
+            shorter = np.zeros(0, np.uint8)  # when the phrases one word shorter reached the threshold, by their place
             for n in range(1, LONGEST + 1):
-                h, check, whole = words.phrases(n)
                 if n == 1:
-                    at, take = np.zeros(len(h), np.uint8), np.full(len(h), scan <= shards)
+                    at, when = np.arange(len(words.word)), np.zeros(len(words.word), np.uint8)
+                    take = at if scan <= shards else at[:0]
                 else:
-                    at = np.where((shorter[:-1] > 0) & (shorter[1:] > 0), np.maximum(shorter[:-1], shorter[1:]), 0)
-                    take = whole & (at > 0) & (at < scan) & (scan - shards <= at)
-                for began in np.unique(at[take]).tolist():
-                    own, key = take & (at == began), (n, int(began))
-                    held.setdefault(key, []).append(_summed(h[own], check[own], None))
-                    sizes[key] = sizes.get(key, 0) + len(held[key][-1][0])
-                    if sizes[key] > most:
-                        counts = emit(key)
-                        if len(counts[0]) > most // 2:
-                            yield _batch(*key, *counts)
-                        else:
-                            held[key], sizes[key] = [counts], len(counts[0])
-                shorter = np.where(whole, since(known, h), 0)
-                if len(shorter) < 2 or not shorter.any():
+                    at = np.flatnonzero((shorter[:-1] > 0) & (shorter[1:] > 0))
+                    at = at[words.piece[np.minimum(at + n - 1, len(words.piece) - 1)] == words.piece[at]]
+                    when = np.maximum(shorter[at], shorter[at + 1])
+                    take = np.flatnonzero((when < scan) & (when >= scan - shards))
+                h = words.hashes(n, at)
+                if len(take):
+                    check, began = words.checks(n, at[take]), when[take]
+                    for b in np.unique(began).tolist():
+                        own, key = began == b, (n, int(b))
+                        x, y = h[take][own], check[own]
+                        held.setdefault(key, []).append(_summed(x, y, None) if n == 1 else (x, y, np.ones(len(x), np.int64)))
+                        sizes[key] = sizes.get(key, 0) + len(held[key][-1][0])
+                        if sizes[key] > most:
+                            counts = emit(key)
+                            if len(counts[0]) > most // 2:
+                                yield _batch(*key, *counts)
+                            else:
+                                held[key], sizes[key] = [counts], len(counts[0])
+                if n == LONGEST or not known_any:
                     break
+                reached = since(known, h)
+                shorter = np.zeros(len(words.word), np.uint8)
+                shorter[at] = np.where(reached > 0, np.maximum(reached, when), 0)
         for key in list(held):
             yield _batch(*key, *emit(key))
         if totals:
-            yield pa.RecordBatch.from_pylist([{"lang": x, "len": 0, "at": 0, "h": 0, "check": 0, "n": n} for x, n in totals.items()], schema=_BATCH)
+            yield _batch(0, 0, np.array(list(totals), np.uint64), np.zeros(len(totals), np.uint32), np.array(list(totals.values()), np.int64))
     return run
 
 
 def _unset(clock):
-    """Cells of frequent phrases that the clock does not hold yet, and whether the phrase can grow."""
+    """Cells of frequent phrases that the clock does not hold yet."""
     def run(batches):
         for batch in batches:
-            shorter = batch.column("len").to_numpy() < LONGEST
-            for grows in (False, True):
-                cells = np.concatenate(_cells(batch.column("h").to_numpy().view(np.uint64)[shorter == grows], len(clock.value)))
-                cells = np.unique(cells[clock.value[cells] == 0]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(np.full(len(cells), grows))], ["cell", "shorter"])
+            cells = np.concatenate(_cells(batch.column("h").to_numpy().view(np.uint64), len(clock.value)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(cells[clock.value[cells] == 0]).astype(np.int32))], ["cell"])
     return run
 
 
-KEY = ["len", "h", "check"]
+KEY = ["h", "mark"]
 
 
 def _discard(spark, path: str) -> None:
@@ -199,93 +209,99 @@ def _discard(spark, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def count_phrases(docs: DataFrame, least: int, shards: int = SHARDS) -> tuple[DataFrame, DataFrame, DataFrame, np.ndarray]:
-    """Frequent phrases (len, h, check, f), words per language (lang, n), the sharded texts and the clock.
+def count_phrases(docs: DataFrame, least: int, shards: int = SHARDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Frequent phrases (h, mark, f), words per language (lang_hash, n) and the sharded texts; a mark is then words and check.
 
-    Counts of a phrase only meet those of its own activation, so a scan merges what is still open; rare phrases
-    leave the table as soon as their cycle is complete.
+    Rare phrases leave the table of running counts as soon as their cycle is complete.
     """
     spark = docs.sparkSession
     small_batches(spark)
     folder = shared_folder(spark, "phrases")
     (docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"),
-                 (F.monotonically_increasing_id() % shards).cast("int").alias("shard"))
+                 F.monotonically_increasing_id().alias("_row"))
+     .select("lang", F.xxhash64("lang").alias("lang_hash"), "text", F.expr(f"CAST(_row div {shards} % 16 AS INT)").alias("part"),
+             (F.col("_row") % shards).cast("int").alias("shard"))
      .write.partitionBy("shard").parquet(f"{folder}/texts"))
-    texts = spark.read.schema("lang string, text string, shard int").parquet(f"{folder}/texts")
+    texts = spark.read.schema("lang string, lang_hash bigint, text string, part int, shard int").parquet(f"{folder}/texts")
     clock = np.zeros(CELLS, np.uint8)
-    key = ["lang", "len", "at", "h", "check"]
-    running, done = None, []
-    scan, last = 0, 0
-    while scan < max(shards, last + shards):
+    at, length = F.shiftright("mark", _AT), F.shiftright("mark", _LENGTH).bitwiseAND(255)
+    table = None
+    scan, last = 0, 0  # the last scan in which the clock was set
+    while scan < (last + shards if last else shards):
         scan += 1
         if scan > 255:
             raise RuntimeError("a byte holds 255 scans; take fewer shards")
         sent = spark.sparkContext.broadcast(clock.copy())
-        found = texts.where(F.col("shard") == (scan - 1) % shards).select("lang", "text").mapInArrow(_scan(sent, scan, shards, HELD), COUNTS)
-        merged = (found if running is None else running.union(found)).groupBy(*key).agg(F.sum("n").alias("n"))
-        complete = F.col("at") + shards <= scan
-        merged.where((F.col("n") >= least) | ~complete | (F.col("len") == 0)).write.parquet(f"{folder}/{scan}")
+        found = texts.where(F.col("shard") == (scan - 1) % shards).select("lang_hash", "text").mapInArrow(_scan(sent, scan, shards, HELD), COUNTS)
+        merged = (found if table is None else table.union(found)).groupBy("h", "mark").agg(F.sum("n").alias("n"))
+        merged.where((F.col("n") >= least) | (at + shards > scan) | (length == 0)).write.parquet(f"{folder}/{scan}")
         table = spark.read.schema(COUNTS).parquet(f"{folder}/{scan}")
-        done.append(cut_lineage(table.where(complete).select("lang", *KEY, "n")))
-        cells = table.where((F.col("n") >= least) & (F.col("len") > 0)).select("len", "h").mapInArrow(_unset(sent), "cell int, shorter boolean")
-        cells = cells.groupBy("cell").agg(F.max("shorter").alias("shorter")).toPandas()  # at most CELLS
-        if len(cells):
-            clock[cells["cell"].to_numpy()] = scan
-            last = scan if cells["shorter"].any() else last
-        if running is not None:
+        if scan > 1:
             _discard(spark, f"{folder}/{scan - 1}")
-        running = table.where(~complete)
-        sent.unpersist()
+        cells = table.where((F.col("n") >= least) & length.between(1, LONGEST - 1)).select("h").mapInArrow(_unset(sent), "cell int")
+        cells = cells.distinct().toPandas()["cell"].to_numpy()  # at most CELLS
+        clock[cells] = scan
+        last = scan if len(cells) else last
+        sent.destroy()
+    frequent = table.where((F.col("n") >= least) & (length > 0)).select("h", F.col("mark").bitwiseAND((1 << _AT) - 1).alias("mark"), F.col("n").alias("f"))
+    frequent, words = cut_lineage(frequent), cut_lineage(table.where(length == 0).select(F.col("h").alias("lang_hash"), "n"))
     _discard(spark, f"{folder}/{scan}")
-    counts = reduce(DataFrame.union, done)
-    return (cut_lineage(counts.where("len > 0").select(*KEY, F.col("n").alias("f"))),
-            cut_lineage(counts.where("len = 0").groupBy("lang").agg(F.sum("n").alias("n"))), texts, clock)
+    return frequent, words, texts
 
 
 def _named(clock):
-    """Phrases of two words and more that may be frequent, with their words and the keys of their parts; a task emits one once."""
+    """Phrases of two words and more that may be frequent, with their words and the keys of their parts; a task emits one once or nearly."""
     def run(batches):
         known = clock.value
-        emitted: set = set()
-        out: list = []
-
-        def flush():
-            names = ["lang", "phrase", *KEY, "parts"]
-            got = pa.RecordBatch.from_pylist(out, pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("len", pa.int32()), ("h", pa.int64()),
-                                                             ("check", pa.int32()), ("parts", _PARTS)]))
-            out.clear()
-            return got.select(names)
-
-        for words, names in _chunks(batches):
-            tables = {}
-            for n in range(1, LONGEST + 1):
-                tables[n] = words.phrases(n)
+        emitted = {n: np.zeros(0, np.uint64) for n in range(2, LONGEST + 1)}
+        for words, batch, first in _chunks(batches):
             for n in range(2, LONGEST + 1):
-                h, check, whole = tables[n]
-                at = np.flatnonzero(whole)
-                at = at[since(known, h[at]) > 0]
-                _, once = np.unique(h[at], return_index=True)
-                for i in at[once].tolist():
-                    key = int(h[i]), int(check[i])
-                    if key in emitted:
-                        continue
-                    emitted.add(key)
-                    spans = [words.raw[a:b].tobytes() for a, b in zip(words.begin[i:i + n].tolist(), words.end[i:i + n].tolist())]
-                    parts = [(k, m, int(tables[m][0][i + k].view(np.int64)), int(tables[m][1][i + k].view(np.int32)))
-                             for m in range(1, n) for k in range(n - m + 1)]
-                    out.append({"lang": names[words.row[i]], "phrase": b" ".join(spans).decode("utf-8", "replace"), "len": n,
-                                "h": int(h[i].view(np.int64)), "check": int(check[i].view(np.int32)),
-                                "parts": [{"at": k, "len": m, "h": x, "check": y} for k, m, x, y in parts]})
-                if len(out) > 5000:
-                    yield flush()
-                if len(emitted) > 500_000:  # bounds the memory; phrases may be emitted again
-                    emitted.clear()
-        if out:
-            yield flush()
+                at = words.places(n)
+                h = words.hashes(n, at)
+                named = since(known, h) > 0
+                at, h = at[named], h[named]
+                h, once = np.unique(h, return_index=True)
+                new = ~np.isin(h, emitted[n], assume_unique=True)
+                at, h = at[once][new], h[new]
+                if not len(at):
+                    continue
+                emitted[n] = np.union1d(emitted[n], h) if len(emitted[n]) < HELD else h  # bounds the memory
+                spans = zip(*(x[at[:, None] + np.arange(n)].tolist() for x in (words.begin, words.end)))
+                raw = words.raw
+                text = [b" ".join([raw[a:b].tobytes() for a, b in zip(*x)]).decode("utf-8", "replace") for x in spans]
+                places = [(k, m) for m in range(1, n) for k in range(n - m + 1)]
+                parts = [np.concatenate(x) for x in zip(*((np.full(len(at), k, np.int32), words.hashes(m, at + k).view(np.int64),
+                                                           words.checks(m, at + k).astype(np.int64) | m << _LENGTH) for k, m in places))]
+                by_row = np.arange(len(at) * len(places)).reshape(len(places), -1).T.ravel()
+                inner = pa.StructArray.from_arrays([pa.array(x[by_row]) for x in parts], ["at", "h", "mark"])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * len(places)), inner)
+                lang = batch.column("lang").take(pa.array(first + words.row[at]))
+                yield pa.RecordBatch.from_arrays([lang, pa.array(words.lang[at].view(np.int64)), pa.array(text), pa.array(h.view(np.int64)),
+                                                  pa.array(words.checks(n, at).astype(np.int64) | n << _LENGTH), lists], ["lang", "lang_hash", "phrase", *KEY, "parts"])
     return run
 
 
-_PARTS = pa.list_(pa.struct([("at", pa.int32()), ("len", pa.int32()), ("h", pa.int64()), ("check", pa.int32())]))
+_NAMED = "lang string, lang_hash bigint, phrase string, h bigint, mark bigint, parts array<struct<at int, h bigint, mark bigint>>"
+
+
+def named_phrases(texts: DataFrame, frequent: DataFrame) -> DataFrame:
+    """``frequent`` phrases of two words and more with lang, phrase and parts.
+
+    Most are found in the first sixteenth of the texts; only for what is missing then the others are read.
+    """
+    spark = texts.sparkSession
+    wanted, out = frequent.where(F.shiftright("mark", _LENGTH) > 1), None
+    for share in (F.col("part") == 0, F.col("part") > 0):
+        cells = wanted.select("h").mapInArrow(_unset(spark.sparkContext.broadcast(np.zeros(CELLS, np.uint8))), "cell int").distinct()
+        clock = np.zeros(CELLS, np.uint8)
+        clock[cells.toPandas()["cell"].to_numpy()] = 1  # at most CELLS
+        if not clock.any():
+            break
+        found = texts.where(share).select("lang", "lang_hash", "text").mapInArrow(_named(spark.sparkContext.broadcast(clock)), _NAMED)
+        found = cut_lineage(found.join(wanted, KEY).dropDuplicates([*KEY, "phrase"]))  # the exact count decides
+        wanted = cut_lineage(wanted.join(found.select(*KEY), KEY, "left_anti"))
+        out = found if out is None else out.union(found)
+    return spark.createDataFrame([], _NAMED + ", f bigint") if out is None else out.select("lang", "lang_hash", "phrase", *KEY, "parts", "f")
 
 
 def collocations(docs: DataFrame, least: int = 30, most: int | None = 2000, inside: float = 0.80, scale: int = 2_000_000,
@@ -294,30 +310,26 @@ def collocations(docs: DataFrame, least: int = 30, most: int | None = 2000, insi
 
     A phrase goes if it lies in a longer one that has at least ``inside`` (in whole hundredths) of its occurrences.
     """
-    frequent, words, texts, clock = count_phrases(docs, least, shards)
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(clock)
-    named = (texts.select("lang", "text").mapInArrow(
-        _named(sent), "lang string, phrase string, len int, h bigint, check int, parts array<struct<at int, len int, h bigint, check int>>"))
-    named = named.groupBy(*KEY, "lang", "phrase").agg(F.first("parts").alias("parts"))
-    found = cut_lineage(named.join(frequent, KEY))  # the exact count decides
-    parts = found.select(F.col("len").alias("of"), F.col("h").alias("of_h"), F.col("check").alias("of_check"), F.col("f").alias("a"), F.inline("parts"))
-    # words of a longer phrase: the longest share of occurrences that a longer phrase has
-    covered = (parts.where("len > 1").groupBy(*KEY).agg(F.max("a").alias("_longer")))
-    ends = parts.where((F.col("at") == 0) | (F.col("at") + F.col("len") == F.col("of"))).join(frequent, KEY)
-    cut = F.when(F.col("at") == 0, F.col("len")).otherwise(F.col("at"))  # a part is the first or the rest of the cut behind this word
-    cuts = (ends.withColumn("cut", cut).groupBy("of", "of_h", "of_check", "cut")
+    frequent, words, texts = count_phrases(docs, least, shards)
+    found = named_phrases(texts, frequent)
+    words_of = lambda c: F.shiftright(c, _LENGTH)
+    parts = found.select(F.col("h").alias("of"), F.col("mark").alias("of_mark"), F.col("f").alias("a"), F.inline("parts"))
+    # the most occurrences of a longer phrase that a phrase lies in
+    covered = parts.where(words_of("mark") > 1).groupBy(*KEY).agg(F.max("a").alias("_longer"))
+    ends = parts.where((F.col("at") == 0) | (F.col("at") + words_of("mark") == words_of("of_mark"))).join(frequent, KEY)
+    cut = F.when(F.col("at") == 0, words_of("mark")).otherwise(F.col("at"))  # a part is the first or the rest of the cut behind this word
+    cuts = (ends.withColumn("cut", cut).groupBy("of", "of_mark", "cut")
             .agg(F.max(F.when(F.col("at") == 0, F.col("f"))).alias("l"), F.max(F.when(F.col("at") > 0, F.col("f"))).alias("r"), F.first("a").alias("a")))
     exact = lambda c: F.col(c).cast("decimal(19,0)")
     scored = cuts.withColumn("score", F.expr(f"(CAST(a AS DECIMAL(18,0)) * CAST({scale} AS DECIMAL(19,0))) div (CAST(l AS DECIMAL(20,0)) + CAST(r AS DECIMAL(20,0)))"))
-    lowest = scored.groupBy(F.col("of").alias("len"), F.col("of_h").alias("h"), F.col("of_check").alias("check")).agg(
+    lowest = scored.groupBy(F.col("of").alias("h"), F.col("of_mark").alias("mark")).agg(
         F.min(F.struct("score", "cut", "l", "r")).alias("_cut"))
     gone = F.coalesce(exact("_longer") * 100 >= exact("f") * round(inside * 100), F.lit(False))
-    best = (found.select(*KEY, "lang", "phrase", "f").join(covered, KEY, "left").where(~gone).join(lowest, KEY)
-            .select("lang", "phrase", F.col("f").alias("a"), "_cut.l", "_cut.r", "_cut.score"))
+    best = (found.select(*KEY, "lang", "lang_hash", "phrase", "f").join(covered, KEY, "left").where(~gone).join(lowest, KEY)
+            .select("lang", "lang_hash", "phrase", F.col("f").alias("a"), "_cut.l", "_cut.r", "_cut.score"))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
     ranked = best.withColumn("rank", F.row_number().over(order))
     ranked = ranked if most is None else ranked.where(F.col("rank") <= most)
     known = words if words.count() > 10_000 else F.broadcast(words)
-    return ranked.join(known, "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n",
+    return ranked.join(known, "lang_hash").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n",
                                              F.col("score").cast("bigint").alias("score"))

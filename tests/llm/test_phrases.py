@@ -44,14 +44,14 @@ def sentences(rng, n):
     return out
 
 
-@pytest.mark.parametrize("shards,cells", [(1, 1 << 24), (3, 1 << 24), (4, 1 << 6)])
+@pytest.mark.parametrize("shards,cells", [(1, 1 << 24), (2, 1 << 22), (4, 1 << 6)])
 def test_collocations_equal_brute_force(spark, monkeypatch, shards, cells):
     """Also with a clock so small that most phrases share cells."""
     monkeypatch.setattr(phrases, "CELLS", cells)
     rng = random.Random(shards)
     docs = sentences(rng, 250) + [("en", None), (None, ""), ("xx", "one two"), ("en", " . "), ("en", "new york city " * 40), ("de", "r" * 70_000)]
     df = spark.createDataFrame([(*d, "n", 1) for d in docs], "lang string, text string, phrase string, n int").repartition(5)
-    for least, most in ((30, 2000), (5, 7)):
+    for least, most in ((30, 2000),) if shards < 4 else ((5, 7),):
         got = phrases.collocations(df, least=least, most=most, shards=shards)
         assert sorted(map(tuple, got.collect())) == brute(docs, least, most)
     assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
