@@ -21,9 +21,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With words and position of both passes; no document has more."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    each = [F.get("passes", F.lit(k)) for k in range(2)]
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "repeats",
-                        F.round("position", 6).alias("position"))
+                        *[F.coalesce(p["words"], F.lit(0)).alias(f"{name}_words") for name, p in zip(("first", "second"), each)],
+                        F.round("position", 6).alias("position"), F.round(each[1]["position"], 6).alias("second_position"))
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,9 +122,11 @@ queued AS (
 passes AS (
   SELECT *, greatest(least(floor(target)::BIGINT - before, size), 0) AS first,
          greatest(least(floor(target)::BIGINT - before - source_size, size), 0) AS second FROM queued),
-timed AS (SELECT *, first + second AS taken, before / target * weight AS due, w1 - w0 AS slope FROM passes)
+timed AS (SELECT *, first + second AS taken, before / target * weight AS due, (before + source_size) / target * weight AS due2, w1 - w0 AS slope FROM passes)
 SELECT doc_id, size::BIGINT AS size, source_size, target, taken::BIGINT AS taken, (second > 0)::INT AS repeats,
-       round(CASE WHEN taken > 0 THEN CASE WHEN due <= 0 THEN 0.0 ELSE due * 2 / (w0 + sqrt(greatest(w0 * w0 + slope * due * 2, 0.0))) END END, 6) AS position
+       first::BIGINT AS first_words, second::BIGINT AS second_words,
+       round(CASE WHEN taken > 0 THEN CASE WHEN due <= 0 THEN 0.0 ELSE due * 2 / (w0 + sqrt(greatest(w0 * w0 + slope * due * 2, 0.0))) END END, 6) AS position,
+       round(CASE WHEN second > 0 THEN due2 * 2 / (w0 + sqrt(greatest(w0 * w0 + slope * due2 * 2, 0.0))) END, 6) AS second_position
 FROM timed""",
     "op4_license_scan": r"""
 WITH templates(license, tpl) AS (SELECT DISTINCT * FROM (VALUES TEMPLATE_ROWS)),
@@ -191,8 +196,8 @@ WITH turns AS (
         FROM conversations WHERE conv_id IS NOT NULL)),
 convs AS (
   SELECT c, c - c % 20 AS base,
-         (xor(list_reduce(list_concat([4294967295], list_transform(string_split(c::VARCHAR, ''), x -> ascii(x)::BIGINT)),
-                          (acc, b) -> list_reduce(list_concat([xor(acc, b)], range(8)), (x, i) -> xor(x >> 1, (x & 1) * 3988292384))), 4294967295)) % 4 AS h
+         (xor(list_reduce(list_concat([4294967295], list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+                          lambda acc, b: list_reduce(list_concat([xor(acc, b)], range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)) % 4 AS h
   FROM (SELECT DISTINCT c FROM turns)),
 rebuilt AS (
   SELECT v.c, 0 AS own, t.p, whole, text FROM convs v JOIN turns t ON t.c = v.base AND t.p < v.h
