@@ -185,15 +185,17 @@ def last_scores(part: str, read: str) -> np.ndarray:
 
 
 def occurrences(part: str, read: str, cutoff: int) -> list[int]:
-    """End positions of approximate occurrences, rightmost first.
+    """End positions of approximate occurrences, rightmost first."""
+    return hits_of(last_scores(part, read), len(part), cutoff) if read else []
+
+
+def hits_of(score: np.ndarray, part_length: int, cutoff: int) -> list[int]:
+    """End positions of the occurrences that the scores of all positions show, rightmost first.
 
     Each run of scores below the cutoff is one hit at its rightmost minimum; a run reaching the second
     position is open and dropped. A hit within half a part of the one before replaces it, unless a
     single position separates the runs and the new one is not better.
     """
-    if not read:
-        return []
-    score = last_scores(part, read)
     below = np.zeros(len(score) + 2, dtype=np.int8)
     below[2:-1] = score[1:] < cutoff
     edges = np.diff(below)
@@ -206,7 +208,7 @@ def occurrences(part: str, read: str, cutoff: int) -> list[int]:
         run = score[a:b + 1]
         low = int(run.min())
         at = int(b - np.argmin(run[::-1]))
-        if not hits or hits[-1] - at > len(part) // 2:
+        if not hits or hits[-1] - at > part_length // 2:
             hits.append(at)
         elif prev_start - b > 2 or low < prev_min:
             hits[-1] = at

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skein.functions import sequence, stats
-from skein.operators import align, cliques, correlate, explore, linkage, matrix, merge, neighbours, pairs, partition, partners, realign
+from skein.functions.ordinal import with_ordinal
+from skein.operators import align, cliques, correlate, explore, families, linkage, matrix, merge, neighbours, pairs, partition, partners, realign
 from skein.plans import tables
 from skein.plans.tables import EVENT_WIDTH, LETTER_WIDTH, order_width, table
 from skein.schema import group_id
@@ -21,6 +22,7 @@ EVENT_CUTOFF = 0.5
 LINE_STEP = 10
 MAX_DROP = partition.MAX_DROP
 RELATIVE_DROP = 0.5  # letters have blunter cutoffs than alignments
+ITEM_PARTS = 3  # parts of a benchmark item
 TEXT_ERROR = 0.5  # error limit for prose read as sequence, which aligns worse than real reads
 
 
@@ -822,9 +824,22 @@ def relevant_distances(s, d):
 
 # --- alignment kernels ------------------------------------------------------
 
+def turn_families(s, d):
+    """Turns by conversation, and the first turn of each as the template of the others."""
+    pieces = turn_pieces(s, d).select(F.col("read_id").alias("family"), "seq_id", F.coalesce("seq", F.lit("")).alias("seq"))
+    return pieces, pieces.groupBy("family").agg(F.min_by("seq", "seq_id").alias("template"))
+
+
+def document_families(s, d):
+    """Documents by benchmark item, the numbers of the items taken in turn; the items are the templates."""
+    items = with_ordinal(table(s, d, "benchmark").select("item_id", sequence.clean(F.col("text")).alias("template")), F.col("item_id"), name="family")
+    family = F.pmod("read_id", F.greatest(F.lit(items.count()), F.lit(1))).alias("family")
+    return document_reads(s, d).select(family, "read_id", F.coalesce("seq", F.lit("")).alias("seq")), items.select("family", F.coalesce("template", F.lit("")).alias("template"))
+
+
 def aligned_turns(s, d):
-    template = benchmark_template(s, d)
-    return align.align_to_template(turn_pieces(s, d).select("seq_id", "seq"), template, TEXT_ERROR), len(template)
+    pieces, templates = turn_families(s, d)
+    return cut_lineage(families.align_to_templates(pieces, templates, TEXT_ERROR)), templates
 
 
 @query
@@ -834,32 +849,34 @@ def semi_global_align(s, d):
 
 @query
 def gap_slot_layout(s, d):
-    aligned, length = aligned_turns(s, d)
-    return align.slot_layout(align.gap_slots(aligned), length)
+    aligned, templates = aligned_turns(s, d)
+    return families.slot_layout(families.gap_slots(aligned), templates)
 
 
 @query
 def matrix_layout(s, d):
-    aligned, length = aligned_turns(s, d)
-    return align.build_matrix(cut_lineage(aligned), length)[0]
+    aligned, templates = aligned_turns(s, d)
+    return families.build_matrices(aligned, families.slot_layout(families.gap_slots(aligned), templates))
 
 
 @query
 def approx_occurrences(s, d):
-    return align.map_parts(document_reads(s, d), benchmark_template(s, d), max_error=0.45)
+    return families.map_parts(*document_families(s, d), parts=ITEM_PARTS, max_error=0.45)
 
 
 @query
 def read_cuts(s, d):
-    cut = align.cut_reads(document_reads(s, d), benchmark_template(s, d), max_error=0.45)
+    cut = families.cut_reads(*document_families(s, d), parts=ITEM_PARTS, max_error=0.45)
     return cut.select("read_id", F.posexplode("cuts").alias("piece", "cut"))
 
 
 @query
 def realign_round(s, d):
-    """One round over the matrix of conversation turns."""
-    aligned, length = aligned_turns(s, d)
-    rows, width = align.build_matrix(cut_lineage(aligned), length)
-    rows, width = realign.tidy(rows, width)
-    quarter = -(-(rows.agg(F.max("row_id")).first()[0] + 1) // 4)  # these rows are placed against one profile
-    return realign.realign_round(cut_lineage(rows), width, rows_per_step=quarter, band=200)[0]
+    """One round over the matrices of all conversations, row by row, with the default band."""
+    return families.realign(matrix_layout(s, d), max_rounds=1)
+
+
+@query
+def realign_converged(s, d):
+    """Rounds until no matrix of a conversation improves."""
+    return families.realign(matrix_layout(s, d))
