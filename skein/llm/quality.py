@@ -120,19 +120,22 @@ def _moments(batches):
     for pdf in batches:
         x = _rows(pdf)
         n, total, square = n + len(x), total + x.sum(axis=0), square + (x * x).sum(axis=0)
-    yield pd.DataFrame({"row": range(STATISTICS), "n": n, "total": total, "square": square})
+    if n:
+        yield pd.DataFrame({"row": range(STATISTICS), "n": n, "total": total, "square": square})
 
 
 def _normal_equations(model: Model):
-    """Partial sums of a task: one row per row of the matrix, its right side last."""
+    """Partial sums of a task that has rows: one row per row of the matrix, its right side last."""
     def run(batches):
         size = len(model.phase) + 1
-        left, right = np.zeros((size, size)), np.zeros(size)
+        left, right, n = np.zeros((size, size)), np.zeros(size), 0
         for pdf in batches:
             x, y = model.map(_rows(pdf)), pdf["label"].to_numpy(np.float64)
             left += x.T @ x
             right += x.T @ y
-        yield pd.DataFrame({"row": range(size), "sums": list(np.hstack([left, right[:, None]]))})
+            n += len(x)
+        if n:
+            yield pd.DataFrame({"row": range(size), "sums": list(np.hstack([left, right[:, None]]))})
     return run
 
 
@@ -164,7 +167,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int =
         return model
     rows = (sample.where("part != 0").mapInPandas(_normal_equations(model), "row int, sums array<double>")
             .groupBy("row").applyInPandas(_added, "row int, sums array<double>").collect())
-    sums = np.array([r["sums"] for r in sorted(rows, key=lambda r: r["row"])])
+    size = len(model.phase) + 1
+    sums = np.array([r["sums"] for r in sorted(rows, key=lambda r: r["row"])]).reshape(-1, size + 1) if rows else np.zeros((size, size + 1))
     count = max(sums[0, 0], 1.0)
     model.weights = np.linalg.solve(sums[:, :-1] / count + RIDGE * np.eye(len(sums)), sums[:, -1] / count)
     held = sample.where("part = 0").select("label", "stats").toPandas()  # of bounded size

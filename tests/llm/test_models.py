@@ -142,3 +142,21 @@ def test_a_long_clause_of_words_that_begin_like_cues_is_walked_once():
     assert not grammar.describe(text).any() and len(text) > 1_000_000
     assert time.process_time() - start < 3
     assert [k for k, *_ in grammar.clauses(text + "you idiot. " + text + "you are a fool")] == [toxicity.KINDS.index("targeted")] * 2
+
+
+def test_normal_equations_equal_plain_sums(spark):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{rng.integers(50)}" for _ in range(int(rng.integers(1, 40)))) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(60)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id bigint, quality int")
+    model = quality.fit(docs, labels)
+    import zlib
+    known = [i for i in range(200) if zlib.crc32(str(i).encode()) % 3 != 1]
+    part = {r.doc_id: r.p for r in docs.selectExpr("doc_id", f"pmod(xxhash64(7, doc_id), {quality.CALIBRATION_PARTS}) AS p").collect()}
+    stats = {i: quality.statistics(texts[i]) for i in known}
+    x = np.array([stats[i] for i in known])
+    assert np.allclose(model.mean, x.mean(axis=0))
+    train = [i for i in known if part[i] != 0]
+    z, y = model.map(np.array([stats[i] for i in train])), np.array([i % 2 for i in train], float)
+    weights = np.linalg.solve(z.T @ z / len(train) + quality.RIDGE * np.eye(z.shape[1]), z.T @ y / len(train))
+    assert np.allclose(model.weights, weights, atol=1e-6)
