@@ -6,12 +6,14 @@ table sized by the number of groups.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import stats
 from skein.functions.ordinal import with_ordinal
-from skein.operators import pairs
+from skein.operators import matrix, pairs
 from skein.schema import N_SYMBOLS, group_id
 from skein.session import cut_lineage
 
@@ -76,28 +78,69 @@ def set_comparison(sized_pairs: DataFrame, n_rows: int) -> DataFrame:
         (F.lit(n_rows) - a - b + 2 * k).alias("agreeing"))
 
 
-def conflicts(members: DataFrame, all_rows: DataFrame, min_shared: int) -> DataFrame:
-    """Pairs of refined groups sharing fewer than ``min_shared`` rows.
+MOST_AT_ONCE = 2048  # groups whose pairs a task counts in one matrix
 
-    Membership is written as a matrix with one column per group, so intersections are pair counts.
+
+def overlaps(members: DataFrame, groups: int) -> DataFrame:
+    """(ci, cj, shared) of the groups ``members(row_id, col)`` that meet in a row, by inverted lists.
+
+    Only groups in a row's list can meet there. Lists are cut into stretches of ``MOST_AT_ONCE`` groups, and a task sums the products of a pair
+    of stretches before it sends them.
     """
+    lists = (members.groupBy("row_id", F.expr(f"col div {MOST_AT_ONCE}").alias("b")).agg(F.collect_set("col").alias("cols"))
+             .groupBy("row_id").agg(F.collect_list(F.struct("b", "cols")).alias("parts")))
+
+    def run(batches):
+        held: dict = {}
+        for batch in batches:
+            stretches: dict = {}
+            for k, parts in enumerate(batch.column(0).to_pylist()):
+                for p in parts:
+                    stretches.setdefault(p["b"], []).append((k, p["cols"]))
+            marks = {}
+            for b, found in stretches.items():
+                m = np.zeros((batch.num_rows, min(MOST_AT_ONCE, groups - b * MOST_AT_ONCE)), np.float32)
+                for k, cols in found:
+                    m[k, np.asarray(cols) - b * MOST_AT_ONCE] = 1
+                marks[b] = m
+            for i in marks:
+                for j in marks:
+                    if i <= j:
+                        held[i, j] = held.get((i, j), 0) + (marks[i].T @ marks[j]).astype(np.int64)
+            if len(held) > 8:
+                yield from counted(held)
+                held = {}
+        yield from counted(held)
+
+    def counted(held):
+        for (i, j), n in held.items():
+            a, b = np.nonzero(n)
+            ci, cj = a + i * MOST_AT_ONCE, b + j * MOST_AT_ONCE
+            keep = ci < cj
+            yield pa.RecordBatch.from_arrays([pa.array(ci[keep].astype(np.int32)), pa.array(cj[keep].astype(np.int32)), pa.array(n[a, b][keep])],
+                                             ["ci", "cj", "shared"])
+
+    return (lists.select("parts").mapInArrow(run, "ci INT, cj INT, shared BIGINT")
+            .groupBy("ci", "cj").agg(F.sum("shared").alias("shared")))
+
+
+def conflicts(members: DataFrame, min_shared: int) -> DataFrame:
+    """Pairs of refined groups sharing fewer than ``min_shared`` rows; pairs that never meet are such pairs too."""
     seeds = members.select("seed").distinct()
     index = cut_lineage(with_ordinal(seeds, F.col("seed"), name="col").select("seed", F.col("col").cast("int").alias("col")))
     m = index.count()
-    cells = members.join(index, "seed").select("row_id", "col")
-    rows = (cells.groupBy("row_id").agg(F.collect_set("col").alias("cols"))
-            .join(all_rows.select("row_id"), "row_id", "right")
-            .select("row_id", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(max(m - 1, 0))), lambda c: F.when(
-                F.array_contains(F.col("cols"), c), "a").otherwise("c")), "").alias("symbols")))
-    counted = pairs.column_pairs(rows, m, 1)
+    met = overlaps(members.join(matrix.sent(index), "seed").select("row_id", "col"), m)
+    every = members.sparkSession.range(m).select(F.col("id").cast("int").alias("ci")).select(
+        "ci", F.explode(F.sequence(F.col("ci") + 1, F.greatest(F.lit(m - 1), F.col("ci") + 1))).alias("cj")).where(F.col("cj") < m)
+    shared = F.coalesce("shared", F.lit(0)).alias("shared")
     first, second = index.withColumnsRenamed({"col": "ci", "seed": "a"}), index.withColumnsRenamed({"col": "cj", "seed": "b"})
-    return (counted.where(F.col("n00") < min_shared).join(first, "ci").join(second, "cj")
-            .select("a", "b", F.col("n00").alias("shared")))
+    return (every.join(met, ["ci", "cj"], "left").select("ci", "cj", shared).where(F.col("shared") < min_shared)
+            .join(matrix.sent(first), "ci").join(matrix.sent(second), "cj").select("a", "b", "shared"))
 
 
 def intersections(members: DataFrame, with_seeds: DataFrame) -> DataFrame:
-    """Rows of every refined group that also lie in a group of ``with_seeds``, which are few."""
-    inside = members.join(F.broadcast(with_seeds), "seed", "left_semi").select("row_id").distinct()
+    """Rows of every refined group that also lie in a group of ``with_seeds``."""
+    inside = members.join(matrix.sent(with_seeds), "seed", "left_semi").select("row_id").distinct()
     return members.join(inside, "row_id", "left_semi")
 
 

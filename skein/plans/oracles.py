@@ -353,7 +353,9 @@ FROM lang l LEFT JOIN chosen c ON c.label = l.label LEFT JOIN hit_rows h ON h.se
     q["distant_partner_histogram"] = shown("SELECT least(coalesce(partners, 0), 49) AS partners, count(*) AS groups FROM max_z m LEFT JOIN (SELECT g, count(*) AS partners FROM both_ways WHERE z > " + str(LETTER_CUTOFF) + " AND abs(g - partner) > 100 GROUP BY g) p ON p.g = m.g GROUP BY 1", "partners groups", ctes=LETTER_TESTED)
     q["relative_significance"] = shown(f"SELECT ci, si, cj, sj, greatest({UPPER}, {LOWER}) AS z FROM (SELECT p.ci, p.si, p.cj, p.sj, p.k, a.size AS g1, b.size AS g2, (SELECT count(*) FROM documents WHERE lang = 'en') AS cov FROM zero_pairs p JOIN sizes a ON a.col = ci AND a.sym = si JOIN sizes b ON b.col = cj AND b.sym = sj)",
                                        "ci si cj sj", "z", ctes=f"cells AS MATERIALIZED (SELECT * FROM ({LETTER_CELLS}) WHERE row_id IN (SELECT doc_id FROM documents WHERE lang = 'en')), " + all_counts(1))
-    q["clique_intersections"] = shown("SELECT m.seed, m.row_id FROM refined_rows m WHERE m.row_id IN (SELECT row_id FROM refined_rows WHERE seed = (SELECT seed FROM refined ORDER BY drop_off, seed LIMIT 1))", "seed row_id", ctes=CLIQUES)
+    q["clique_intersections"] = shown("SELECT seed, row_id FROM refined_rows JOIN inside USING (row_id)", "seed row_id", ctes=CLIQUES + """,
+strongest AS MATERIALIZED (SELECT seed FROM refined ORDER BY drop_off, seed LIMIT 1),
+inside AS MATERIALIZED (SELECT DISTINCT row_id FROM refined_rows JOIN strongest USING (seed))""")
     q["relative_dropoff"] = shown("""SELECT x.label, x.seed, x.size, coalesce(d.c, 1) AS cutoff, coalesce(d.d, 1000000.0) AS drop_off, f.n AS inside, u.n - f.n AS outside FROM pairs_ls x
 LEFT JOIN (SELECT * FROM rel_drops QUALIFY row_number() OVER (PARTITION BY label, seed ORDER BY d, c) = 1) d USING (label, seed)
 JOIN rel_filled f ON f.label = x.label AND f.seed = x.seed AND f.c = coalesce(d.c, 1) JOIN universe u ON u.label = x.label""",

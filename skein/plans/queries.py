@@ -448,7 +448,7 @@ def group_precision(s, d):
 @query
 def clique_conflicts(s, d):
     rows, n, _, found, refined = letter_refined(s, d)
-    return explore.conflicts(cliques.clique_rows(rows, LETTER_WIDTH, cliques.large_cliques(found), refined), rows, 20)
+    return explore.conflicts(cliques.clique_rows(rows, LETTER_WIDTH, cliques.large_cliques(found), refined), 20)
 
 
 # --- labels and partitions --------------------------------------------------

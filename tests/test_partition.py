@@ -134,8 +134,7 @@ def test_transitions_are_stochastic(spark):
 def test_conflicts_and_elimination(spark):
     sets = {1: range(0, 20), 2: range(5, 25), 3: range(15, 40), 4: range(60, 70)}
     members = spark.createDataFrame([(s, r) for s, v in sets.items() for r in v], "seed BIGINT, row_id BIGINT")
-    all_rows = spark.range(80).withColumnRenamed("id", "row_id")
-    found = explore.conflicts(members, all_rows, 8)
+    found = explore.conflicts(members, 8)
     expected = sorted((a, b, len(set(sets[a]) & set(sets[b]))) for a in sets for b in sets if a < b and len(set(sets[a]) & set(sets[b])) < 8)
     assert collected(found) == expected
     left = collected(explore.compatible_groups(members, found), "seed", "conflicts")
