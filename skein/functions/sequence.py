@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.ordinal import with_ordinal
+from skein.functions.ordinal import running_sum, with_ordinal
 
 LINE_WIDTH = 100   # fixed: FASTA line length
 
@@ -36,10 +36,21 @@ def difference(a: Column, b: Column) -> Column:
                        F.lit(0), lambda s, v: s + F.coalesce(v, F.lit(0)))
 
 
-def template_part(template: Column, part: int, parts: int, overlap: int) -> Column:
-    """Part ``part`` of ``parts``: a section of the template plus the overlap into the next."""
-    step = F.floor(F.length(template) / parts).cast("int")
-    return F.substring(template, (part * step + 1).cast("int") if isinstance(part, Column) else step * part + 1, step + overlap)
+def template_parts(records: DataFrame, order: str, parts: int, overlap: int) -> DataFrame:
+    """(part, seq): sections of the text that the records make in their order, each with the overlap into the next.
+
+    The text is never put together: running sums say where a record stands, and a record gives each part what lies in it.
+    """
+    placed = with_ordinal(records.select(order, F.coalesce("seq", F.lit("")).alias("seq")), F.col(order), name="_n").withColumn("_len", F.length("seq").cast("bigint"))
+    placed = running_sum(placed, "_n", "_len", "_end").withColumn("_start", F.col("_end") - F.col("_len"))
+    step = F.lit((records.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0))).first()[0]) // parts)
+    part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
+    low, high = F.greatest("_start", F.col("part") * step), F.least(F.col("_end"), F.col("part") * step + step + overlap)
+    pieces = placed.select("*", part).where(high > low).select("part", "_start", F.substring(
+        "seq", (low - F.col("_start") + 1).cast("int"), (high - low).cast("int")).alias("seq"))
+    whole = pieces.groupBy("part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_start", "seq"))), lambda p: p["seq"]), "").alias("seq"))
+    every = records.sparkSession.range(parts).select(F.col("id").cast("int").alias("part"))
+    return every.join(whole, "part", "left").select("part", F.coalesce("seq", F.lit("")).alias("seq"))
 
 
 def point_edit(seq: Column, position: Column, kind: Column, base: Column) -> Column:

@@ -713,9 +713,8 @@ def template_concat(s, d):
 
 @query
 def template_parts(s, d):
-    part = F.explode(F.sequence(F.lit(0), F.lit(59))).alias("part")
-    return (template_concat(s, d).select("template", part)
-            .select("part", sequence.template_part(F.col("template"), F.col("part"), 60, 5).alias("seq")))
+    items = table(s, d, "benchmark").select("item_id", sequence.clean(F.col("text")).alias("seq"))
+    return sequence.template_parts(items, "item_id", 60, 5)
 
 
 @query
@@ -738,11 +737,9 @@ def piece_read_merge(s, d):
 
 @query
 def prefix_containment(s, d):
-    """Whether the conversation as a whole contains the first 100 characters of a turn behind that turn's own text."""
-    turns = table(s, d, "conversations")
-    order = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(1, Window.unboundedFollowing)
-    later = F.array_join(F.collect_list("text").over(order), "\n")  # a conversation is one read
-    return turns.withColumn("read", later).select("conv_id", "turn", sequence.prefix_in(F.col("text"), F.col("read"), 100).alias("contained"))
+    """Whether a conversation contains the first 100 characters of a turn behind that turn's own text."""
+    turns = table(s, d, "conversations").select(F.col("conv_id").alias("family"), F.col("turn").alias("place"), F.col("text").alias("seq"))
+    return merge.contained_later(turns).select(F.col("family").alias("conv_id"), F.col("place").alias("turn"), "contained")
 
 
 @query
