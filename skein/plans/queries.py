@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skein.functions import sequence, stats
 from skein.functions.ordinal import with_ordinal
-from skein.operators import align, cliques, correlate, explore, families, linkage, matrix, merge, neighbours, pairs, partition, partners, realign
+from skein.operators import align, cliques, correlate, explore, families, linkage, matrix, merge, neighbours, pairs, partition, partners
 from skein.plans import tables
 from skein.plans.tables import EVENT_WIDTH, LETTER_WIDTH, order_width, table
 from skein.schema import group_id

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from skein.functions.ordinal import shifted
 from skein.functions.sequence import clean
-from skein.schema import N_SYMBOLS, symbol_char, symbol_code
 
 
 def numbered_lines(spark: SparkSession, path: str, line_sep: str | None = None, keep: Column | None = None,
@@ -132,10 +131,3 @@ def write_piece_map(lists: DataFrame, path: str) -> None:
 def append_scores(spark: SparkSession, history: list[tuple[int, int, int]], path: str) -> None:
     """Append ``round score width`` records to a score table."""
     spark.createDataFrame(history, "round INT, score BIGINT, width INT").write.mode("append").parquet(path)
-
-
-def symbol_table(spark: SparkSession) -> DataFrame:
-    """The symbol coding as a table: code, lower- and upper-case character."""
-    codes = spark.range(N_SYMBOLS).select(F.col("id").cast("int").alias("sym"))
-    return codes.select("sym", symbol_char(F.col("sym")).alias("ch"), symbol_char(F.col("sym"), True).alias("upper_ch"),
-                        symbol_code(symbol_char(F.col("sym"), True)).alias("decoded"))

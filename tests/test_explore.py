@@ -28,7 +28,3 @@ def test_narrowing_keeps_enough_rows(spark):
     members = spark.createDataFrame([(s, r) for s, v in sets.items() for r in v], "seed BIGINT, row_id BIGINT")
     assert [r for r, in collected(explore.narrowed_groups(members, 16))] == list(range(10, 40))
 
-
-def test_halves(spark):
-    got = collected(explore.linked_halves(spark.range(60).withColumnRenamed("id", "row_id")))
-    assert got[14] == (14, 0, None) and got[15] == (15, None, 0) and got[31] == (31, 1, None)
