@@ -31,7 +31,7 @@ def test_query_matches_sql(spark, con, name):
 
 def test_all_queries_are_registered():
     names = entry.queries()
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13 and "pipeline" in names
 
 
 def test_stages_keep_columns_and_take_effect(spark, odd_docs):
