@@ -22,6 +22,8 @@ tied phrases are ordered by their bytes; a repeated row counts each time; an emp
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -33,7 +35,8 @@ from skein.session import cut_lineage, shared_folder
 LONGEST = 4
 SHARDS = 2
 CELLS = 1 << 22
-HELD = 1 << 21  # counts a task holds before it emits them; bounds its memory, not the counts
+HELD = 1 << 19  # counts a task holds before it emits them; bounds its memory, not the counts
+SENT_ROWS = 1 << 15
 COUNTS = "h bigint, mark bigint, n bigint"  # mark: scan of activation, words and check, packed
 
 _SPLIT = np.isin(np.arange(256), [ord(c) for c in ".,;:!?\n\x0b\x0c\r"])
@@ -93,6 +96,19 @@ class Words:
         return mix(out)
 
 
+class Clock:
+    """When a phrase of a cell reached the threshold; travels packed, as most cells are empty or alike."""
+
+    def __init__(self, cells: np.ndarray):
+        self.cells = cells
+
+    def __getstate__(self):
+        return zlib.compress(self.cells.tobytes(), 1)
+
+    def __setstate__(self, packed):
+        self.cells = np.frombuffer(zlib.decompress(packed), np.uint8)
+
+
 def _cells(h: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
     return (h & np.uint64(cells - 1)).astype(np.int64), (h >> np.uint64(65 - cells.bit_length())).astype(np.int64)
 
@@ -129,16 +145,19 @@ def _summed(h: np.ndarray, check: np.ndarray, n: np.ndarray | None):
 _LENGTH, _AT = 32, 40  # bits of a mark below the number of words and the scan of activation
 
 
-def _batch(n: int, at: int, h: np.ndarray, check: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
-    mark = check.astype(np.int64) | n << _LENGTH | at << _AT
-    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(mark), pa.array(count)], ["h", "mark", "n"])
+def _batches(n: int, at: int, h: np.ndarray, check: np.ndarray, count: np.ndarray):
+    """Counts of one length and activation as rows, some at a time."""
+    for lo in range(0, len(h), SENT_ROWS):
+        part = slice(lo, lo + SENT_ROWS)
+        mark = check[part].astype(np.int64) | n << _LENGTH | at << _AT
+        yield pa.RecordBatch.from_arrays([pa.array(h[part].view(np.int64)), pa.array(mark), pa.array(count[part])], ["h", "mark", "n"])
 
 
 def _scan(clock, scan: int, shards: int, most: int):
     """Counts of a shard's phrases that are active in this scan, and as phrases of no word the words of a language.
     """
     def run(batches):
-        known = clock.value
+        known = clock.value.cells
         known_any = bool(known.any())
         held: dict[tuple[int, int], list] = {}
         sizes: dict[tuple[int, int], int] = {}
@@ -176,7 +195,7 @@ def _scan(clock, scan: int, shards: int, most: int):
                         if sizes[key] > most:
                             counts = emit(key)
                             if len(counts[0]) > most // 2:
-                                yield _batch(*key, *counts)
+                                yield from _batches(*key, *counts)
                             else:
                                 held[key], sizes[key] = [counts], len(counts[0])
                 if n == LONGEST or not known_any:
@@ -185,18 +204,19 @@ def _scan(clock, scan: int, shards: int, most: int):
                 shorter = np.zeros(len(words.word), np.uint8)
                 shorter[at] = np.where(reached > 0, np.maximum(reached, when), 0)
         for key in list(held):
-            yield _batch(*key, *emit(key))
+            yield from _batches(*key, *emit(key))
         if totals:
-            yield _batch(0, 0, np.array(list(totals), np.uint64), np.zeros(len(totals), np.uint32), np.array(list(totals.values()), np.int64))
+            yield from _batches(0, 0, np.array(list(totals), np.uint64), np.zeros(len(totals), np.uint32), np.array(list(totals.values()), np.int64))
     return run
 
 
 def _unset(clock):
     """Cells of frequent phrases that the clock does not hold yet."""
     def run(batches):
+        known = clock.value.cells
         for batch in batches:
-            cells = np.concatenate(_cells(batch.column("h").to_numpy().view(np.uint64), len(clock.value)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(cells[clock.value[cells] == 0]).astype(np.int32))], ["cell"])
+            cells = np.concatenate(_cells(batch.column("h").to_numpy().view(np.uint64), len(known)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(cells[known[cells] == 0]).astype(np.int32))], ["cell"])
     return run
 
 
@@ -231,7 +251,7 @@ def count_phrases(docs: DataFrame, least: int, shards: int = SHARDS) -> tuple[Da
         scan += 1
         if scan > 255:
             raise RuntimeError("a byte holds 255 scans; take fewer shards")
-        sent = spark.sparkContext.broadcast(clock.copy())
+        sent = spark.sparkContext.broadcast(Clock(clock.copy()))
         found = texts.where(F.col("shard") == (scan - 1) % shards).select("lang_hash", "text").mapInArrow(_scan(sent, scan, shards, HELD), COUNTS)
         merged = (found if table is None else table.union(found)).groupBy("h", "mark").agg(F.sum("n").alias("n"))
         merged.where((F.col("n") >= least) | (at + shards > scan) | (length == 0)).write.parquet(f"{folder}/{scan}")
@@ -239,7 +259,7 @@ def count_phrases(docs: DataFrame, least: int, shards: int = SHARDS) -> tuple[Da
         if scan > 1:
             _discard(spark, f"{folder}/{scan - 1}")
         cells = table.where((F.col("n") >= least) & length.between(1, LONGEST - 1)).select("h").mapInArrow(_unset(sent), "cell int")
-        cells = cells.distinct().toPandas()["cell"].to_numpy()  # at most CELLS
+        cells = cells.distinct().toArrow()["cell"].to_numpy()  # at most CELLS
         clock[cells] = scan
         last = scan if len(cells) else last
         sent.destroy()
@@ -252,7 +272,7 @@ def count_phrases(docs: DataFrame, least: int, shards: int = SHARDS) -> tuple[Da
 def _named(clock):
     """Phrases of two words and more that may be frequent, with their words and the keys of their parts; a task emits one once or nearly."""
     def run(batches):
-        known = clock.value
+        known = clock.value.cells
         emitted = {n: np.zeros(0, np.uint64) for n in range(2, LONGEST + 1)}
         for words, batch, first in _chunks(batches):
             for n in range(2, LONGEST + 1):
@@ -292,12 +312,12 @@ def named_phrases(texts: DataFrame, frequent: DataFrame) -> DataFrame:
     spark = texts.sparkSession
     wanted, out = frequent.where(F.shiftright("mark", _LENGTH) > 1), None
     for share in (F.col("part") == 0, F.col("part") > 0):
-        cells = wanted.select("h").mapInArrow(_unset(spark.sparkContext.broadcast(np.zeros(CELLS, np.uint8))), "cell int").distinct()
+        cells = wanted.select("h").mapInArrow(_unset(spark.sparkContext.broadcast(Clock(np.zeros(CELLS, np.uint8)))), "cell int").distinct()
         clock = np.zeros(CELLS, np.uint8)
-        clock[cells.toPandas()["cell"].to_numpy()] = 1  # at most CELLS
+        clock[cells.toArrow()["cell"].to_numpy()] = 1  # at most CELLS
         if not clock.any():
             break
-        found = texts.where(share).select("lang", "lang_hash", "text").mapInArrow(_named(spark.sparkContext.broadcast(clock)), _NAMED)
+        found = texts.where(share).select("lang", "lang_hash", "text").mapInArrow(_named(spark.sparkContext.broadcast(Clock(clock))), _NAMED)
         found = cut_lineage(found.join(wanted, KEY).dropDuplicates([*KEY, "phrase"]))  # the exact count decides
         wanted = cut_lineage(wanted.join(found.select(*KEY), KEY, "left_anti"))
         out = found if out is None else out.union(found)
