@@ -261,8 +261,8 @@ def window_correlations(s, d):
 
 @query
 def thin_columns_masked(s, d):
-    rows, n = letters(s, d)
-    return correlate.mask_thin_columns(letter_max(s, d)[2], matrix.to_cells(rows).where("sym < 4"))
+    rows, _, max_z = letter_max(s, d)
+    return correlate.mask_thin_columns(max_z, matrix.to_cells(rows).where("sym < 4"))
 
 
 @query
@@ -342,7 +342,7 @@ def approx_containment(s, d):
 
 @query
 def containment_chains(s, d):
-    rows = tables.letter_rows(s, d)
+    rows, _ = letters(s, d)
     cells = matrix.to_cells(rows)
     directed = cut_lineage(explore.directed_pairs(pairs.group_pairs(pairs.column_pairs(rows, LETTER_WIDTH, 1))))
     contained = explore.approximate_containment(directed, 3)
