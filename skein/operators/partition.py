@@ -6,6 +6,8 @@ that cluster alone, so all clusters advance together, one Spark job per depth of
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,29 +63,103 @@ def split_order(refined: DataFrame, max_z: DataFrame, max_drop: float | None = M
             .withColumn("position", F.row_number().over(w) - 1).select("position", "seed", "cutoff"))
 
 
-def subdivide_by_bits(bits: DataFrame, min_group: int) -> DataFrame:
+AT_ONCE = 1 << 25  # bits of a cluster that one task splits to the end
+
+
+def _rows_inside(n: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Rows with a bit set, by position; a few thousand lines are widened at once."""
+    return sum((n[k:k + 4096] @ bits[k:k + 4096].astype(np.float64) for k in range(0, len(n), 4096)), np.zeros(bits.shape[1]))
+
+
+def _split_up(bits: np.ndarray, n: np.ndarray, path: str, start: int, min_group: int) -> list[str]:
+    """Final paths of the rows of one cluster."""
+    out, left = [path] * len(n), [(np.arange(len(n)), bits[:, start:], path, start)]
+    while left:
+        at, own, path, start = left.pop()
+        inside = _rows_inside(n[at], own)
+        splits = np.flatnonzero((inside > min_group) & (n[at].sum() - inside > min_group))
+        if len(splits):
+            p = int(splits[0])
+            for side in (0, 1):
+                here = own[:, p] == side
+                left.append((at[here], own[here, p + 1:], path + str(side), start + p + 1))
+        else:
+            for k in at:
+                out[k] = path
+    return out
+
+
+def _in_task(min_group: int):
+    """Clusters sorted by path, each split to the end."""
+    def run(batches):
+        key, held = None, []
+
+        def settled():
+            rows = [r for part in held for r in part]
+            bits = np.frombuffer("".join(r[0] for r in rows).encode(), np.uint8).reshape(len(rows), -1) - ord("0")
+            paths = _split_up(bits, np.array([r[1] for r in rows], np.float64), *key, min_group)
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array(paths, pa.string())], ["bits", "path"])
+        for batch in batches:
+            bits, n, path, start = (batch.column(c).to_pylist() for c in ("bits", "n", "path", "start"))
+            cuts = [0, *(k for k in range(1, len(path)) if path[k] != path[k - 1]), len(path)] if path else []
+            for lo, hi in zip(cuts, cuts[1:]):
+                if held and (path[lo], start[lo]) != key:
+                    yield settled()
+                    held = []
+                key = path[lo], start[lo]
+                held.append(list(zip(bits[lo:hi], n[lo:hi])))
+        if held:
+            yield settled()
+    return run
+
+
+def _counted(batches):
+    """Rows of a task by path and position, in all and with the bit set."""
+    found: dict = {}
+    for batch in batches:
+        paths, at = np.unique(batch.column("path").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+        bits = np.frombuffer("".join(batch.column("bits").to_pylist()).encode(), np.uint8).reshape(batch.num_rows, -1) == ord("1")
+        n, start = batch.column("n").to_numpy(), batch.column("start").to_numpy()
+        for k, path in enumerate(paths.tolist()):
+            here = at == k
+            total, inside, _ = found.get(path, (0, 0, 0))
+            found[path] = total + int(n[here].sum()), inside + n[here].astype(np.float64) @ bits[here], int(start[here][0])
+    for path, (total, inside, start) in found.items():
+        pos = np.arange(start, len(inside))
+        yield pa.RecordBatch.from_arrays([pa.array([path] * len(pos), pa.string()), pa.array(pos, pa.int32()), pa.array(np.full(len(pos), total, np.int64)),
+                                          pa.array(inside[start:].astype(np.int64))], ["path", "pos", "total", "inside"])
+
+
+def subdivide_by_bits(bits: DataFrame, min_group: int, at_once: int = AT_ONCE) -> DataFrame:
     """Split clusters by membership bits, bit by bit in order, where both sides exceed ``min_group``.
 
-    Rows with equal bits stay together, so they are counted once. Every round takes for each open
-    cluster the first later bit that splits it; a cluster without one is finished.
+    Rows with equal bits stay together, so they are counted once. A cluster of at most ``at_once`` bits is split to the end in
+    a task, because its splits depend on it alone. For larger ones every round takes the first later bit that splits them.
     """
-    state = cut_lineage(bits.groupBy("bits").agg(F.count("*").alias("n"))
-                        .select("bits", "n", F.lit("r").alias("path"), F.lit(0).alias("start"), F.lit(True).alias("open")))
+    state = cut_lineage(bits.groupBy("bits").agg(F.count("*").alias("n")).select("bits", "n", F.lit("r").alias("path"), F.lit(0).alias("start")))
+    width = state.agg(F.max(F.length("bits"))).first()[0]
+    if not width:
+        return bits.select("row_id", F.lit("r").alias("label"))
+    done = None
     while True:
-        flags = (state.where("open").select("path", "n", "start", F.posexplode(F.split("bits", "")).alias("pos", "bit"))
-                 .where((F.col("pos") >= F.col("start")) & F.col("bit").isin("0", "1")))
+        sizes = state.groupBy("path").agg((F.count("*") * width).alias("_bits"))
+        small = sizes.where(F.col("_bits") <= at_once).select("path")
+        ended = (state.join(small, "path", "left_semi").repartition("path").sortWithinPartitions("path")
+                 .mapInArrow(_in_task(min_group), "bits string, path string"))
+        large = state.join(small, "path", "left_anti")
         chosen = cut_lineage(
-            flags.groupBy("path", "pos").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("bit") == "1", F.col("n")).otherwise(0)).alias("inside"))
+            large.mapInArrow(_counted, "path string, pos int, total bigint, inside bigint")
+            .groupBy("path", "pos").agg(F.sum("total").alias("total"), F.sum("inside").alias("inside"))
             .where((F.col("inside") > min_group) & (F.col("total") - F.col("inside") > min_group))
             .groupBy("path").agg(F.min("pos").alias("pos")))
+        ended = ended.unionByName(large.join(chosen, "path", "left_anti").select("bits", "path"))
+        ended = cut_lineage(ended)
+        done = ended if done is None else done.unionByName(ended)
         if chosen.isEmpty():
             break
-        side = F.expr("substring(bits, pos + 1, 1)")
-        split = F.col("open") & F.col("pos").isNotNull()
-        state = cut_lineage(state.join(chosen, "path", "left").select(
-            "bits", "n", F.when(split, F.concat("path", side)).otherwise(F.col("path")).alias("path"),
-            F.when(split, F.col("pos") + 1).otherwise(F.col("start")).alias("start"), split.alias("open")))
-    return bits.join(state.select("bits", "path"), "bits").select("row_id", F.col("path").alias("label"))
+        state = cut_lineage(large.join(chosen, "path").select(
+            "bits", "n", F.concat("path", F.expr("substring(bits, pos + 1, 1)")).alias("path"), (F.col("pos") + 1).alias("start")))
+    return bits.join(done, "bits").select("row_id", F.col("path").alias("label"))
 
 
 def dropoff_subdivision(rows: DataFrame, width: int, cliques: DataFrame, refined: DataFrame, max_z: DataFrame,

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from frames import collected
 from pyspark.sql import functions as F
 
@@ -43,6 +44,30 @@ def test_subdivision_matches_one_group_at_a_time(spark):
     assert [v for _, v in collected(found, "row_id", "label")] == slow_subdivision(bits, 6)
 
 
+@pytest.mark.parametrize("at_once", [0, 150, 10 ** 6])
+def test_clusters_split_in_tasks_or_by_rounds(spark, at_once):
+    rng = np.random.default_rng(5)
+    bits = ["".join(rng.choice(["0", "1"], 9, p=[.6, .4])) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(bits)), "row_id BIGINT, bits STRING")
+    found = partition.compress_labels(partition.subdivide_by_bits(df, 6, at_once))
+    assert [v for _, v in collected(found, "row_id", "label")] == slow_subdivision(bits, 6)
+    empty = spark.createDataFrame([(1, ""), (2, "")], "row_id BIGINT, bits STRING")
+    assert {r.label for r in partition.subdivide_by_bits(empty, 6, at_once).collect()} == {"r"}
+
+
+def test_a_long_chain_of_splits_takes_few_jobs(spark):
+    """Every group peels a few rows off: as many rounds as groups, if each split is a round."""
+    bits = ["0" * k + "1" + "0" * (39 - k) for k in range(40) for _ in range(8)]
+    df = spark.createDataFrame(list(enumerate(bits)), "row_id BIGINT, bits STRING")
+    spark.sparkContext.setJobGroup("chain", "chain")
+    try:
+        found = partition.compress_labels(partition.subdivide_by_bits(df, 6)).collect()
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("chain")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len({r.label for r in found}) == 40 and len(jobs) < 40
+
+
 def test_dropoff_takes_lowest_cutoff(spark):
     above = spark.createDataFrame([(1, 6, [90, 50, 50, 50, 20, 0])], "seed BIGINT, size BIGINT, above ARRAY<BIGINT>")
     r = cliques.dropoff(above, 100).first()
