@@ -21,7 +21,7 @@ from skein.operators import realign as realign_one
 from skein.operators.align import MAX_ERROR
 from skein.operators.pairs import encode
 from skein.schema import BASES, GAP, N_SYMBOLS, SYMBOLS
-from skein.session import cut_lineage
+from skein.session import cut_lineage, many_tasks
 
 ROWS_PER_TASK = 2_000
 BATCH_CELLS = 1 << 23  # cells of a batch that are held at once
@@ -137,7 +137,7 @@ def _streamed(rows: DataFrame, heads: DataFrame, work: Callable, schema: str, ro
             yield work(key[0], head, held)
 
     keys = ["family", "share"]
-    return first.union(body).repartition(*keys).sortWithinPartitions(*keys, "order", F.length("seq")).mapInArrow(run, schema)
+    return first.union(body).repartition(many_tasks(rows.sparkSession), *keys).sortWithinPartitions(*keys, "order", F.length("seq")).mapInArrow(run, schema)
 
 
 def _without(df: DataFrame, *names: str) -> DataFrame:
@@ -372,7 +372,7 @@ def realign(matrices: DataFrame, band: int = realign_one.BAND, max_rounds: int =
         if ids:
             yield settled(family, ids, lines)
 
-    out = (rows.join(large, "family", "left_anti").repartition("family").sortWithinPartitions("family", "seq_id")
+    out = (rows.join(large, "family", "left_anti").repartition(many_tasks(rows.sparkSession), "family").sortWithinPartitions("family", "seq_id")
            .mapInArrow(run, "family BIGINT, seq_id BIGINT, symbols STRING"))
     for family in [r.family for r in large.collect()]:
         own = cut_lineage(with_ordinal(rows.where(F.col("family") == family), F.col("seq_id"), name="row_id"))

@@ -46,6 +46,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def many_tasks(spark: SparkSession) -> int:
+    """Partitions for CPU-heavy work on few bytes: a number that is given is kept, where Spark would join small partitions to a few tasks."""
+    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the workers once per session, whatever folder the driver was started in."""
     from pyspark import SparkFiles

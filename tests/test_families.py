@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from frames import collected
 from skein.operators import align, families
@@ -76,3 +77,15 @@ def test_empty_tables(spark):
     aligned = families.align_to_templates(seqs, t)
     assert aligned.count() == 0 and families.build_matrices(aligned, families.slot_layout(families.gap_slots(aligned), t)).count() == 0
     assert families.realign(spark.createDataFrame([], "family bigint, seq_id bigint, symbols string")).count() == 0
+
+
+def test_small_tables_are_worked_on_by_many_tasks(spark):
+    """Few bytes can be much work: tasks are not joined because their input is small."""
+    aim = spark.sparkContext.defaultParallelism
+    rows = [(f, 10 * f + k, "acgtacgg"[k:] * 3) for f in range(64) for k in range(3)]
+    seqs = spark.createDataFrame(rows, "family bigint, seq_id bigint, seq string")
+    heads = spark.createDataFrame([(f, "acgtacgg") for f in range(64)], "family bigint, template string")
+    tasks = lambda df: df.select(F.spark_partition_id()).distinct().count()
+    assert tasks(families.align_to_templates(seqs, heads)) >= aim
+    lines = spark.createDataFrame([(f, 10 * f + k, "acg-t"[k:] + "acg-t"[:k]) for f in range(64) for k in range(3)], "family bigint, seq_id bigint, symbols string")
+    assert tasks(families.realign(lines, max_rounds=1)) >= aim
