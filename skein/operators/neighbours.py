@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.session import cut_lineage
+from skein.session import cut_lineage, many_tasks
 
 NEIGHBOURS = 5  # fixed: a row is smoothed by the majority of its five nearest rows, itself included
 BLOCK = 1024
@@ -62,7 +62,9 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int, block: int = BLOC
         return pd.DataFrame({"label": left["q_label"].iloc[0], "bits": left["q"].to_numpy()[rows],
                              "dist": dist[rows, pick], "id": ids[pick], "found": spread["c"].to_numpy()[pick]})
 
-    partial = q.groupBy("q_label", "qb", "cb").cogroup(c.groupBy("c_label", "qb", "cb")).applyInPandas(
+    n = many_tasks(queries.sparkSession)  # products of few bytes
+    partial = q.repartition(n, "q_label", "qb", "cb").groupBy("q_label", "qb", "cb").cogroup(
+        c.repartition(n, "c_label", "qb", "cb").groupBy("c_label", "qb", "cb")).applyInPandas(
         best, "label BIGINT, bits STRING, dist BIGINT, id BIGINT, found STRING")
     w = Window.partitionBy("label", "bits").orderBy("dist", "id")
     return partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

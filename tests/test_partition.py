@@ -164,3 +164,14 @@ def test_conflicts_and_elimination(spark):
     assert collected(found) == expected
     left = collected(explore.compatible_groups(members, found), "seed", "conflicts")
     assert len({c for _, c in left}) == 1
+
+
+def test_products_of_nearest_rows_are_many_tasks(spark):
+    """Blocks of few bytes are not joined to a few tasks; each side is dealt once."""
+    rng = np.random.default_rng(6)
+    points = spark.createDataFrame([(i % 40, i, "".join(rng.choice(["0", "1"], 12))) for i in range(400)], "label BIGINT, row_id BIGINT, bits STRING")
+    found = neighbours.nearest(points.select("label", "bits").distinct(), neighbours.lowest_ids(points, ["label", "bits"], 2), 2)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    own = [line for line in plan.split("== Initial Plan ==")[0].splitlines() if "Exchange" in line and "qb" in line]
+    assert len(own) == 2 and all("REPARTITION_BY_NUM" in line for line in own), own
