@@ -5,7 +5,8 @@ decides. Where no line does, every window of as many words as a template has is
 its line ends, so wrapped notices and notices beside other words on their line are found; a text shorter than a template is
 one window. A window can be chosen freely, so it must agree more than a line, and one of few words wholly. Inverse document frequencies are those of the
 templates; a word no template knows has the highest. Only lines and windows with a word without which no template's cosine
-can reach the threshold, and whose own words leave it in reach, are taken apart; this loses nothing.
+can reach the threshold, and whose own words leave it in reach, are taken apart; this loses nothing. Texts are cut into words
+once, where they lie; only such lines and windows are written and shuffled, never whole texts.
 
 Files named like licence files license their directory. A file without a notice of its own inherits from the nearest
 directory above it: directories are joined with the licensed directories by all their ancestors, then files with their directory.
@@ -19,8 +20,7 @@ from __future__ import annotations
 
 import json
 import math
-from functools import reduce
-from operator import or_
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,7 +32,7 @@ LEAST_WINDOW = 0.7
 SHORT_WINDOW, LEAST_SHORT = 5, 0.95  # windows of fewer words: "all rights" and any third word reach 0.77
 MOST_LITERALS = 5_000  # template words up to which a line is bounded before it is taken apart
 MOST_TEMPLATE_WORDS = 100_000  # more template words than this are joined by a shuffle
-#: Words of everyday prose, the most frequent last; of those that would do, windows are looked for by other words.
+#: Words of everyday prose, the most frequent last; of those that would do, lines and windows are looked for by other words.
 COMMON = "under can may any free met mit not from you for it or on all are by is with to in this be as that a of and the".split()
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)\b"
 
@@ -103,41 +103,64 @@ def could_reach(words: Column, vectors: list, n: int, least: float) -> Column:
     for r in vectors:
         gains.setdefault(r["token"], [r["idf"], *[0.0] * len(order)])[order[r["template"]] + 1] = r["idf"] * r["weight"]
     table = F.from_json(F.lit(json.dumps(gains)), "map<string,array<double>>")
-    found = F.transform(words, lambda w: F.try_element_at(table, w))
     none = F.array_repeat(F.lit(0.0), len(order) + 1)
-    sums = F.aggregate(found, none, lambda acc, v: F.when(v.isNull(), acc).otherwise(F.zip_with(acc, v, lambda a, b: a + b)))
-    most = F.array_max(F.slice(sums, 2, len(order)))
     unknown = math.log(n + 1) + 1
-    norm = F.sqrt(F.aggregate(found, F.lit(0.0), lambda acc, v: acc + F.coalesce(v[0] * v[0], F.lit(unknown * unknown))))
-    return most >= norm * (least - 1e-6)
 
+    def of(known: Column) -> Column:
+        found = F.transform(known, lambda w: F.try_element_at(table, w))
+        sums = F.aggregate(found, none, lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
+        norm = F.sqrt(F.aggregate(found, (F.size(words) - F.size(known)) * unknown ** 2, lambda acc, v: acc + v[0] * v[0]))
+        return F.array_max(F.slice(sums, 2, len(order))) >= norm * (least - 1e-6)
+    return F.exists(F.array(F.filter(words, lambda w: w.isin(*gains))), of)  # a hash set; the table is searched in line
 
-def anchored(text: Column, wanted: Column, most: int) -> Column:
+
+def lines(text: Column, wanted: list[str], reaches: Callable[[Column], Column]) -> Column:
+    """(_line, _window, _tokens) of the lines that hold a wanted word and reach."""
+    taken = F.transform(F.split(text, "\n"), lambda line, k: F.struct(
+        k.cast("bigint").alias("_line"), F.lit(False).alias("_window"), tokens(line).alias("_tokens")))
+    return F.filter(taken, lambda r: F.exists(r["_tokens"], lambda w: w.isin(*wanted)) & reaches(r["_tokens"]))
+
+
+def anchored(tok: Column, wanted: list[str], most: int) -> Column:
     """For every wanted word at place ``p`` of a text of ``n`` words: the words from ``lo`` on of windows in which it is the first."""
-    def around(tok: Column, at: Column) -> Column:
+    def around(at: Column) -> Column:
         def one(p: Column, k: Column) -> Column:
             lo = F.greatest(F.coalesce(F.get(at, k - 1), F.lit(0)) + 1, p - most + 1)
             return F.struct(lo.alias("lo"), p.alias("p"), F.size(tok).alias("n"), F.slice(tok, lo, p - lo + most).alias("words"))
         return F.transform(at, one)
-
-    def of(tok: Column) -> Column:
-        at = F.filter(F.sequence(F.lit(1), F.size(tok)), lambda p: F.array_contains(wanted, F.get(tok, p - 1)))
-        return F.flatten(F.transform(F.array(at), lambda at: around(tok, at)))
-    return F.flatten(F.transform(F.array(tokens(text)), of))  # taken apart once, not once per word
+    places = F.filter(F.transform(tok, lambda w, k: F.when(w.isin(*wanted), k + 1)), lambda p: p.isNotNull())
+    return F.flatten(F.transform(F.array(places), around))
 
 
-def windows(lengths: list[int]) -> Column:
-    """(_line, _tokens) of the windows of column ``_anchor``; ``_line`` numbers the windows of a file."""
-    lo, p, n, words = (F.col(f"_anchor.{c}") for c in ("lo", "p", "n", "words"))
+def windows(anchor: Column, lengths: list[int]) -> Column:
+    """(_line, _window, _tokens) of the windows of an anchor; ``_line`` numbers the windows of a file."""
+    lo, p, n, words = (anchor[c] for c in ("lo", "p", "n", "words"))
 
     def of(size: Column) -> Column:
         first, last = F.greatest(lo, p - size + 1), F.least(p, F.greatest(n - size + 1, F.lit(1)))
         starts = F.filter(F.sequence(first, F.greatest(first, last)), lambda s: s <= last)
         return F.transform(starts, lambda s: F.struct(
-            (s.cast("bigint") * (max(lengths) + 1) + size).alias("_line"), F.slice(words, s - lo + 1, size).alias("_tokens")))
+            (s.cast("bigint") * (max(lengths) + 1) + size).alias("_line"), F.lit(True).alias("_window"), F.slice(words, s - lo + 1, size).alias("_tokens")))
     return F.flatten(F.transform(F.array(*map(F.lit, lengths)), of))
 
 
+def candidates(files: DataFrame, vectors: list, n: int, lengths: list[int], least: float, least_window: float) -> DataFrame:
+    """(_file, _line, _window, _tokens) of the lines and windows that can reach the least cosine, without a shuffle."""
+    wanted, rare = needed_words(vectors, least, COMMON), needed_words(vectors, least_window, COMMON)
+
+    def reaches(least: float) -> Callable[[Column], Column]:
+        # more template words are not held against every line: more lines are taken apart, with the same result
+        return (lambda words: could_reach(words, vectors, n, least)) if len(vectors) <= MOST_LITERALS else (lambda words: F.lit(True))
+
+    def of(tok: Column) -> Column:
+        own = F.when(F.exists(tok, lambda w: w.isin(*wanted)), lines(F.col("text"), wanted, reaches(least)))
+        around = F.transform(anchored(tok, rare, max(lengths)), lambda a: F.filter(
+            windows(a, lengths), lambda r: reaches(least_window)(r["_tokens"])))
+        return F.concat(F.array(F.coalesce(own, F.array())), around)
+    return files.select("_file", F.explode(F.flatten(F.transform(F.array(tokens(F.col("text"))), of))).alias("_found")) \
+        .select("_file", F.inline("_found"))
+
+
 def notices(files: DataFrame, templates: DataFrame, least: float = LEAST_COSINE, least_window: float = LEAST_WINDOW) -> DataFrame:
     """(_file, license, score) of the files with a notice. ``files``: _file, text."""
     vectors = cut_lineage(template_vectors(templates))
@@ -148,19 +171,12 @@ def notices(files: DataFrame, templates: DataFrame, least: float = LEAST_COSINE,
     n = len({r["template"] for r in known})
     lengths = sorted({r["n"] for r in templates.where(F.col("license").isNotNull()).select(F.size(tokens(F.col("text"))).alias("n")).distinct().collect()
                       if r["n"] and r["n"] > 0})
-    needed = needed_words(known, least)
-    wanted = F.array(*map(F.lit, needed))
-    rare = F.array(*map(F.lit, needed_words(known, least_window, COMMON)))  # a window that has one has one of needed as well
-    any_of = lambda low: reduce(or_, [F.contains(low, F.lit(w)) for w in needed])
-    has = lambda c: F.exists(F.array(F.lower(c)), any_of)  # noqa: E731  lower-cased once, not once per word
     idf = vectors.groupBy("token").agg(F.first("idf").alias("idf"))
     small = len(known) <= MOST_TEMPLATE_WORDS
     ship = F.broadcast if small else (lambda df: df)
 
-    def best_of(lines: DataFrame, least: float, enough: Column) -> DataFrame:
-        """Best licence of every file of ``lines`` (_file, _line, _tokens); ``enough`` is at least ``least``."""
-        if len(known) <= MOST_LITERALS:  # else more lines are taken apart, with the same result
-            lines = lines.where(could_reach(F.col("_tokens"), known, n, least))
+    def best_of(lines: DataFrame, enough: Column) -> DataFrame:
+        """Best licence of every file of ``lines`` (_file, _line, _tokens)."""
         counted = (lines.select("_file", "_line", F.explode("_tokens").alias("token"))
                    .groupBy("_file", "_line", "token").agg(F.count("*").alias("tf")))
         raw = counted.join(ship(idf), "token", "left").withColumn(
@@ -172,15 +188,11 @@ def notices(files: DataFrame, templates: DataFrame, least: float = LEAST_COSINE,
         best = F.min(F.struct((-F.round("score", 9)).alias("s"), F.col("license").alias("license"), F.col("score").alias("score")))
         return scored.groupBy("_file").agg(best.alias("_best")).select("_file", "_best.license", "_best.score")
 
-    texts = files.where(has(F.col("text")))
-    lines = (texts.select("_file", F.posexplode(F.filter(F.split("text", "\n"), has)).alias("_line", "_text"))
-             .select("_file", "_line", tokens(F.col("_text")).alias("_tokens")).where(F.arrays_overlap("_tokens", wanted)))
-    found = cut_lineage(best_of(lines, least, F.lit(least)))
-    left = (texts.select("_file", F.explode(anchored(F.col("text"), rare, max(lengths))).alias("_anchor"))
-            .join(found.select("_file"), "_file", "left_anti").distinct())  # rows with the same path and text are one file
+    looked_at = cut_lineage(candidates(files, known, n, lengths, least, least_window).distinct())  # rows with the same path and text are one file
+    found = cut_lineage(best_of(looked_at.where(~F.col("_window")), F.lit(least)))
+    left = looked_at.where("_window").join(found.select("_file"), "_file", "left_anti")
     short = F.col("_line") % (max(lengths) + 1) < SHORT_WINDOW
-    return found.unionByName(best_of(left.select("_file", F.inline(windows(lengths))), least_window,
-                                     F.when(short, F.lit(max(least_window, LEAST_SHORT))).otherwise(F.lit(least_window))))
+    return found.unionByName(best_of(left, F.when(short, F.lit(max(least_window, LEAST_SHORT))).otherwise(F.lit(least_window))))
 
 
 def scan(files: DataFrame, templates: DataFrame, least: float = LEAST_COSINE) -> DataFrame:

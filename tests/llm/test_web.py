@@ -202,3 +202,17 @@ def test_root_licenses_what_lies_below(spark):
     got = licenses.scan(spark.createDataFrame(rows, "path string, text string"), spark.createDataFrame(licenses.TEMPLATES, "license string, text string"))
     assert {(r.path, r.license, r.licensed_by) for r in got.collect()} == {
         ("/LICENSE", "MIT", None), ("/a/x.py", "MIT", "/"), ("/y.py", "MIT", "/"), ("b/z.py", None, None)}
+
+
+def test_texts_are_cut_into_words_where_they_lie_and_only_lines_in_reach_leave(spark):
+    prose = "The cat and the dog that live by the river are not with us, and this is all that you can see in the town of old.\n" * 30
+    texts = [prose, prose + "All rights reserved.\n" + prose, prose + "Licensed under\nCC BY 4.0.", None, ""]
+    files = spark.createDataFrame(list(enumerate(texts)), "_file bigint, text string")
+    templates = spark.createDataFrame(licenses.TEMPLATES, "license string, text string")
+    known = licenses.template_vectors(templates).collect()
+    lengths = sorted({len(re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", t.lower())) for _, t in licenses.TEMPLATES})
+    found = licenses.candidates(files, known, len(licenses.TEMPLATES), lengths, licenses.LEAST_COSINE, licenses.LEAST_WINDOW)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = found.collect()
+    assert {(r._file, r._window) for r in rows} >= {(1, False), (2, True)} and 0 not in {r._file for r in rows}
+    assert [r._tokens for r in rows if r._file == 1 and not r._window] == [["all", "rights", "reserved"]]
