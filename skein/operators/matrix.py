@@ -17,10 +17,10 @@ from skein.session import cut_lineage
 SENT_COLUMNS = 1_000_000  # tables with a row per column are sent to the tasks up to this size
 
 
-def sent(per_column: DataFrame) -> DataFrame:
+def sent(per_column: DataFrame, most: int = SENT_COLUMNS) -> DataFrame:
     """A table with one row per column, marked for broadcast if its size allows."""
     small = cut_lineage(per_column)
-    return F.broadcast(small) if small.count() <= SENT_COLUMNS else small
+    return F.broadcast(small) if small.count() <= most else small
 
 
 # --- shape ------------------------------------------------------------------

@@ -20,14 +20,21 @@ from skein.session import cut_lineage
 
 MAX_DROP = 1e-4        # fixed: a refined group splits only below this drop-off
 MIN_ID_DISTANCE = 100  # fixed: variables must correlate this many group ids apart
+SENT_CLUSTERS = 100_000  # tables with a row per cluster are sent to the tasks up to this size
 
 
 # --- label vectors ----------------------------------------------------------
 
+def per_cluster(table: DataFrame) -> DataFrame:
+    """A table with one row per cluster, sent to the tasks if small: joined by label, a few large clusters would be as few tasks."""
+    return matrix.sent(table, SENT_CLUSTERS)
+
+
 def compress_labels(labelled: DataFrame) -> DataFrame:
     """Rename labels to 0, 1, ... by first appearance in row order; NULL stays NULL."""
+    labelled = cut_lineage(labelled)  # read twice
     first = labelled.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("row_id").alias("first_row"))
-    names = with_ordinal(first, F.col("first_row"), name="new_label").select("label", "new_label")
+    names = per_cluster(with_ordinal(first, F.col("first_row"), name="new_label").select("label", "new_label"))
     return (labelled.join(names, "label", "left")
             .select(*[c for c in labelled.columns if c != "label"], F.col("new_label").alias("label")))
 
@@ -178,12 +185,13 @@ def hits_of(members: str = "members") -> Column:
                   f"substring('{SYMBOLS}', cast(m % {N_SYMBOLS} as int) + 1, 1)))")
 
 
-def relative_dropoff(rows: DataFrame, width: int, cliques: DataFrame, labelled: DataFrame, n_rows: int,
-                     min_group: int) -> DataFrame:
-    """Drop-off cutoffs of all cliques inside every cluster larger than twice ``min_group``."""
-    sizes = cluster_sizes(labelled)
-    active = sizes.where(F.col("size") > 2 * min_group)
-    inside = rows.join(labelled.join(active, "label", "left_semi"), "row_id")
+def large_clusters(labelled: DataFrame, min_group: int) -> DataFrame:
+    """(label, size) of the clusters larger than twice ``min_group``."""
+    return per_cluster(cluster_sizes(labelled).where(F.col("size") > 2 * min_group))
+
+
+def dropoff_inside(inside: DataFrame, width: int, cliques: DataFrame, sizes: DataFrame, n_rows: int) -> DataFrame:
+    """Drop-off cutoffs of all cliques inside every cluster of ``sizes(label, size)``; ``inside(label, symbols)`` are its rows."""
     kept = clique_ops.large_cliques(cliques)
     above = clique_ops.rows_above(clique_ops.hit_histogram(inside, width, kept, by="label"), kept, by="label")
     return (clique_ops.dropoff(above, n_rows).join(sizes.select("label", F.col("size").alias("label_size")), "label")
@@ -191,18 +199,31 @@ def relative_dropoff(rows: DataFrame, width: int, cliques: DataFrame, labelled:
             .select("label", "seed", "size", "cutoff", "drop_off", "inside", (F.col("label_size") - F.col("inside")).alias("outside")))
 
 
+def relative_dropoff(rows: DataFrame, width: int, cliques: DataFrame, labelled: DataFrame, n_rows: int,
+                     min_group: int) -> DataFrame:
+    """Drop-off cutoffs of all cliques inside every cluster larger than twice ``min_group``."""
+    sizes = large_clusters(labelled, min_group)
+    inside = rows.join(labelled.join(sizes, "label", "left_semi"), "row_id")
+    return dropoff_inside(inside, width, cliques, sizes, n_rows)
+
+
 def relative_subdivision(rows: DataFrame, width: int, cliques: DataFrame, labelled: DataFrame, n_rows: int,
                          min_group: int, max_drop: float = MAX_DROP) -> DataFrame:
-    """Split each large cluster by the first clique (in id order) with a sharp cutoff inside it."""
-    usable = splittable(relative_dropoff(rows, width, cliques, labelled, n_rows, min_group), min_group)
+    """Split each large cluster by the first clique (in id order) with a sharp cutoff inside it.
+
+    Rows meet their labels once; after that they stay where they are, and only tables with a row per cluster move.
+    """
+    own = cut_lineage(labelled.select("row_id", "label").join(rows.select("row_id", "symbols"), "row_id", "left"))
+    sizes = large_clusters(own, min_group)
+    inside = own.where(F.col("symbols").isNotNull()).join(sizes, "label", "left_semi")
+    usable = splittable(dropoff_inside(inside, width, cliques, sizes, n_rows), min_group)
     chosen = (usable.where(F.col("drop_off") < max_drop).groupBy("label")
               .agg(F.min(F.struct("seed", "cutoff")).alias("c")).select("label", "c.seed", "c.cutoff"))
     members = cliques.groupBy("seed").agg(F.collect_list("g").alias("members"))
-    plan = chosen.join(members, "seed").select("label", "cutoff", "members")
+    plan = per_cluster(chosen.join(members, "seed").select("label", "cutoff", "members"))
     side = F.when(F.col("members").isNull(), F.lit("-")).when(hits_of() > F.col("cutoff"), F.lit("1")).otherwise(F.lit("0"))
-    split = (labelled.where(F.col("label").isNotNull()).join(rows.select("row_id", "symbols"), "row_id")
-             .join(plan, "label", "left").select("row_id", F.concat_ws("/", F.col("label").cast("string"), side).alias("label")))
-    return compress_labels(labelled.select("row_id").join(split, "row_id", "left"))
+    split = F.when(F.col("label").isNotNull() & F.col("symbols").isNotNull(), F.concat_ws("/", F.col("label").cast("string"), side))
+    return compress_labels(own.join(plan, "label", "left").select("row_id", split.alias("label")))
 
 
 # --- variables and majority clustering inside clusters ----------------------

@@ -102,6 +102,44 @@ def test_planted_copies_are_separated(rows_of):
         assert not first & second, name
 
 
+def slow_relative(lines, label, groups, n_rows, min_group, max_drop):
+    side = ["-"] * len(lines)
+    for k in {v for v in label if v is not None and label.count(v) > 2 * min_group}:
+        mine = [i for i, v in enumerate(label) if v == k]
+        for seed, members in sorted(groups.items()):
+            hits = {i: sum(lines[i][g // 5] == "acgt-"[g % 5] for g in members) for i in mine}
+            above = [sum(h > c for h in hits.values()) for c in range(len(members))]
+            drops = [((above[c - 1] - above[c + 1]) / least, c) for c in range(1, len(members) - 1) if (least := min(n_rows - above[c], above[c]))]
+            drop, cutoff = min(drops, default=(cliques.NO_DROP, 1))
+            if drop < max_drop and above[cutoff] > min_group and len(mine) - above[cutoff] > min_group:
+                for i in mine:
+                    side[i] = "1" if hits[i] > cutoff else "0"
+                break
+    names: dict = {}
+    return [None if v is None else names.setdefault((v, s), len(names)) for v, s in zip(label, side)]
+
+
+def test_relative_subdivision_is_done_once_and_leaves_rows_where_they_are(spark, rows_of):
+    """A label is no key of a shuffle of rows: a large cluster would be one task."""
+    rng = np.random.default_rng(3)
+    lines = ["".join(rng.choice(list("acgt-"), 12, p=p)) for p in [(.8, .05, .05, .05, .05), (.05, .05, .8, .05, .05)] * 70]
+    label = [None if i % 9 == 8 else 0 if i % 9 < 6 else 1 if i % 9 < 7 else 2 if i < 70 else 3 for i in range(140)]
+    found = {g: [g, *(x for x in range(g % 5, 60, 5) if x != g)][:size] for g, size in ((0, 9), (2, 8), (12, 7), (21, 5))}
+    table = spark.createDataFrame([(s, g, None, k) for s, m in found.items() for k, g in enumerate(m)], "seed BIGINT, g BIGINT, z DOUBLE, rank INT")
+    large = {s: m for s, m in found.items() if len(m) >= cliques.MIN_CLIQUE}
+    expected = slow_relative(lines, label, large, 140, 6, .5)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = partition.relative_subdivision(rows_of(lines), 12, table, labels(spark, label), 140, 6, .5)
+        assert [v for _, v in collected(out, "row_id", "label")] == expected and len(set(expected)) > 5
+        plan = out._jdf.queryExecution().toString()
+        assert "MapInPandas" not in plan and "hashpartitioning(label" not in plan, plan
+        assert [v for _, v in collected(partition.relative_subdivision(rows_of(lines[:100]), 12, table, labels(spark, label), 100, 6, .5))][100:] == [None] * 40
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def slow_majority(bits, min_group):
     n = len(bits)
     dist = lambda a, b: sum(x != y for x, y in zip(a, b))
