@@ -253,3 +253,30 @@ def test_every_stretch_that_fulfils_the_rule_is_found():
     got = {(row, item): (matched, substituted) for row, item, _, _, matched, substituted in index.findings(pa.array(texts))}
     assert set(got) == {(d, s) for d, (s, c) in enumerate(cases) if qualifies([k not in c for k in range(sizes[s])], sizes[s])}
     assert all(m >= 4 * x for m, x in got.values())
+
+
+def test_documents_with_a_few_common_shingles_meet_in_no_tree(spark, monkeypatch):
+    """Each shares one shingle with the one before it and one with the one behind it, so they would be one cluster."""
+    rng = random.Random(3)
+    bridges = [" ".join(f"b{k}x{j}" for j in range(5)) for k in range(61)]
+    words = lambda n: " ".join(f"u{rng.randrange(10**9)}" for _ in range(n))
+    rows = [(k, f"{bridges[k]} {words(120)} {bridges[k + 1]}") for k in range(60)]
+    rows += [(100 + k, rows[0][1] + f" end{k}") for k in range(20)]
+    sketch = ngram_join.sketch_of
+    monkeypatch.setattr(ngram_join, "sketch_of", lambda scanned: sketch(scanned).max() - sketch(scanned))  # the common ones come first
+    met, dealt = [], ngram_join._dealt
+    monkeypatch.setattr(ngram_join, "_dealt", lambda members, *parts: (met.append({r.id for r in members.select("id").collect()}), dealt(members, *parts))[1])
+    got = {r.doc_id: r.component_id for r in ngram_join.link(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)).collect()}
+    assert got == {k: 0 if k >= 100 else k for k, _ in rows}
+    assert met[0] == {0, *range(100, 120)}
+
+
+@pytest.mark.parametrize("few", [1, 3, 1000])
+def test_candidates_of_shingles_that_few_or_many_share(spark, monkeypatch, few):
+    monkeypatch.setattr(ngram_join, "FEW", few)
+    monkeypatch.setattr(ngram_join, "RUN_ROWS", 50)
+    monkeypatch.setattr(ngram_join, "COMBINE_KEYS", 2000)
+    rows = family(7)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link(docs).collect()} == brute_join(rows)
