@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from skein.llm import decontaminate, embedding_dedup, ngram_join, queries
+from skein.llm import common, decontaminate, embedding_dedup, ngram_join, queries
 
 SF = "/root/testdata/sf0.01"
 
@@ -280,3 +280,20 @@ def test_candidates_of_shingles_that_few_or_many_share(spark, monkeypatch, few):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link(docs).collect()} == brute_join(rows)
+
+
+def test_tables_that_grow_with_the_input_are_not_broadcast(spark, monkeypatch):
+    """Spark would do so here at run time, as all of them are small."""
+    plans = []
+
+    def watched(df, cut=common.cut_lineage):
+        out = cut(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+    monkeypatch.setattr(common, "cut_lineage", watched)
+    monkeypatch.setattr(ngram_join, "cut_lineage", watched)
+    docs = spark.createDataFrame(family(2), "doc_id bigint, text string")
+    linked = ngram_join.link(docs)
+    linked.collect()
+    plans.append(linked._jdf.queryExecution().executedPlan().toString())
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
