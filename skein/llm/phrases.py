@@ -5,7 +5,8 @@ counted from the scan after both its subphrases (all but the last, all but the f
 cycle, so every shard counts once for it; phrases of two, three and four words are thus counted side by side. The scans end when no
 phrase is left that is open.
 
-Which phrases are active is told by a clock of fixed size: a byte for each of ``CELLS`` hash cells that holds the scan in which a phrase of the
+Which phrases are active is told by a clock: a byte for each of ``CELLS`` hash cells, or of more if the texts have many words (``MOST_CELLS`` at
+most, which tasks and driver can hold), that holds the scan in which a phrase of the
 cell reached the threshold, 0 before, and is never changed then. The scan of a phrase is the latest one of its two cells and of its subphrases, that
 of an activation the later one of both subphrases; none of them changes once it is known, so every task knows in which scans to count a
 phrase. Phrases that share cells can only be activated too early, which costs work and changes no count.
@@ -34,7 +35,8 @@ from skein.session import cut_lineage, shared_folder
 
 LONGEST = 4
 SHARDS = 2
-CELLS = 1 << 22
+CELLS, MOST_CELLS = 1 << 22, 1 << 25
+WORDS_A_CELL, CELLS_A_PHRASE = 32, 8  # beyond ``CELLS``; a phrase sets two, and a fuller clock lets more pass that are rare
 HELD = 1 << 19  # counts a task holds before it emits them; bounds its memory, not the counts
 SENT_ROWS = 1 << 15
 COUNTS = "h bigint, mark bigint, n bigint"  # mark: scan of activation, words and check, packed
@@ -113,6 +115,11 @@ def _cells(h: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
     return (h & np.uint64(cells - 1)).astype(np.int64), (h >> np.uint64(65 - cells.bit_length())).astype(np.int64)
 
 
+def cells_for(wanted: int) -> int:
+    """Cells of a clock that should have ``wanted``: a power of two."""
+    return min(max(CELLS, 1 << max(int(wanted) - 1, 0).bit_length()), max(CELLS, MOST_CELLS))
+
+
 def since(clock: np.ndarray, h: np.ndarray) -> np.ndarray:
     """The scan in which the phrases reached the threshold, 0 if they have not."""
     a, b = _cells(h, len(clock))
@@ -258,8 +265,13 @@ def count_phrases(docs: DataFrame, least: int, shards: int = SHARDS) -> tuple[Da
         table = spark.read.schema(COUNTS).parquet(f"{folder}/{scan}")
         if scan > 1:
             _discard(spark, f"{folder}/{scan - 1}")
+        else:  # nothing is set yet
+            words = table.where(length == 0).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * shards
+            clock = np.zeros(cells_for(words // WORDS_A_CELL), np.uint8)
+            sent.destroy()
+            sent = spark.sparkContext.broadcast(Clock(clock.copy()))
         cells = table.where((F.col("n") >= least) & length.between(1, LONGEST - 1)).select("h").mapInArrow(_unset(sent), "cell int")
-        cells = cells.distinct().toArrow()["cell"].to_numpy()  # at most CELLS
+        cells = cells.distinct().toArrow()["cell"].to_numpy()  # at most the cells of the clock
         clock[cells] = scan
         last = scan if len(cells) else last
         sent.destroy()
@@ -312,9 +324,10 @@ def named_phrases(texts: DataFrame, frequent: DataFrame) -> DataFrame:
     spark = texts.sparkSession
     wanted, out = frequent.where(F.shiftright("mark", _LENGTH) > 1), None
     for share in (F.col("part") == 0, F.col("part") > 0):
-        cells = wanted.select("h").mapInArrow(_unset(spark.sparkContext.broadcast(Clock(np.zeros(CELLS, np.uint8)))), "cell int").distinct()
-        clock = np.zeros(CELLS, np.uint8)
-        clock[cells.toArrow()["cell"].to_numpy()] = 1  # at most CELLS
+        size = cells_for(CELLS_A_PHRASE * wanted.count())
+        cells = wanted.select("h").mapInArrow(_unset(spark.sparkContext.broadcast(Clock(np.zeros(size, np.uint8)))), "cell int").distinct()
+        clock = np.zeros(size, np.uint8)
+        clock[cells.toArrow()["cell"].to_numpy()] = 1  # at most ``size``
         if not clock.any():
             break
         found = texts.where(share).select("lang", "lang_hash", "text").mapInArrow(_named(spark.sparkContext.broadcast(Clock(clock))), _NAMED)

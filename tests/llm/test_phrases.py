@@ -77,3 +77,16 @@ def test_scores_do_not_overflow(spark):
     docs = spark.createDataFrame([("en", "a b")] * 3, "lang string, text string")
     row = phrases.collocations(docs, least=1, scale=9_000_000_000_000_000_000).first()
     assert (row.a, row.l, row.r, row.score) == (3, 3, 3, 4_500_000_000_000_000_000)
+
+
+def test_the_clock_grows_with_the_words(spark, monkeypatch):
+    """At most about a quarter of it is set, so few phrases are counted that share cells with frequent ones only."""
+    monkeypatch.setattr(phrases, "CELLS", 1 << 6)
+    seen, packed = [], phrases.Clock.__getstate__
+    monkeypatch.setattr(phrases.Clock, "__getstate__", lambda self: (seen.append((len(self.cells), int((self.cells > 0).sum()))), packed(self))[1])
+    rng = random.Random(9)
+    docs = [("en", " ".join(f"w{rng.randrange(300)}" for _ in range(100))) for _ in range(400)]
+    got = phrases.collocations(spark.createDataFrame(docs, "lang string, text string"), least=30)
+    assert got.count() == len(brute(docs, 30))
+    assert max(filled / cells for cells, filled in seen) < 0.5
+    assert phrases.cells_for(65) == 128 and phrases.cells_for(0) == 64 and phrases.cells_for(10**12) == phrases.MOST_CELLS
