@@ -5,7 +5,7 @@ import pytest
 
 import corpus_pipeline
 import __spark_entry__ as entry
-from skein.llm import queries
+from skein.llm import ngram_join, queries
 from skein.llm.common import table
 
 SF = "/root/testdata/sf0.01"
@@ -63,3 +63,15 @@ def test_stages_on_odd_rows(spark, odd_docs, no_docs, number):
     if name != "mixing":
         assert out.columns == odd_docs.columns
     assert out.count() <= odd_docs.count() and stage(spark, no_docs, SF).count() == 0
+
+
+def test_near_duplicates_of_unlike_documents_meet_in_no_tree(spark, monkeypatch):
+    """A row of documents of which each shares one shingle with the next is no cluster."""
+    sketch, dealt, met = ngram_join.sketch_of, ngram_join._dealt, []
+    monkeypatch.setattr(ngram_join, "sketch_of", lambda scanned: sketch(scanned).max() - sketch(scanned))  # the common ones come first
+    monkeypatch.setattr(ngram_join, "_dealt", lambda members, *parts: (met.append(members.count()), dealt(members, *parts))[1])
+    bridge = lambda k: " ".join(f"b{k}x{j}" for j in range(5))
+    rows = [(k, f"{bridge(k)} {' '.join(f'u{k}y{j}' for j in range(120))} {bridge(k + 1)}") for k in range(30)]
+    kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame([*rows, (99, rows[4][1] + " end")], "doc_id bigint, text string"), "")
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(30))
+    assert met[0] == 2
